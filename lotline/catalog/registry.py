@@ -13,7 +13,7 @@ from lotline.catalog.views import with_views
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+_SQL: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
 def tidy(df: DataFrame) -> DataFrame:
@@ -40,7 +40,12 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()) -> Cal
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = with_views(views, sql)
+            _SQL[name] = (views, sql)
         return fn
 
     return register
+
+
+def oracles() -> dict[str, str]:
+    """The SQL of every query that has one, with its views written out."""
+    return {name: with_views(views, sql) for name, (views, sql) in _SQL.items()}

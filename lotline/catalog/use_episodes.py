@@ -8,7 +8,7 @@ from lotline.operators import episodes as E
 from lotline.operators import ranked as R
 from lotline.operators.slots import assign_slots, max_concurrency
 from lotline.plans import products as P
-from lotline.runtime import table
+from lotline.runtime import stored, table
 
 KEY = ["location_id"]
 
@@ -63,9 +63,9 @@ def _(spark, root):
 
 def repaired(spark, root):
     """Panel, calendar, episodes and merged episodes."""
-    cells = V.panel(spark, root)
+    cells = stored(V.panel(spark, root))  # read by five steps below, far smaller than its source
     grid = E.period_grid(cells, "period")
-    eps = V.episodes(spark, root, cells)
+    eps = stored(V.episodes(spark, root, cells))
     cal = E.calendar(grid, V.bad_periods(spark, root, eps, cells, grid))
     return cells, cal, eps, E.merge_gap_episodes(eps, cal, key=KEY, value="shop_id")
 
@@ -113,10 +113,7 @@ def _(spark, root):
 @query("e7_merge_summary", FOLD + """
 SELECT CAST(merges AS BIGINT) AS merges, count(*) AS n_locations FROM fold WHERE i = len(xs) GROUP BY merges""", FOLD_VIEWS)
 def _(spark, root):
-    cells = V.panel(spark, root)
-    grid = E.period_grid(cells, "period")
-    eps = V.episodes(spark, root, cells)
-    cal = E.calendar(grid, V.bad_periods(spark, root, eps, cells, grid))
+    _, cal, eps, _ = repaired(spark, root)
     return E.merge_summary(E.merge_gap_episodes(eps, cal, key=KEY, value="shop_id", detail=True))
 
 
@@ -216,17 +213,17 @@ def _(spark, root):
 
 @query("g2_frequent_flag", """
 SELECT location_id, obs_quarters, turnover_cnt, round(mean_surv, 6) AS mean_surv, max_surv, round(turnover_rate, 6) AS turnover_rate,
-  CASE WHEN mean_surv < 2 THEN 1 ELSE 0 END AS frequent FROM metrics WHERE obs_quarters >= 15""", ("metrics",))
+  CAST(CASE WHEN mean_surv < 2 THEN 1 ELSE 0 END AS BIGINT) AS frequent FROM metrics WHERE obs_quarters >= 15""", ("metrics",))
 def _(spark, root):
     return P.frequent_flag(V.metrics(spark, root), 15, 2.0)
 
 
 @query("g3_underperformers", """
 SELECT location_id, obs_quarters, turnover_cnt, round(mean_surv, 6) AS mean_surv, max_surv, round(turnover_rate, 6) AS turnover_rate
-FROM metrics WHERE obs_quarters >= 1 AND turnover_cnt = 2 AND max_surv < (
+FROM metrics WHERE obs_quarters >= 1 AND turnover_cnt = 12 AND max_surv < (
   SELECT sum(mean_surv * (turnover_cnt + 1)) / sum(turnover_cnt + 1) FROM metrics WHERE obs_quarters >= 1)""", ("metrics",))
 def _(spark, root):
-    return P.underperformers(V.metrics(spark, root), 2, 1)
+    return P.underperformers(V.metrics(spark, root), 12, 1)
 
 
 @query("e2_top_turnover_places", """

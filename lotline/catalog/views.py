@@ -55,7 +55,7 @@ def quarter(col: str):
 
 _sql("snapshot", (), """
 SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS parcel, CAST(l_partkey % 6 + 1 AS VARCHAR) AS floor,
-  CAST(year(l_shipdate) * 100 + quarter(l_shipdate) * 3 AS INTEGER) AS period,
+  CAST(year(l_shipdate) * 100 + quarter(l_shipdate) * 3 AS BIGINT) AS period,
   concat('S', CAST(l_orderkey % 5 AS VARCHAR)) AS shop_id
 FROM lineitem
 """)
@@ -75,7 +75,7 @@ def snapshot(spark: SparkSession, root: str) -> DataFrame:
 _sql("panel", (), f"""
 SELECT location_id, period, min(shop_id) AS shop_id FROM (
   SELECT concat(CAST(l_suppkey AS VARCHAR), '_', CAST(l_partkey % 6 + 1 AS VARCHAR), '_1') AS location_id,
-    CAST(year(l_shipdate) * 100 + quarter(l_shipdate) * 3 AS INTEGER) AS period,
+    CAST(year(l_shipdate) * 100 + quarter(l_shipdate) * 3 AS BIGINT) AS period,
     concat('S', CAST(l_orderkey % 3 AS VARCHAR)) AS shop_id, r_name
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
   JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) x
@@ -109,11 +109,11 @@ def panel(spark: SparkSession, root: str) -> DataFrame:
 
 
 _sql("grid", ("panel",), """
-SELECT period, CAST(row_number() OVER (ORDER BY period) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT period FROM panel) d
+SELECT period, CAST(row_number() OVER (ORDER BY period) - 1 AS BIGINT) AS idx FROM (SELECT DISTINCT period FROM panel) d
 """)
 
 _sql("episodes", ("panel",), """
-SELECT location_id, episode_id, min(shop_id) AS shop_id, min(period) AS "start", max(period) AS "end",
+SELECT location_id, CAST(episode_id AS BIGINT) AS episode_id, min(shop_id) AS shop_id, min(period) AS "start", max(period) AS "end",
   count(DISTINCT period) AS surv_q,
   CASE WHEN max(period) = (SELECT max(period) FROM panel) THEN 'open' ELSE 'closed' END AS state
 FROM (SELECT *, sum(flag) OVER (PARTITION BY location_id ORDER BY period ROWS UNBOUNDED PRECEDING) AS episode_id
@@ -169,7 +169,7 @@ def bad_periods(spark: SparkSession, root: str, eps: DataFrame, cells: DataFrame
 
 _sql("records", (), """
 SELECT concat(CAST(l_suppkey AS VARCHAR), '_', CAST(l_partkey % 6 + 1 AS VARCHAR), '_1') AS location_id, p_type AS industry,
-  CAST(year(l_shipdate) * 100 + quarter(l_shipdate) * 3 AS INTEGER) AS period
+  CAST(year(l_shipdate) * 100 + quarter(l_shipdate) * 3 AS BIGINT) AS period
 FROM lineitem JOIN part ON l_partkey = p_partkey
 """)
 
@@ -202,7 +202,7 @@ _sql("loc", ("metrics", "episodes", "grid", "shares"), """
 SELECT m.*, v.first_q, v.last_q, v.vacancy_rate, split_part(m.location_id, '_', 1) AS parcel,
   split_part(m.location_id, '_', 2) AS floor, d.industry AS dominant_ind, n_name AS gu,
   CASE WHEN s_acctbal >= 0 THEN n_name END AS district_id, CASE WHEN s_acctbal >= 0 THEN r_name END AS district_type,
-  CASE WHEN m.obs_quarters >= 15 AND m.mean_surv < 2 THEN 1 ELSE 0 END AS frequent,
+  CAST(CASE WHEN m.obs_quarters >= 15 AND m.mean_surv < 2 THEN 1 ELSE 0 END AS BIGINT) AS frequent,
   CAST(s_suppkey AS BIGINT) AS site
 FROM metrics m
 JOIN (SELECT location_id, min("start") AS first_q, max("end") AS last_q,
@@ -241,7 +241,7 @@ def loc(spark: SparkSession, root: str) -> DataFrame:
 
 _sql("floor_rows", (), """
 SELECT CAST(l_partkey AS VARCHAR) AS parcel, CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN NULL
-  ELSE CAST(l_linenumber AS VARCHAR) END AS floor_raw, CAST(year(l_shipdate) AS INTEGER) AS year, l_returnflag AS lot,
+  ELSE CAST(l_linenumber AS VARCHAR) END AS floor_raw, CAST(year(l_shipdate) AS BIGINT) AS year, l_returnflag AS lot,
   p_type AS use, CASE WHEN p_type <> 'PROMO' THEN p_size END AS total_floors, p_type <> 'PROMO' AS matched
 FROM lineitem JOIN part ON l_partkey = p_partkey
 """)
@@ -319,7 +319,7 @@ def polygons(spark: SparkSession, root: str) -> DataFrame:
 
 _sql("facts", (), """
 SELECT n_name AS district_id, c_mktsegment AS industry,
-  CAST(year(o_orderdate) * 100 + quarter(o_orderdate) * 3 AS INTEGER) AS quarter,
+  CAST(year(o_orderdate) * 100 + quarter(o_orderdate) * 3 AS BIGINT) AS quarter,
   sum(o_totalprice) AS amount, count(*) AS n_sales,
   sum(CASE WHEN dayofweek(o_orderdate) IN (0, 6) THEN o_totalprice ELSE 0 END) AS weekend_amount,
   sum(CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice ELSE 0 END) AS night_amount

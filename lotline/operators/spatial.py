@@ -99,11 +99,12 @@ def _search_level(coords: DataFrame, anchors: DataFrame, x0: float, y0: float, c
 def _around(df: DataFrame, x0: float, y0: float, cell: float) -> DataFrame:
     """The 3 x 3 cells around each row at its level."""
     size = F.lit(cell) * F.pow(F.lit(2.0), F.col("_lv"))
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    return (
-        df.withColumn("_cx", F.floor((F.col("_x") - x0) / size).cast("long") + F.explode(near))
-        .withColumn("_cy", F.floor((F.col("_y") - y0) / size).cast("long") + F.explode(near))
-    )
+
+    def neighbours(v: Column, origin: float) -> Column:
+        own = F.floor((v - F.lit(origin)) / size).cast("long")
+        return F.explode(F.array(own - 1, own, own + 1))
+
+    return df.withColumn("_cx", neighbours(F.col("_x"), x0)).withColumn("_cy", neighbours(F.col("_y"), y0))
 
 
 def nearest_polygon(
