@@ -7,7 +7,7 @@ from lotline.catalog.registry import query
 from lotline.functions.columns import in_box
 from lotline.operators import aggregates as A
 from lotline.plans import products as P
-from lotline.runtime import table
+from lotline.runtime import stored, table
 
 
 @query("d1_group_stats", """
@@ -142,9 +142,8 @@ SELECT l.location_id, l.turnover_rate, l.mean_surv, l.vacancy_rate, l.frequent,
 FROM loc l JOIN shares s ON l.location_id = s.location_id WHERE obs_quarters >= 15""")
 
 
-def expanded(spark, root):
-    rows = P.named_unassigned(V.loc(spark, root).where("obs_quarters >= 15"))
-    return rows.join(V.shares(spark, root).select("location_id", "industry", "share"), "location_id")
+def rows_of(spark, root):
+    return P.industry_rows(V.loc(spark, root), V.shares(spark, root))
 
 
 @query("d11_weighted_mean", """
@@ -152,7 +151,7 @@ SELECT industry, round(coalesce(sum(v * share), 0) / sum(share), 6) AS w_mean
 FROM (SELECT industry, share, CASE WHEN vacancy_rate > 0 THEN vacancy_rate END AS v FROM expanded) t GROUP BY industry""", ("expanded",))
 def _(spark, root):
     # a null value keeps its weight in the divisor
-    rows = expanded(spark, root).withColumn("v", F.when(F.col("vacancy_rate") > 0, F.col("vacancy_rate")))
+    rows = rows_of(spark, root).withColumn("v", F.when(F.col("vacancy_rate") > 0, F.col("vacancy_rate")))
     return A.weighted_mean(rows, ["industry"], "v", "share")
 
 
@@ -186,19 +185,20 @@ JOIN ({rate}) r ON {on('r')} JOIN ({surv}) s ON {on('s')}"""
 @query("d13_weighted_baseline_district", _with_medians(
     "district_id, district_type, industry", ", b.n_w >= 3 AS enough, b.district_id <> 'UNASSIGNED' AS real_area"), ("expanded",))
 def _(spark, root):
-    return P.industry_baselines(V.loc(spark, root), V.shares(spark, root), min_n=3)["district"]
+    return P.cell_baseline(rows_of(spark, root), min_n=3)
 
 
 @query("d13_weighted_baseline_type", _with_medians("district_type, industry"), ("expanded",))
 def _(spark, root):
-    return P.industry_baselines(V.loc(spark, root), V.shares(spark, root))["type"]
+    return P.type_baseline(rows_of(spark, root))
 
 
 @query("d13_conservation_check", """
 SELECT round(sum(share), 6) AS sum_w, round(sum(share * frequent), 6) AS sum_flag_w, (SELECT count(*) FROM loc WHERE obs_quarters >= 15) AS n_locations,
   (SELECT CAST(sum(frequent) AS BIGINT) FROM loc WHERE obs_quarters >= 15) AS n_frequent FROM expanded""", ("expanded",))
 def _(spark, root):
-    return P.industry_baselines(V.loc(spark, root), V.shares(spark, root))["check"]
+    places = stored(V.loc(spark, root))
+    return P.conservation_check(P.industry_rows(places, V.shares(spark, root)), places)
 
 
 _SPREAD = "SELECT industry, stddev_samp(w_median) AS sd FROM (" + _WMEDIAN.format(
@@ -208,7 +208,7 @@ _SPREAD = "SELECT industry, stddev_samp(w_median) AS sd FROM (" + _WMEDIAN.forma
 @query("d14_industry_baseline_with_spread", f"""
 SELECT i.*, round(sd, 6) AS rate_std_between_districts FROM ({_with_medians('industry')}) i JOIN ({_SPREAD}) x ON i.industry = x.industry""", ("expanded",))
 def _(spark, root):
-    return P.industry_baselines(V.loc(spark, root), V.shares(spark, root))["industry"]
+    return P.industry_baseline(rows_of(spark, root))
 
 
 @query("d15_share_and_dominant", "SELECT location_id, industry, round(share, 6) AS share, rn = 1 AS is_dominant FROM shares", ("shares",))
@@ -218,8 +218,8 @@ def _(spark, root):
 
 @query("d16_top_categories_text", """
 SELECT c_nationkey, string_agg(c_mktsegment || '(' || n || ')', ', ' ORDER BY n DESC, c_mktsegment) AS top FROM (
-  SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey, c_mktsegment, count(*) AS n, row_number() OVER (PARTITION BY c_nationkey ORDER BY count(*) DESC, c_mktsegment) AS r
-  FROM customer GROUP BY ALL) t WHERE r <= 3 GROUP BY c_nationkey""")
+  SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey, c_mktsegment, n, row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, c_mktsegment) AS r
+  FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL) g) t WHERE r <= 3 GROUP BY c_nationkey""")
 def _(spark, root):
     return A.top_categories_text(table(spark, root, "customer"), ["c_nationkey"], "c_mktsegment")
 

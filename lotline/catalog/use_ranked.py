@@ -205,8 +205,8 @@ def _(spark, root):
 
 
 _RECS = """
-recs AS (SELECT {by}, c_mktsegment AS item, avg(ok) AS rate, count(*) AS n, row_number() OVER (PARTITION BY {by} ORDER BY avg(ok) DESC, count(*) DESC, c_mktsegment) AS rank
-FROM src GROUP BY ALL HAVING count(*) >= {n})"""
+recs AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY rate DESC, n DESC, item) AS rank
+FROM (SELECT {by}, c_mktsegment AS item, avg(ok) AS rate, count(*) AS n FROM src GROUP BY {by}, c_mktsegment HAVING count(*) >= {n}) g)"""
 V._sql("src", (), """
 SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey, o_orderpriority, c_mktsegment, CASE WHEN o_totalprice > 300000 THEN 1 ELSE 0 END AS ok
 FROM orders JOIN customer ON o_custkey = c_custkey""")

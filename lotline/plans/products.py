@@ -15,7 +15,7 @@ from lotline.operators.cleaning import flag_cascade, rare_to_other
 from lotline.operators.joins import attach, join_with_fallback, outer_features
 from lotline.operators.ordinals import exact_quantiles
 from lotline.operators.spatial import count_within, nearest_point, points_in_polygons
-from lotline.runtime import keyed_join, scalar
+from lotline.runtime import keyed_join, scalar, stored
 
 UNASSIGNED = "UNASSIGNED"
 
@@ -134,24 +134,38 @@ _MEANS = {"mean_rate": "turnover_rate", "avg_surv": "mean_surv", "mean_vacancy":
 _MEDIANS = {"median_rate": "turnover_rate", "median_surv": "mean_surv"}
 
 
-def industry_baselines(locations: DataFrame, shares: DataFrame, min_obs: int = 15, min_n: float = 10) -> dict[str, DataFrame]:
-    """Share-weighted baselines for industries, district x industry and type x industry, and the
-    conservation check (sum of weights against the number of places)."""
+def industry_rows(locations: DataFrame, shares: DataFrame, min_obs: int = 15) -> DataFrame:
+    """Reliable places, one row per industry with its share as weight. Written once: each weighted median
+    reads it three times."""
     rows = named_unassigned(locations.where(F.col("obs_quarters") >= min_obs))
-    expanded = rows.join(shares.select("location_id", "industry", "share"), "location_id")
-    cell = A.weighted_baseline(expanded, ["district_id", "district_type", "industry"], "share", "frequent", _MEANS, _MEDIANS)
-    per_district = A.weighted_median(expanded, ["industry", "district_id"], "turnover_rate", "share", "median_rate")
-    spread = A.between_group_std(per_district, ["industry"], "median_rate", "rate_std_between_districts")
+    return stored(rows.join(shares.select("location_id", "industry", "share"), "location_id"))
+
+
+def cell_baseline(expanded: DataFrame, min_n: float = 10) -> DataFrame:
+    """Share-weighted baseline per district and industry, with sample and real-district flags."""
+    keys = ["district_id", "district_type", "industry"]
+    return A.weighted_baseline(expanded, keys, "share", "frequent", _MEANS, _MEDIANS).withColumns(
+        {"enough": F.col("n_w") >= min_n, "real_area": F.col("district_id") != UNASSIGNED})
+
+
+def type_baseline(expanded: DataFrame) -> DataFrame:
+    """The same per district type and industry."""
+    return A.weighted_baseline(expanded, ["district_type", "industry"], "share", "frequent", _MEANS, _MEDIANS)
+
+
+def industry_baseline(expanded: DataFrame) -> DataFrame:
+    """The same per industry, with the deviation of the district medians."""
     overall = A.weighted_baseline(expanded, ["industry"], "share", "frequent", _MEANS, _MEDIANS)
-    check = overall.agg(F.sum("n_w").alias("sum_w"), F.sum("n_flag_w").alias("sum_flag_w")).withColumns({
-        "n_locations": scalar(rows, F.count(F.lit(1))), "n_frequent": scalar(rows, F.sum("frequent")),
-    })
-    return {
-        "industry": attach(overall, spread, ["industry"]),
-        "district": cell.withColumns({"enough": F.col("n_w") >= min_n, "real_area": F.col("district_id") != UNASSIGNED}),
-        "type": A.weighted_baseline(expanded, ["district_type", "industry"], "share", "frequent", _MEANS, _MEDIANS),
-        "check": check,
-    }
+    per_district = A.weighted_median(expanded, ["industry", "district_id"], "turnover_rate", "share", "median_rate")
+    return attach(overall, A.between_group_std(per_district, ["industry"], "median_rate", "rate_std_between_districts"), ["industry"])
+
+
+def conservation_check(expanded: DataFrame, locations: DataFrame, min_obs: int = 15) -> DataFrame:
+    """Sums of weights against the number of places and of frequent places (they must agree)."""
+    rows = locations.where(F.col("obs_quarters") >= min_obs)
+    return expanded.agg(
+        F.sum("share").alias("sum_w"), F.sum(F.col("share") * F.col("frequent")).alias("sum_flag_w")
+    ).withColumns({"n_locations": scalar(rows, F.count(F.lit(1))), "n_frequent": scalar(rows, F.sum("frequent"))})
 
 
 def relative_metrics(locations: DataFrame, area: DataFrame, cell: DataFrame, kind: DataFrame, min_obs: int = 15) -> DataFrame:

@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SMALL_ROWS = 10_000
 
@@ -34,9 +35,16 @@ def session(app: str = "lotline", cores: str | None = None, **conf: str) -> Spar
     return spark
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A given table; its schema is read from the file once per process."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{root}/{name}.parquet")
+    path = f"{root}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def shared_dir(spark: SparkSession) -> str:
