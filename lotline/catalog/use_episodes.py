@@ -218,12 +218,25 @@ def _(spark, root):
     return P.frequent_flag(V.metrics(spark, root), 15, 2.0)
 
 
+# customers as places, months as periods, the first priority of a month as tenant
+V._sql("visits", (), """
+SELECT o_custkey AS location_id, CAST(strftime(o_orderdate, '%Y%m') AS BIGINT) AS period, min(o_orderpriority) AS shop_id FROM orders GROUP BY ALL""")
+V._sql("visit_metrics", ("visits",), """
+SELECT location_id, CAST(sum(n) AS BIGINT) AS obs_quarters, count(*) - 1 AS turnover_cnt, avg(n) AS mean_surv, max(n) AS max_surv,
+  CASE WHEN sum(n) > 1 THEN (count(*) - 1) / (sum(n) - 1) END AS turnover_rate
+FROM (SELECT location_id, ep, count(*) AS n FROM (SELECT *, sum(flag) OVER (PARTITION BY location_id ORDER BY period ROWS UNBOUNDED PRECEDING) AS ep FROM (
+  SELECT *, CASE WHEN lag(shop_id) OVER (PARTITION BY location_id ORDER BY period) = shop_id THEN 0 ELSE 1 END AS flag FROM visits) a) b GROUP BY ALL) c GROUP BY location_id""")
+
+
 @query("g3_underperformers", """
 SELECT location_id, obs_quarters, turnover_cnt, round(mean_surv, 6) AS mean_surv, max_surv, round(turnover_rate, 6) AS turnover_rate
-FROM metrics WHERE obs_quarters >= 1 AND turnover_cnt = 12 AND max_surv < (
-  SELECT sum(mean_surv * (turnover_cnt + 1)) / sum(turnover_cnt + 1) FROM metrics WHERE obs_quarters >= 1)""", ("metrics",))
+FROM visit_metrics WHERE obs_quarters >= 3 AND turnover_cnt = 2 AND max_surv < (
+  SELECT sum(mean_surv * (turnover_cnt + 1)) / sum(turnover_cnt + 1) FROM visit_metrics WHERE obs_quarters >= 3)""", ("visit_metrics",))
 def _(spark, root):
-    return P.underperformers(V.metrics(spark, root), 12, 1)
+    visits = table(spark, root, "orders").select(
+        F.col("o_custkey").alias("location_id"), F.date_format("o_orderdate", "yyyyMM").cast("int").alias("period"), F.col("o_orderpriority").alias("shop_id"))
+    eps = E.detect_episodes(visits, key=KEY, period="period", value="shop_id")
+    return P.underperformers(E.location_metrics(eps, key=KEY), 2, 3)
 
 
 @query("e2_top_turnover_places", """

@@ -315,11 +315,16 @@ def location_features(
         "age": F.when(F.col("approval_year").isNotNull(), F.greatest(F.lit(year) - F.col("approval_year"), F.lit(0))),
     }).withColumn("floors", F.when(F.col("floors") > 0, F.col("floors")))
     out = rare_to_other(out, "use_raw", rare, name="use_class")
-    out = count_within(out, universe, radius_m=density_m, name="density_200m", exclude_self=True)
-    out = nearest_point(out, stations, point_id="location_id", target="station").withColumnsRenamed(
-        {"distance_m": "station_m", "station": "nearest_station"})
-    unique = stations.groupBy("station").agg(F.min_by("lon", F.struct("lat", "lon")).alias("lon"), F.min("lat").alias("lat"))
-    out = count_within(out, unique, radius_m=station_m, name="stations_500m")
+    # the spatial steps read coordinates several times, so they run on a written narrow table
+    places = stored(base.select("location_id", "lon", "lat"))
+    around = stored(universe.select("lon", "lat"))
+    unique = stored(stations.groupBy("station").agg(F.min_by("lon", F.struct("lat", "lon")).alias("lon"), F.min("lat").alias("lat")))
+    density = count_within(places, around, radius_m=density_m, name="density_200m", exclude_self=True)
+    nearest = nearest_point(places, stations, point_id="location_id", target="station").select(
+        "location_id", F.col("station").alias("nearest_station"), F.col("distance_m").alias("station_m"))
+    reach = count_within(places, unique, radius_m=station_m, name="stations_500m").select("location_id", "stations_500m")
+    for side in (density.select("location_id", "density_200m"), nearest, reach):
+        out = out.join(side, "location_id", "left")
     return out.withColumn("district_type", F.coalesce("district_type", F.lit("missing"))).select(
         "location_id", "floor_class", "floor_no", "use_class", "use_raw", "area", "area_total", "floors", "age",
         "n_in_building", "density_200m", "station_m", "nearest_station", "stations_500m", "district_type",
