@@ -28,7 +28,7 @@ def value_splits(df: DataFrame, value: str, buckets: int | None = None) -> list[
     return sorted(set(df.approxQuantile(value, probabilities, 0.5 / buckets)))
 
 
-def with_bucket(df: DataFrame, value: str, splits: Sequence[float], name: str = "_b") -> DataFrame:
+def with_bucket(df: DataFrame, value: str, splits: Sequence[float], name: str = "__o_b") -> DataFrame:
     """Monotone bucket number of a non-null numeric column."""
     if not splits:
         return df.withColumn(name, F.lit(0))
@@ -49,43 +49,43 @@ def exact_quantiles(
     """Linearly interpolated quantiles per group, one column per entry of ``probs``; nulls are left out."""
     names = list(probs)
     rows, keys = _with_keys(
-        df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v")), by
+        df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__o_v")), by
     )
-    rows = with_bucket(rows, "_v", value_splits(rows, "_v", buckets))
+    rows = with_bucket(rows, "__o_v", value_splits(rows, "__o_v", buckets))
     whole = W.partitionBy(*keys)
     hist = (
-        rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_upto", F.sum("_n").over(whole.orderBy("_b")))
-        .withColumn("_total", F.sum("_n").over(whole))
-        .withColumn("_before", F.col("_upto") - F.col("_n"))
+        rows.groupBy(*keys, "__o_b").agg(F.count(F.lit(1)).alias("__o_n"))
+        .withColumn("__o_upto", F.sum("__o_n").over(whole.orderBy("__o_b")))
+        .withColumn("__o_total", F.sum("__o_n").over(whole))
+        .withColumn("__o_before", F.col("__o_upto") - F.col("__o_n"))
     )
     wanted = []
     for name, q in probs.items():
-        place = (F.col("_total") - 1) * F.lit(float(q))
+        place = (F.col("__o_total") - 1) * F.lit(float(q))
         for side, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
             wanted.append(
                 F.struct(F.lit(f"{name}|{side}").alias("what"), rank.cast("long").alias("rank"),
                          (place - F.floor(place)).alias("frac"))
             )
     hits = (
-        hist.withColumn("_t", F.filter(F.array(*wanted), lambda t: (t["rank"] >= F.col("_before"))
-                                       & (t["rank"] < F.col("_upto"))))
-        .where(F.size("_t") > 0)
-        .select(*keys, "_b", "_before", "_t")
+        hist.withColumn("__o_t", F.filter(F.array(*wanted), lambda t: (t["rank"] >= F.col("__o_before"))
+                                       & (t["rank"] < F.col("__o_upto"))))
+        .where(F.size("__o_t") > 0)
+        .select(*keys, "__o_b", "__o_before", "__o_t")
     )
     inside = (
-        keyed_join(rows, hits, [*keys, "_b"])
-        .groupBy(*keys, "_b", "_v")
-        .agg(F.count(F.lit(1)).alias("_n"), F.any_value("_before").alias("_before"), F.any_value("_t").alias("_t"))
-        .withColumn("_upto", F.col("_before") + F.sum("_n").over(W.partitionBy(*keys, "_b").orderBy("_v")))
-        .withColumn("_hit", F.explode(F.filter("_t", lambda t: (t["rank"] < F.col("_upto"))
-                                               & (t["rank"] >= F.col("_upto") - F.col("_n")))))
+        keyed_join(rows, hits, [*keys, "__o_b"])
+        .groupBy(*keys, "__o_b", "__o_v")
+        .agg(F.count(F.lit(1)).alias("__o_n"), F.any_value("__o_before").alias("__o_before"), F.any_value("__o_t").alias("__o_t"))
+        .withColumn("__o_upto", F.col("__o_before") + F.sum("__o_n").over(W.partitionBy(*keys, "__o_b").orderBy("__o_v")))
+        .withColumn("__o_hit", F.explode(F.filter("__o_t", lambda t: (t["rank"] < F.col("__o_upto"))
+                                               & (t["rank"] >= F.col("__o_upto") - F.col("__o_n")))))
     )
     columns = []
     for name in names:
-        low = F.max(F.when(F.col("_hit.what") == f"{name}|lo", F.col("_v")))
-        high = F.max(F.when(F.col("_hit.what") == f"{name}|hi", F.col("_v")))
-        frac = F.max(F.when(F.col("_hit.what") == f"{name}|lo", F.col("_hit.frac")))
+        low = F.max(F.when(F.col("__o_hit.what") == f"{name}|lo", F.col("__o_v")))
+        high = F.max(F.when(F.col("__o_hit.what") == f"{name}|hi", F.col("__o_v")))
+        frac = F.max(F.when(F.col("__o_hit.what") == f"{name}|lo", F.col("__o_hit.frac")))
         columns.append((low + (high - low) * frac).alias(name))
     out = inside.groupBy(*keys).agg(*columns)
     return out.drop(_ALL) if not by else out
@@ -108,28 +108,28 @@ def weighted_quantile(
     """
     rows, keys = _with_keys(
         df.where(F.col(value).isNotNull() & F.col(weight).isNotNull())
-        .select(*by, F.col(value).cast("double").alias("_v"), F.col(weight).cast("double").alias("_w")), by
+        .select(*by, F.col(value).cast("double").alias("__o_v"), F.col(weight).cast("double").alias("__o_w")), by
     )
-    rows = with_bucket(rows, "_v", value_splits(rows, "_v"))
+    rows = with_bucket(rows, "__o_v", value_splits(rows, "__o_v"))
     whole = W.partitionBy(*keys)
-    goal = F.col("_total") * F.lit(float(q)) - F.col("_total") * F.lit(1e-9)
+    goal = F.col("__o_total") * F.lit(float(q)) - F.col("__o_total") * F.lit(1e-9)
     hits = (
-        rows.groupBy(*keys, "_b").agg(F.sum("_w").alias("_s"))
-        .withColumn("_upto", F.sum("_s").over(whole.orderBy("_b")))
-        .withColumn("_total", F.sum("_s").over(whole))
-        .withColumn("_goal", goal)
-        .where(F.col("_upto") >= F.col("_goal"))
-        .withColumn("_rn", F.row_number().over(whole.orderBy("_b")))
-        .where(F.col("_rn") == 1)
-        .select(*keys, "_b", "_goal", (F.col("_upto") - F.col("_s")).alias("_before"))
+        rows.groupBy(*keys, "__o_b").agg(F.sum("__o_w").alias("__o_s"))
+        .withColumn("__o_upto", F.sum("__o_s").over(whole.orderBy("__o_b")))
+        .withColumn("__o_total", F.sum("__o_s").over(whole))
+        .withColumn("__o_goal", goal)
+        .where(F.col("__o_upto") >= F.col("__o_goal"))
+        .withColumn("__o_rn", F.row_number().over(whole.orderBy("__o_b")))
+        .where(F.col("__o_rn") == 1)
+        .select(*keys, "__o_b", "__o_goal", (F.col("__o_upto") - F.col("__o_s")).alias("__o_before"))
     )
     out = (
-        keyed_join(rows, hits, [*keys, "_b"])
-        .groupBy(*keys, "_b", "_v")
-        .agg(F.sum("_w").alias("_s"), F.any_value("_before").alias("_before"), F.any_value("_goal").alias("_goal"))
-        .withColumn("_upto", F.col("_before") + F.sum("_s").over(W.partitionBy(*keys, "_b").orderBy("_v")))
+        keyed_join(rows, hits, [*keys, "__o_b"])
+        .groupBy(*keys, "__o_b", "__o_v")
+        .agg(F.sum("__o_w").alias("__o_s"), F.any_value("__o_before").alias("__o_before"), F.any_value("__o_goal").alias("__o_goal"))
+        .withColumn("__o_upto", F.col("__o_before") + F.sum("__o_s").over(W.partitionBy(*keys, "__o_b").orderBy("__o_v")))
         .groupBy(*keys)
-        .agg(F.coalesce(F.min(F.when(F.col("_upto") >= F.col("_goal"), F.col("_v"))), F.max("_v")).alias(name))
+        .agg(F.coalesce(F.min(F.when(F.col("__o_upto") >= F.col("__o_goal"), F.col("__o_v"))), F.max("__o_v")).alias(name))
     )
     return out.drop(_ALL) if not by else out
 
@@ -142,15 +142,15 @@ def value_positions(df: DataFrame, value: str, by: Sequence[str] = (), count: st
     weight = F.sum(count) if count else F.count(F.lit(1))
     rows, keys = _with_keys(df.where(F.col(value).isNotNull()), by)
     counts = rows.groupBy(*keys, value).agg(weight.cast("long").alias("n"))
-    counts = counts.withColumn("_v", F.col(value).cast("double"))
-    counts = with_bucket(counts, "_v", value_splits(counts, "_v"))
-    offsets = counts.groupBy(*keys, "_b").agg(F.sum("n").alias("_s")).withColumn(
-        "_before", F.sum("_s").over(W.partitionBy(*keys).orderBy("_b")) - F.col("_s")
+    counts = counts.withColumn("__o_v", F.col(value).cast("double"))
+    counts = with_bucket(counts, "__o_v", value_splits(counts, "__o_v"))
+    offsets = counts.groupBy(*keys, "__o_b").agg(F.sum("n").alias("__o_s")).withColumn(
+        "__o_before", F.sum("__o_s").over(W.partitionBy(*keys).orderBy("__o_b")) - F.col("__o_s")
     )
-    running = F.sum("n").over(W.partitionBy(*keys, "_b").orderBy(value)) - F.col("n")
+    running = F.sum("n").over(W.partitionBy(*keys, "__o_b").orderBy(value)) - F.col("n")
     out = (
-        keyed_join(counts.withColumn("_run", running), offsets.select(*keys, "_b", "_before"), [*keys, "_b"])
-        .withColumn("smaller", F.col("_before") + F.col("_run"))
+        keyed_join(counts.withColumn("__o_run", running), offsets.select(*keys, "__o_b", "__o_before"), [*keys, "__o_b"])
+        .withColumn("smaller", F.col("__o_before") + F.col("__o_run"))
         .withColumn("avg_rank", F.col("smaller") + (F.col("n") + 1) / 2.0)
     )
     return out.select(*by, value, "n", "smaller", "avg_rank")
@@ -161,18 +161,18 @@ def ordinal_rank(df: DataFrame, value: str, tie: str, name: str = "rank", descen
 
     Positions inside equal values are counted per bucket of ``tie``, so one value may hold most rows.
     """
-    keyed = df.withColumn("_k", (-F.col(value) if descending else F.col(value)).cast("double"))
-    keyed = keyed.withColumn("_t", F.col(tie).cast("double"))
-    keyed = with_bucket(keyed, "_t", value_splits(keyed, "_t"), "_tb")
-    cells = keyed.groupBy("_k", "_tb").agg(F.count(F.lit(1)).alias("_c"))
-    cells = cells.withColumn("_in", F.sum("_c").over(W.partitionBy("_k").orderBy("_tb")) - F.col("_c"))
-    places = value_positions(cells.select("_k", "_c"), "_k", count="_c").select("_k", "smaller")
-    start = cells.join(places, "_k").select("_k", "_tb", (F.col("smaller") + F.col("_in")).alias("_start"))
-    inner = F.row_number().over(W.partitionBy("_k", "_tb").orderBy(tie))
+    keyed = df.withColumn("__o_k", (-F.col(value) if descending else F.col(value)).cast("double"))
+    keyed = keyed.withColumn("__o_t", F.col(tie).cast("double"))
+    keyed = with_bucket(keyed, "__o_t", value_splits(keyed, "__o_t"), "__o_tb")
+    cells = keyed.groupBy("__o_k", "__o_tb").agg(F.count(F.lit(1)).alias("__o_c"))
+    cells = cells.withColumn("__o_in", F.sum("__o_c").over(W.partitionBy("__o_k").orderBy("__o_tb")) - F.col("__o_c"))
+    places = value_positions(cells.select("__o_k", "__o_c"), "__o_k", count="__o_c").select("__o_k", "smaller")
+    start = cells.join(places, "__o_k").select("__o_k", "__o_tb", (F.col("smaller") + F.col("__o_in")).alias("__o_start"))
+    inner = F.row_number().over(W.partitionBy("__o_k", "__o_tb").orderBy(tie))
     return (
-        keyed.withColumn("_i", inner).join(start, ["_k", "_tb"])
-        .withColumn(name, F.col("_start") + F.col("_i"))
-        .drop("_k", "_t", "_tb", "_i", "_start")
+        keyed.withColumn("__o_i", inner).join(start, ["__o_k", "__o_tb"])
+        .withColumn(name, F.col("__o_start") + F.col("__o_i"))
+        .drop("__o_k", "__o_t", "__o_tb", "__o_i", "__o_start")
     )
 
 
@@ -183,14 +183,14 @@ def text_rank(df: DataFrame, keys: Sequence[str], value: str, name: str, sample:
     """
     picks = df.select(value).orderBy(F.xxhash64(value)).limit(sample).toArrow().column(value).to_pylist()
     edges = F.array(*[F.lit(e) for e in sorted(set(picks))]) if picks else F.array().cast("array<string>")
-    cut = df.withColumn("_b", F.size(F.filter(edges, lambda e: e < F.col(value))))
-    sizes = cut.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    sizes = sizes.withColumn("_before", F.sum("_c").over(W.partitionBy(*keys).orderBy("_b")) - F.col("_c")).drop("_c")
-    placed = cut.withColumn("_i", F.row_number().over(W.partitionBy(*keys, "_b").orderBy(value)))
+    cut = df.withColumn("__o_b", F.size(F.filter(edges, lambda e: e < F.col(value))))
+    sizes = cut.groupBy(*keys, "__o_b").agg(F.count(F.lit(1)).alias("__o_c"))
+    sizes = sizes.withColumn("__o_before", F.sum("__o_c").over(W.partitionBy(*keys).orderBy("__o_b")) - F.col("__o_c")).drop("__o_c")
+    placed = cut.withColumn("__o_i", F.row_number().over(W.partitionBy(*keys, "__o_b").orderBy(value)))
     return (
-        keyed_join(placed, sizes, [*keys, "_b"])
-        .withColumn(name, (F.col("_before") + F.col("_i")).cast("long"))
-        .drop("_b", "_i", "_before")
+        keyed_join(placed, sizes, [*keys, "__o_b"])
+        .withColumn(name, (F.col("__o_before") + F.col("__o_i")).cast("long"))
+        .drop("__o_b", "__o_i", "__o_before")
     )
 
 

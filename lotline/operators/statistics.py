@@ -85,13 +85,13 @@ def anova_eta(df: DataFrame, group: str, value: str) -> DataFrame:
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """H4 for one pair: correlation of average ranks over rows where both are known."""
     known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        F.col(x).cast("double").alias("_a"), F.col(y).cast("double").alias("_b")
+        F.col(x).cast("double").alias("x_"), F.col(y).cast("double").alias("y_")
     )
-    cells = known.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("c"))
-    ra = value_positions(cells, "_a", count="c").select("_a", F.col("avg_rank").alias("ra"))
-    rb = value_positions(cells, "_b", count="c").select("_b", F.col("avg_rank").alias("rb"))
+    cells = known.groupBy("x_", "y_").agg(F.count(F.lit(1)).alias("c"))
+    ra = value_positions(cells, "x_", count="c").select("x_", F.col("avg_rank").alias("ra"))
+    rb = value_positions(cells, "y_", count="c").select("y_", F.col("avg_rank").alias("rb"))
     c, a, b = F.col("c"), F.col("ra"), F.col("rb")
-    ranked = cells.join(ra, "_a").join(rb, "_b")
+    ranked = cells.join(ra, "x_").join(rb, "y_")
     middle = (scalar(cells, F.sum("c")) + 1) / 2.0  # the mean of average ranks, exactly
     return ranked.agg(
         F.sum(c).alias("n"),
