@@ -39,25 +39,24 @@ def _(spark, root):
 
 @query("e3_period_grid", "SELECT CAST(period AS BIGINT) AS period, CAST(idx AS BIGINT) AS idx FROM grid", ("grid",))
 def _(spark, root):
-    return E.period_grid(V.panel(spark, root), "period")
+    return V.grid(spark, root)
 
 
 @query("e4_gap_check", 'SELECT * FROM gaps', ("gaps",))
 def _(spark, root):
-    cells = V.panel(spark, root)
-    return E.gap_check(V.episodes(spark, root, cells), E.period_grid(cells, "period"))
+    return E.gap_check(V.episodes(spark, root), V.grid(spark, root))
 
 
 @query("e5_missing_period_counts", "SELECT period, n_missing FROM missing_counts", ("missing_counts",))
 def _(spark, root):
-    cells = V.panel(spark, root)
+    cells = stored(V.panel(spark, root))
     grid = E.period_grid(cells, "period")
     return E.missing_period_counts(V.episodes(spark, root, cells), cells, grid, key=KEY, value="shop_id")
 
 
 @query("e6_structural_bad_periods", "SELECT period FROM bad", ("bad",))
 def _(spark, root):
-    cells = V.panel(spark, root)
+    cells = stored(V.panel(spark, root))
     return V.bad_periods(spark, root, V.episodes(spark, root, cells), cells, E.period_grid(cells, "period"))
 
 

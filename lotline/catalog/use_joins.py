@@ -170,8 +170,7 @@ def _(spark, root):
 @query("c11_expand_span", """
 SELECT e.location_id, e.episode_id, g.period, g.idx FROM episodes e JOIN grid g ON g.period BETWEEN e."start" AND e."end" """, ("episodes", "grid"))
 def _(spark, root):
-    cells = V.panel(spark, root)
-    return J.expand_span(V.episodes(spark, root, cells), "start", "end", E.period_grid(cells, "period")).select(
+    return J.expand_span(V.episodes(spark, root), "start", "end", V.grid(spark, root)).select(
         "location_id", "episode_id", "period", "idx")
 
 

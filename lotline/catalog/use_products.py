@@ -57,7 +57,7 @@ FROM loc l JOIN stations s ON CAST(s.station_id AS VARCHAR) = l.parcel LEFT JOIN
 ON p.station_id = s.station_id""", ("loc", "stations", "edges"))
 def _(spark, root):
     eps = V.episodes(spark, root)
-    cal = E.calendar(E.period_grid(V.panel(spark, root), "period"))
+    cal = E.calendar(V.grid(spark, root))
     vac = E.vacancy(eps, cal, key=["location_id"]).select("location_id", "vacancy_rate")
     dominant = V.shares(spark, root).where("is_dominant").select("location_id", F.col("industry").alias("dominant_ind"))
     metrics = E.location_metrics(eps, key=["location_id"])
@@ -377,7 +377,7 @@ FROM episodes e JOIN grid g ON g.period = e."start" WHERE e.location_id IN (SELE
 
 
 def store_rows(spark, root):
-    cal = E.calendar(E.period_grid(V.panel(spark, root), "period"))
+    cal = E.calendar(V.grid(spark, root))
     base = V.loc(spark, root).where("district_id is not null")
     return P.store_episodes(V.episodes(spark, root), base, cal, entry_cutoff=199901)
 

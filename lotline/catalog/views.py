@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lotline.operators import episodes as E
 from lotline.operators.aggregates import share_and_dominant
-from lotline.runtime import table
+from lotline.runtime import scalar, table
 
 OUTAGE = (199709, 199812)
 
@@ -93,19 +93,27 @@ def areas(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def panel(spark: SparkSession, root: str) -> DataFrame:
+def panel_source(spark: SparkSession, root: str) -> DataFrame:
+    """Rows behind the panel with numeric keys: (site, level, period, tenant)."""
     rows = table(spark, root, "lineitem").select(
-        "l_suppkey",
-        F.concat_ws("_", F.col("l_suppkey").cast("string"), (F.col("l_partkey") % 6 + 1).cast("string"), F.lit("1"))
-        .alias("location_id"),
-        quarter("l_shipdate").alias("period"),
-        F.concat(F.lit("S"), (F.col("l_orderkey") % 3).cast("string")).alias("shop_id"),
+        F.col("l_suppkey").alias("site"), (F.col("l_partkey") % 6 + 1).alias("level"), quarter("l_shipdate").alias("period"),
+        (F.col("l_orderkey") % 3).alias("tenant"),
     )
-    site = areas(spark, root).select("s_suppkey", "r_name")
-    kept = rows.join(site, F.col("l_suppkey") == F.col("s_suppkey")).where(
-        ~(F.col("period").between(*OUTAGE) & (F.col("r_name") != "EUROPE"))
+    region = areas(spark, root).select(F.col("s_suppkey").alias("site"), "r_name")
+    return rows.join(region, "site").where(~(F.col("period").between(*OUTAGE) & (F.col("r_name") != "EUROPE")))
+
+
+def panel(spark: SparkSession, root: str) -> DataFrame:
+    # numbers are grouped (hash aggregation); the texts are built on the much smaller result
+    cells = E.one_tenant(panel_source(spark, root), ["site", "level"], "period", "tenant")
+    return cells.select(
+        F.concat_ws("_", F.col("site").cast("string"), F.col("level").cast("string"), F.lit("1")).alias("location_id"),
+        "period", F.concat(F.lit("S"), F.col("tenant").cast("string")).alias("shop_id"),
     )
-    return E.one_tenant(kept, ["location_id"], "period", "shop_id")
+
+
+def grid(spark: SparkSession, root: str) -> DataFrame:
+    return E.period_grid(panel_source(spark, root), "period")
 
 
 _sql("grid", ("panel",), """
@@ -124,8 +132,9 @@ GROUP BY location_id, episode_id
 
 
 def episodes(spark: SparkSession, root: str, cells: DataFrame | None = None) -> DataFrame:
+    last = scalar(panel_source(spark, root) if cells is None else cells, F.max("period"))
     cells = panel(spark, root) if cells is None else cells
-    return E.detect_episodes(cells, key=["location_id"], period="period", value="shop_id", unique=True)
+    return E.detect_episodes(cells, key=["location_id"], period="period", value="shop_id", unique=True, last_period=last)
 
 
 _sql("metrics", ("episodes",), """
@@ -219,7 +228,7 @@ def loc(spark: SparkSession, root: str) -> DataFrame:
     from lotline.functions.columns import parse_location_id
 
     eps = episodes(spark, root)
-    cal = E.calendar(E.period_grid(panel(spark, root), "period"))
+    cal = E.calendar(grid(spark, root))
     dominant = shares(spark, root).where("is_dominant").select("location_id", F.col("industry").alias("dominant_ind"))
     named = F.col("s_acctbal") >= 0
     site = areas(spark, root).select(

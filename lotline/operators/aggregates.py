@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lotline.operators.ordinals import exact_quantiles, weighted_quantile
+from lotline.operators.ordinals import exact_quantiles, quantile_values, weighted_quantile
 from lotline.runtime import keyed_join, scalar
 
 
@@ -263,10 +263,11 @@ def describe_exact(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame
         F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
         F.min(col).cast("double").alias("min"), F.max(col).cast("double").alias("max"),
     )
-    quartiles = exact_quantiles(df, col, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, by=by)
     if by:
+        quartiles = exact_quantiles(df, col, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, by=by)
         return keyed_join(base, quartiles, by, "left")
-    return base.withColumns({q: quartiles.select(q).scalar() for q in ("q25", "q50", "q75")})
+    values = quantile_values(df, col, [0.25, 0.5, 0.75])
+    return base.withColumns({q: F.lit(v).cast("double") for q, v in zip(("q25", "q50", "q75"), values)})
 
 
 def set_overlap(df: DataFrame, flag_a: str, flag_b: str) -> DataFrame:

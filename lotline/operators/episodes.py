@@ -40,20 +40,25 @@ def detect_episodes(
     """
     cells = panel.select(*key, period, value) if unique else one_tenant(panel, key, period, value)
     last = last_period if last_period is not None else scalar(panel, F.max(period))
+    # one shuffle and one sort: both windows share partitioning and order, and only first rows of runs go on
     order = W.partitionBy(*key).orderBy(period)
+    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     before = F.lag(value).over(order)
-    start = F.when(before.isNull() | (before != F.col(value)), 1).otherwise(0)
-    return (
-        cells.withColumn("_start", start)
-        .withColumn("episode_id", F.sum("_start").over(order.rowsBetween(W.unboundedPreceding, 0)))
-        .groupBy(*key, "episode_id")
-        .agg(
-            F.min_by(value, period).alias(value),
-            F.min(period).alias("start"),
-            F.max(period).alias("end"),
-            F.count(F.lit(1)).alias("surv_q"),
-        )
-        .withColumn("state", F.when(F.col("end") == last, OPEN).otherwise(CLOSED))
+    firsts = (
+        cells.withColumns({
+            "__first": before.isNull() | (before != F.col(value)), "__row": F.row_number().over(order),
+            "__prev": F.lag(period).over(order), "__last": F.max(period).over(whole), "__n": F.count(F.lit(1)).over(whole),
+        })
+        .where("__first")
+    )
+    runs = firsts.withColumns({
+        "episode_id": F.row_number().over(order).cast("long"), "start": F.col(period),
+        "end": F.coalesce(F.lead("__prev").over(order), F.col("__last")),
+        "surv_q": (F.coalesce(F.lead("__row").over(order), F.col("__n") + 1) - F.col("__row")).cast("long"),
+    })
+    return runs.select(
+        *key, "episode_id", value, "start", "end", "surv_q",
+        F.when(F.col("end") == last, OPEN).otherwise(CLOSED).alias("state"),
     )
 
 
@@ -247,23 +252,25 @@ def prior_count(df: DataFrame, *, key: Sequence[str], order: str, name: str = "p
     return df.withColumn(name, F.row_number().over(W.partitionBy(*key).orderBy(order)) - 1)
 
 
-def vacancy(episodes: DataFrame, cal: DataFrame, *, key: Sequence[str]) -> DataFrame:
+def vacancy(episodes: DataFrame, cal: DataFrame, *, key: Sequence[str], period: str = "period") -> DataFrame:
     """Vacant share between the first start and the last end of a place.
 
     Expected periods leave out bad ones in which nobody was there. Occupied periods are a set, so
     overlapping episodes count once. The rate is null when no period is expected.
     """
-    spans = _span(episodes, cal)
-    # a short array of places in the grid per row; the set per key is no larger than the grid
-    per_key = spans.select(*key, "start", "end", "start_idx", "end_idx",
-                           F.explode(F.sequence("start_idx", "end_idx")).alias("idx"))
-    busy = per_key.join(cal.select("idx", "bad", "good_upto"), "idx").groupBy(*key).agg(
-        F.min("start").alias("first_q"), F.max("end").alias("last_q"),
-        F.min("start_idx").alias("_a"), F.max("end_idx").alias("_z"),
-        F.count_distinct("idx").alias("_busy"),
-        F.count_distinct(F.when(F.col("bad"), F.col("idx"))).alias("_busy_bad"),
-        F.max(F.when(F.col("idx") == F.col("end_idx"), F.col("good_upto"))).alias("_good_z"),
-        F.min(F.when(F.col("idx") == F.col("start_idx"), F.col("good_upto") - F.when(F.col("bad"), 0).otherwise(1))).alias("_good_a"),
+    at = cal.select(F.col(period).alias("start"), F.col("idx").alias("start_idx"))
+    to = cal.select(F.col(period).alias("end"), F.col("idx").alias("end_idx"))
+    occupied = (
+        episodes.join(at, "start").join(to, "end")
+        .select(*key, F.explode(F.sequence("start_idx", "end_idx")).alias("idx")).distinct()
+    )
+    # the first and the last period of a place are occupied, so the running number of good periods
+    # there is the smallest and the largest one seen
+    good = F.when(F.col("bad"), 0).otherwise(1)
+    busy = occupied.join(cal, "idx").groupBy(*key).agg(
+        F.min(period).alias("first_q"), F.max(period).alias("last_q"), F.count(F.lit(1)).alias("_busy"),
+        F.count_if(F.col("bad")).alias("_busy_bad"), F.max("good_upto").alias("_good_z"),
+        F.min(F.col("good_upto") - good).alias("_good_a"),
     )
     good_span = F.col("_good_z") - F.col("_good_a")
     return (

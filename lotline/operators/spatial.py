@@ -97,14 +97,16 @@ def _search_level(coords: DataFrame, anchors: DataFrame, x0: float, y0: float, c
 
 
 def _around(df: DataFrame, x0: float, y0: float, cell: float) -> DataFrame:
-    """The 3 x 3 cells around each row at its level."""
+    """The 3 x 3 cells around each row at its level, with the lowest of them (``_bx``, ``_by``)."""
     size = F.lit(cell) * F.pow(F.lit(2.0), F.col("_lv"))
 
-    def neighbours(v: Column, origin: float) -> Column:
-        own = F.floor((v - F.lit(origin)) / size).cast("long")
-        return F.explode(F.array(own - 1, own, own + 1))
+    def own(v: Column, origin: float) -> Column:
+        return F.floor((v - F.lit(origin)) / size).cast("long")
 
-    return df.withColumn("_cx", neighbours(F.col("_x"), x0)).withColumn("_cy", neighbours(F.col("_y"), y0))
+    based = df.withColumns({"_bx": own(F.col("_x"), x0) - 1, "_by": own(F.col("_y"), y0) - 1})
+    steps = F.array(F.lit(0), F.lit(1), F.lit(2))
+    return based.withColumn("_cx", F.explode(F.transform(steps, lambda i: F.col("_bx") + i))).withColumn(
+        "_cy", F.explode(F.transform(steps, lambda i: F.col("_by") + i)))
 
 
 def nearest_polygon(
@@ -127,13 +129,16 @@ def nearest_polygon(
         polygons.withColumn("_e", ring_edges(F.col("ring")))
         .withColumn("_p", F.struct(F.col(polygon_id), *[F.col(c) for c in keep if c != polygon_id]))
         .withColumn("_lv", F.explode(F.sequence(F.lit(1), F.lit(top + 1))))
-        .withColumn("_cx", F.explode(F.sequence(index(F.array_min(xs), x0), index(F.array_max(xs), x0))))
-        .withColumn("_cy", F.explode(F.sequence(index(F.array_min(ys), y0), index(F.array_max(ys), y0))))
-        .select("_lv", "_cx", "_cy", "_e", "_p")
+        .withColumns({"_px": index(F.array_min(xs), x0), "_py": index(F.array_min(ys), y0)})
+        .withColumn("_cx", F.explode(F.sequence(F.col("_px"), index(F.array_max(xs), x0))))
+        .withColumn("_cy", F.explode(F.sequence(F.col("_py"), index(F.array_max(ys), y0))))
+        .select("_lv", "_cx", "_cy", "_px", "_py", "_e", "_p")
     )
+    # a polygon meets a point in several cells; only the lowest shared one counts
+    once = (F.col("_cx") == F.greatest("_px", "_bx")) & (F.col("_cy") == F.greatest("_py", "_by"))
     x, y, edges = F.col("_x"), F.col("_y"), F.col("_e")
     distance = F.when(inside_ring(x, y, edges), F.lit(0.0)).otherwise(ring_distance(x, y, edges))
-    best = asked.join(listed, ["_lv", "_cx", "_cy"]).groupBy("_x", "_y").agg(
+    best = asked.join(listed, ["_lv", "_cx", "_cy"]).where(once).groupBy("_x", "_y").agg(
         F.min(F.struct(distance.alias("d"), F.col("_p").alias("p"))).alias("_best")
     )
     names = [polygon_id, *[c for c in keep if c != polygon_id]]

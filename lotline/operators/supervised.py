@@ -14,7 +14,7 @@ from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotline.operators.ordinals import ordinal_rank, value_positions
+from lotline.operators.ordinals import ordinal_rank, value_positions, with_bucket
 from lotline.operators.ranked import hash_share
 from lotline.runtime import cut, scalar, stored
 
@@ -131,20 +131,20 @@ def fold_metrics(df: DataFrame, y: str, score_col: str) -> DataFrame:
 
 def threshold_scan(df: DataFrame, y: str, score_col: str, grid: Sequence[float] | None = None) -> DataFrame:
     """Confusion counts and rates at every threshold from one histogram of the scores."""
-    grid = sorted(grid or [round(0.05 + 0.01 * i, 2) for i in range(91)])
-    passed = F.size(F.filter(F.array(*[F.lit(float(t)) for t in grid]), lambda t: t <= F.col(score_col)))
-    hist = df.groupBy(passed.alias("k")).agg(
+    grid = sorted(float(t) for t in (grid or [round(0.05 + 0.01 * i, 2) for i in range(91)]))
+    scored = df.where(F.col(score_col).isNotNull()).withColumn("__s", F.col(score_col).cast("double"))
+    hist = with_bucket(scored, "__s", grid, "k").groupBy("k").agg(
         F.sum((F.col(y) == 1).cast("long")).alias("p"), F.sum((F.col(y) == 0).cast("long")).alias("q"))
-    # at most len(grid) + 1 rows: folded into one row of conditional sums
-    sums = []
-    for i in range(len(grid)):
-        above = F.col("k") > i
-        sums.append(F.struct(
-            F.lit(float(grid[i])).alias("threshold"), F.coalesce(F.sum(F.when(above, F.col("p"))), F.lit(0)).alias("tp"),
-            F.coalesce(F.sum(F.when(above, F.col("q"))), F.lit(0)).alias("fp"),
-            F.coalesce(F.sum(F.when(~above, F.col("q"))), F.lit(0)).alias("tn"),
-            F.coalesce(F.sum(F.when(~above, F.col("p"))), F.lit(0)).alias("fn")))
-    table = hist.agg(F.array(*sums).alias("t")).select(F.inline("t"))
+    # at most len(grid) + 1 entries; bucket k holds the scores that reach exactly k thresholds
+    one = hist.agg(F.collect_list(F.struct("k", "p", "q")).alias("h"))
+    spread = one.select("h", F.posexplode(F.array(*[F.lit(t) for t in grid])).alias("i", "threshold"))
+
+    def total(field: str, above: bool):
+        hit = (lambda x: x["k"] > F.col("i")) if above else (lambda x: x["k"] <= F.col("i"))
+        return F.aggregate(F.filter("h", hit), F.lit(0).cast("long"), lambda acc, x: acc + x[field])
+
+    table = spread.select("threshold", total("p", True).alias("tp"), total("q", True).alias("fp"),
+                          total("q", False).alias("tn"), total("p", False).alias("fn"))
 
     def share(a: str, b: str):
         return F.col(a) / F.nullif(F.col(a) + F.col(b), F.lit(0))

@@ -13,7 +13,7 @@ from lotline.operators import episodes as E
 from lotline.operators import ranked as R
 from lotline.operators.cleaning import flag_cascade, rare_to_other
 from lotline.operators.joins import attach, join_with_fallback, outer_features
-from lotline.operators.ordinals import exact_quantiles
+from lotline.operators.ordinals import quantile_values
 from lotline.operators.spatial import count_within, nearest_point, points_in_polygons
 from lotline.runtime import keyed_join, scalar, stored
 
@@ -73,7 +73,7 @@ def vacancy_types(locations: DataFrame, frequent: DataFrame, area: Sequence[str]
     base = locations.where(F.col(area[0]).isNotNull()).groupBy(*area).agg(
         F.count(F.lit(1)).alias("n_area"), F.avg("vacancy_rate").alias("area_vacancy")
     )
-    middle = exact_quantiles(base, "area_vacancy", {"m": 0.5}).scalar()
+    middle = F.lit(quantile_values(base, "area_vacancy", [0.5])[0])
     out = attach(frequent, base.select(area[0], "n_area", "area_vacancy"), [area[0]])
     rate = F.col("area_vacancy")
     return out.withColumn(
@@ -201,9 +201,8 @@ def relative_metrics(locations: DataFrame, area: DataFrame, cell: DataFrame, kin
 def relative_candidates(relative: DataFrame, area_q: float = 0.25, excess_q: float = 0.9) -> DataFrame:
     """Places in quiet districts (rate at most the lower quartile) whose adjusted excess is in the top decile."""
     real = relative.where("real_area")
-    quiet = exact_quantiles(real, "area_rate", {"q": area_q}).scalar()
-    loud = exact_quantiles(real, "adj_rel_rate", {"q": excess_q}).scalar()
-    return real.where((F.col("area_rate") <= quiet) & (F.col("adj_rel_rate") > loud))
+    quiet, loud = quantile_values(real, "area_rate", [area_q])[0], quantile_values(real, "adj_rel_rate", [excess_q])[0]
+    return real.where((F.col("area_rate") <= F.lit(quiet)) & (F.col("adj_rel_rate") > F.lit(loud)))
 
 
 def compare_assigned(df: DataFrame, flag: str, class_col: str, cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -227,11 +226,12 @@ def risk_base(
     df = rows.join(means.where(F.col("n_area") >= min_area), area).withColumns(
         {f"excess_{c}": F.col(c) - F.col(f"area_{c}") for c in names}
     )
+    df = stored(df)
     summaries = []
     edges = {}
     for b in bases:
-        cut = exact_quantiles(df, f"excess_{b}", {"q90": q, "q95": q_top})
-        edges[b] = (cut.select("q90").scalar(), cut.select("q95").scalar())
+        low, high = quantile_values(df, f"excess_{b}", [q, q_top])
+        edges[b] = (F.lit(low), F.lit(high))
     df = df.withColumns({f"risk_{b}": F.when(F.col(f"excess_{b}") >= edges[b][0], 1).otherwise(0) for b in bases})
     df = df.withColumns({
         "risk": F.col(f"risk_{chosen}"), "top5": F.when(F.col(f"excess_{chosen}") >= edges[chosen][1], 1).otherwise(0),
