@@ -11,7 +11,7 @@ from lotline.runtime import table
 
 
 @query("b1_padded_key", """
-SELECT l_orderkey, l_linenumber, l_partkey, lpad(CAST(l_suppkey AS VARCHAR), 10, '0') || CAST(CASE WHEN l_linenumber > 4 THEN l_linenumber ELSE 1 END AS VARCHAR)
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, lpad(CAST(l_suppkey AS VARCHAR), 10, '0') || CAST(CASE WHEN l_linenumber > 4 THEN l_linenumber ELSE 1 END AS VARCHAR)
   || lpad(CAST(l_partkey AS VARCHAR), CAST(greatest(4, len(CAST(l_partkey AS VARCHAR))) AS INTEGER), '0') || lpad(CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), 4, '0') AS parcel_key
 FROM lineitem""")
 def _(spark, root):
@@ -21,7 +21,7 @@ def _(spark, root):
 
 
 @query("b2_reverse_code_map", """
-SELECT s_nationkey, c_mktsegment, arg_min(code, (-n, code)) AS code FROM (
+SELECT CAST(s_nationkey AS BIGINT) AS s_nationkey, c_mktsegment, arg_min(code, (-n, code)) AS code FROM (
   SELECT c_nationkey AS s_nationkey, c_mktsegment, c_custkey % 7 AS code, count(*) AS n FROM customer GROUP BY ALL) t GROUP BY ALL
 """)
 def _(spark, root):
@@ -120,7 +120,7 @@ def _(spark, root):
 
 
 @query("b10_parse_location_id", """
-SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_suppkey AS VARCHAR) AS parcel, 'B_' || CAST(l_partkey % 6 AS VARCHAR) AS floor, CAST(l_linenumber AS VARCHAR) AS slot
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, CAST(l_suppkey AS VARCHAR) AS parcel, 'B_' || CAST(l_partkey % 6 AS VARCHAR) AS floor, CAST(l_linenumber AS VARCHAR) AS slot
 FROM lineitem""")
 def _(spark, root):
     rows = table(spark, root, "lineitem").withColumn("loc", C.location_id(
@@ -155,7 +155,7 @@ def _(spark, root):
 
 
 @query("b14_null_out_invalid", """
-SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_extendedprice <= 0 OR l_extendedprice > 1000000
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, CASE WHEN l_extendedprice <= 0 OR l_extendedprice > 1000000
     OR (l_extendedprice > l_quantity * 100 * greatest(l_linenumber, 1) * 3 AND l_quantity * 100 > 0) THEN NULL ELSE l_extendedprice END AS area,
   CASE WHEN year(l_shipdate) - 98 BETWEEN 1900 AND 2026 THEN year(l_shipdate) - 98 END AS approval_year
 FROM lineitem""")

@@ -49,7 +49,7 @@ def _(spark, root):
     return J.outer_features([a, b, c], ["k"])
 
 
-@query("c4_lookup", "SELECT l_orderkey, l_linenumber, l_partkey, p_type, CAST(p_size AS BIGINT) AS p_size FROM lineitem LEFT JOIN part ON l_partkey = p_partkey")
+@query("c4_lookup", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, p_type, CAST(p_size AS BIGINT) AS p_size FROM lineitem LEFT JOIN part ON l_partkey = p_partkey")
 def _(spark, root):
     rows = table(spark, root, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"))
     return J.lookup(rows, table(spark, root, "part"), "p_partkey", ["p_type", "p_size"]).withColumnRenamed("p_partkey", "l_partkey")
@@ -62,13 +62,13 @@ def _pairs(spark, root):
     return table(spark, root, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
 
 
-@query("c5_keep_in", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem SEMI JOIN ({_PAIRS}) p USING (l_partkey, l_suppkey)")
+@query("c5_keep_in", f"SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey FROM lineitem SEMI JOIN ({_PAIRS}) p USING (l_partkey, l_suppkey)")
 def _(spark, root):
     rows = table(spark, root, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     return J.keep_in(rows, _pairs(spark, root), ["l_partkey", "l_suppkey"])
 
 
-@query("c5_keep_not_in", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem ANTI JOIN ({_PAIRS}) p USING (l_partkey, l_suppkey)")
+@query("c5_keep_not_in", f"SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey FROM lineitem ANTI JOIN ({_PAIRS}) p USING (l_partkey, l_suppkey)")
 def _(spark, root):
     rows = table(spark, root, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     return J.keep_not_in(rows, _pairs(spark, root), ["l_partkey", "l_suppkey"])

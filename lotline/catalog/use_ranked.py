@@ -194,7 +194,7 @@ def _(spark, root):
 _HASH = "CAST(concat('0x', substr(md5(concat('42|', CAST({k} AS VARCHAR))), 1, 8)) AS BIGINT) / 4294967296.0"
 
 
-@query("f6_sample_groups", f"SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE {_HASH.format(k='l_partkey')} < 0.2")
+@query("f6_sample_groups", f"SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey FROM lineitem WHERE {_HASH.format(k='l_partkey')} < 0.2")
 def _(spark, root):
     return R.sample_groups(table(spark, root, "lineitem"), ["l_partkey"], 0.2).select("l_orderkey", "l_linenumber", "l_partkey")
 

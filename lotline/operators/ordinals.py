@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotline.runtime import SMALL_ROWS, keyed_join
+from lotline.runtime import SMALL_ROWS, keyed_join, pinned
 
 _ALL = "__all"
 
@@ -73,6 +73,7 @@ def exact_quantiles(
         .where(F.size("__o_t") > 0)
         .select(*keys, "__o_b", "__o_before", "__o_t")
     )
+    hits = pinned(hits)  # a few rows per group: the rows are then filtered where they are read
     inside = (
         keyed_join(rows, hits, [*keys, "__o_b"])
         .groupBy(*keys, "__o_b", "__o_v")
@@ -123,6 +124,7 @@ def weighted_quantile(
         .where(F.col("__o_rn") == 1)
         .select(*keys, "__o_b", "__o_goal", (F.col("__o_upto") - F.col("__o_s")).alias("__o_before"))
     )
+    hits = pinned(hits)
     out = (
         keyed_join(rows, hits, [*keys, "__o_b"])
         .groupBy(*keys, "__o_b", "__o_v")
@@ -149,7 +151,7 @@ def value_positions(df: DataFrame, value: str, by: Sequence[str] = (), count: st
     )
     running = F.sum("n").over(W.partitionBy(*keys, "__o_b").orderBy(value)) - F.col("n")
     out = (
-        keyed_join(counts.withColumn("__o_run", running), offsets.select(*keys, "__o_b", "__o_before"), [*keys, "__o_b"])
+        keyed_join(counts.withColumn("__o_run", running), pinned(offsets.select(*keys, "__o_b", "__o_before")), [*keys, "__o_b"])
         .withColumn("smaller", F.col("__o_before") + F.col("__o_run"))
         .withColumn("avg_rank", F.col("smaller") + (F.col("n") + 1) / 2.0)
     )

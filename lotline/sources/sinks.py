@@ -21,7 +21,7 @@ def write_report(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 def write_area_documents(df: DataFrame, area: str, path: str, max_records: int = 100_000, mode: str = "errorifexists") -> None:
     """JSON lines per district folder. A big district spreads over several files and several tasks, because
     rows are spread by a hash of the whole row inside the district instead of being gathered."""
-    salt = F.pmod(F.xxhash64(F.to_json(F.struct(*df.columns))), F.lit(16))
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(16))
     df.repartition(F.col(area), salt).write.mode(mode).option("maxRecordsPerFile", max_records).partitionBy(area).json(path)
 
 
