@@ -99,8 +99,13 @@ def panel_source(spark: SparkSession, root: str) -> DataFrame:
         F.col("l_suppkey").alias("site"), (F.col("l_partkey") % 6 + 1).alias("level"), quarter("l_shipdate").alias("period"),
         (F.col("l_orderkey") % 3).alias("tenant"),
     )
-    region = areas(spark, root).select(F.col("s_suppkey").alias("site"), "r_name")
-    return rows.join(region, "site").where(~(F.col("period").between(*OUTAGE) & (F.col("r_name") != "EUROPE")))
+    # joined one base table at a time: each right side has a known size, so Catalyst builds on it and
+    # never on the facts
+    supplier = table(spark, root, "supplier").select(F.col("s_suppkey").alias("site"), "s_nationkey")
+    nation = table(spark, root, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
+    region = table(spark, root, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
+    joined = rows.join(supplier, "site").join(nation, "s_nationkey").join(region, "n_regionkey")
+    return joined.where(~(F.col("period").between(*OUTAGE) & (F.col("r_name") != "EUROPE"))).select(*rows.columns)
 
 
 def panel(spark: SparkSession, root: str) -> DataFrame:
