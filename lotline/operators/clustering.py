@@ -245,7 +245,8 @@ def density_cluster(df: DataFrame, key: str, x: str, y: str, eps: float, min_sam
 
     Cells have a diagonal of eps, so all points of a cell are neighbours: a full cell needs no look at pairs,
     and components are found between cells, not between points. Equal coordinates are one point with a count.
-    Two cells are joined without pairs when their boxes of core points lie within eps of each other.
+    Two cells are joined without pairs when their boxes of core points lie within eps of each other; the
+    others are looked at part by part (``_linked_cells``).
     """
     side = eps / math.sqrt(2) * (1 - 1e-9)
     flat = (
@@ -279,8 +280,7 @@ def density_cluster(df: DataFrame, key: str, x: str, y: str, eps: float, min_sam
     both = both.withColumns({"least": lo[0] * lo[0] + lo[1] * lo[1], "most": hi[0] * hi[0] + hi[1] * hi[1]})
     sure = both.where(F.col("most") <= eps * eps).select("cx", "cy", "tx", "ty")
     open_ = both.where((F.col("most") > eps * eps) & (F.col("least") <= eps * eps)).select("cx", "cy", "tx", "ty")
-    goal = core.select(F.col("cx").alias("tx"), F.col("cy").alias("ty"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    proven = open_.join(core, ["cx", "cy"]).join(goal, ["tx", "ty"]).where(gap).select("cx", "cy", "tx", "ty").distinct()
+    proven = _linked_cells(open_, core, side, eps)
     name = lambda a, b: F.concat_ws(":", F.col(a).cast("string"), F.col(b).cast("string"))
     edges = sure.unionByName(proven).select(name("cx", "cy").alias("a"), name("tx", "ty").alias("b"))
     labels = connected_components(boxes.select(name("cx", "cy").alias("node")), edges)
@@ -296,6 +296,32 @@ def density_cluster(df: DataFrame, key: str, x: str, y: str, eps: float, min_sam
     return joined.join(final.withColumnsRenamed({"x": "_x", "y": "_y"}), ["_x", "_y"], "left").select(*df.columns, "cluster")
 
 
+def _linked_cells(pairs: DataFrame, core: DataFrame, side: float, eps: float, split: int = 8) -> DataFrame:
+    """Pairs of cells with at least one pair of core points within eps.
+
+    Each cell is cut into parts. Two parts that lie wholly within eps prove the link, as dense cells nearly
+    always do; points are compared only in parts that straddle eps, and only for pairs without such a proof.
+    """
+    cells = ["cx", "cy", "tx", "ty"]
+    placed = core.withColumns({"sx": F.floor(F.col("x") * split / side), "sy": F.floor(F.col("y") * split / side)})
+    left = placed.groupBy("cx", "cy", "sx", "sy").agg(
+        F.min("x").alias("ax"), F.max("x").alias("bx"), F.min("y").alias("ay"), F.max("y").alias("by"))
+    turned = {"cx": "tx", "cy": "ty", "sx": "ux", "sy": "uy"}
+    right = left.withColumnsRenamed({**turned, **{c: f"{c}2" for c in ("ax", "bx", "ay", "by")}})
+    dx = F.greatest(F.col("ax2") - F.col("bx"), F.col("ax") - F.col("bx2"), F.lit(0.0))
+    dy = F.greatest(F.col("ay2") - F.col("by"), F.col("ay") - F.col("by2"), F.lit(0.0))
+    wx = F.greatest(F.col("bx2") - F.col("ax"), F.col("bx") - F.col("ax2"))
+    wy = F.greatest(F.col("by2") - F.col("ay"), F.col("by") - F.col("ay2"))
+    near = pairs.join(left, ["cx", "cy"]).join(right, ["tx", "ty"]).withColumn("whole", wx * wx + wy * wy <= eps * eps)
+    near = near.where(dx * dx + dy * dy <= eps * eps).select(*cells, "sx", "sy", "ux", "uy", "whole")
+    sure = near.where("whole").select(*cells).distinct()
+    rest = near.where(~F.col("whole")).join(sure, cells, "left_anti")
+    goal = placed.withColumnsRenamed({**turned, "x": "x2", "y": "y2"})
+    close = F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2) <= eps * eps
+    met = rest.join(placed, ["cx", "cy", "sx", "sy"]).join(goal, ["tx", "ty", "ux", "uy"]).where(close).select(*cells).distinct()
+    return sure.unionByName(met)
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest node name of each component: neighbours' minimum, then the label of the label (halving the
     remaining distance), until nothing changes. Each round is checkpointed."""
