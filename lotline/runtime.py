@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -47,23 +50,38 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(_schemas[path]).parquet(path)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh path in the folder all executors can reach (``spark.checkpoint.dir``).
+def shared_root(spark: SparkSession) -> str:
+    """The folder all executors can reach: ``spark.checkpoint.dir``, or the one set on the context.
 
-    Only where the cluster names none (tests, a single machine) a temporary folder is taken.
+    Only on a local master, where every task sees the same disk, a temporary folder is made if none is named.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{root.rstrip('/')}/lotline-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    given = context._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get().rstrip("/")
+    if not re.match(r"local(\[|$)", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    context.setCheckpointDir(root)
+    return root
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A fresh path in the shared folder; it goes when the driver ends."""
+    path = f"{shared_root(spark)}/lotline-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -3,6 +3,7 @@ import random
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+import pytest
 from pyspark.sql import functions as F
 
 from lotline.operators import aggregates as A
@@ -156,3 +157,15 @@ def test_value_history_runs(spark):
     assert R.value_history(df, ["shop"], ["name"], "period").count() == 2
     runs = {(r["name"], r["first_q"], r["last_q"], r["changed"]) for r in R.value_history(df, ["shop"], ["name"], "period", runs=True).collect()}
     assert runs == {("A", 1, 1, True), ("B", 2, 2, True), ("A", 3, 3, True)}
+
+
+def test_no_silent_local_folder():
+    """Off a local master an unset shared folder is an error, never a folder on the driver's own disk."""
+    from types import SimpleNamespace as N
+
+    from lotline import runtime
+
+    conf, unset = N(get=lambda key, default=None: default), N(getCheckpointDir=lambda: N(isDefined=lambda: False))
+    context = N(getConf=lambda: conf, _jsc=N(sc=lambda: unset), master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        runtime.shared_root(N(sparkContext=context))
