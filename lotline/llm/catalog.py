@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotline.llm import bpe_codec
+from lotline.llm import bpe_codec, token_automaton
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -22,3 +22,8 @@ def query(fn):
 @query
 def op8_byte_bpe_codec(spark: SparkSession, root: str) -> DataFrame:
     return bpe_codec.encode_decode(table(spark, root, "documents"), digests=True)
+
+
+@query
+def op6_token_automaton(spark: SparkSession, root: str) -> DataFrame:
+    return token_automaton.count_tokens(table(spark, root, "documents"))

@@ -62,22 +62,22 @@ def text_bytes(values: list[str | bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b" ".join([*raw, b""]), np.uint8), starts
 
 
-def word_hashes(values: list[str | bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word of the texts, and the offsets of each text's words.
+def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit polynomial hash of each span of the bytes: equal bytes, equal hash, wherever they stand."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(len(data), _BASE, "up"), out=total[1:])
+    return (total[end] - total[begin]) * _power(len(data), pow(_BASE, -1, 2**64), "down")[begin]
+
 
-    Hashes of words of any length: a polynomial sum over the bytes, divided by the power at the word's start.
-    """
+def word_hashes(values: list[str | bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of the texts, and the offsets of each text's words."""
     data, starts = text_bytes(values)
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(values) + 1, np.int64)
     solid = ~_BLANK[data]
     edge = np.flatnonzero(np.diff(solid, prepend=False, append=False))
     begin, end = edge[::2], edge[1::2]
-    block = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(len(data), _BASE, "up"), out=block[1:])
-    inverse = pow(_BASE, -1, 2**64)
-    hashes = (block[end] - block[begin]) * _power(len(data), inverse, "down")[begin]
-    return mix(hashes), np.searchsorted(begin, starts)
+    return mix(span_hashes(data, begin, end)), np.searchsorted(begin, starts)
 
 
 def shingles(words: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ import random
 import public_tokenizers as P
 import pytest
 
-from lotline.llm import bpe_codec
+from lotline.llm import bpe_codec, token_automaton
 
 TEXTS = ["", None, "Hello world's  best\n\n  test 123", "naïve café — ☃ 你好", "a" * 3000, " \t\n ", "'s'sd 'll''s x'RE", "\x1c\x1d y 　z\x85", "x" + " " * 700 + "y", "<|endoftext|>b"]
 
@@ -45,3 +45,27 @@ def test_codec_empty_table(docs):
 def test_ranks_with_holes_are_refused():
     with pytest.raises(ValueError):
         bpe_codec.serialise({bytes([b]): b + (b > 7) for b in range(256)})
+
+
+def test_counts_equal_library(docs):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = []
+    for r in docs.collect():
+        text = r["text"] or ""
+        n = len(library.encode(text, add_special_tokens=False).ids)
+        want.append((r["doc_id"], len(text.encode()), n, n > 1024))
+    got = [tuple(r) for r in token_automaton.count_tokens(docs).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert token_automaton.count_tokens(docs.limit(0)).collect() == []
+
+
+def test_chunk_maps_of_long_pretokens():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    automaton = token_automaton.Automaton(P.path("byte_bpe_50k.json"))
+    rnd = random.Random(1)
+    values = ["".join(rnd.choice("abcdeést") for _ in range(n)) for n in (1, 255, 256, 257, 5000)] + noise(40, 9)
+    assert automaton.count(values).tolist() == [len(library.encode(v).ids) for v in values]
