@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotline.llm import bpe_codec, token_automaton
+from lotline.llm import bpe_codec, near_dup, token_automaton
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -27,3 +27,8 @@ def op8_byte_bpe_codec(spark: SparkSession, root: str) -> DataFrame:
 @query
 def op6_token_automaton(spark: SparkSession, root: str) -> DataFrame:
     return token_automaton.count_tokens(table(spark, root, "documents"))
+
+
+@query
+def op5_prob_minhash(spark: SparkSession, root: str) -> DataFrame:
+    return near_dup.classes(table(spark, root, "documents")).select("doc_id", "class_id")
