@@ -13,8 +13,9 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +24,7 @@ from lotline.llm.common import columns, texts
 
 SHIFT = 256
 #: Pre-tokens remembered by a Python worker at the start of a batch.
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 
 _codecs: dict[str, Codec] = {}
 
@@ -51,10 +52,8 @@ def _field(number: int, value: bytes | int | float) -> bytes:
 
 
 def mapped(data: bytes) -> str:
-    return data.decode("latin-1").translate(_TO_PIECE)
-
-
-_TO_PIECE = {b: SHIFT + b for b in range(256)}
+    """One character for each byte."""
+    return (np.frombuffer(data, np.uint8).astype("<u2") + SHIFT).tobytes().decode("utf-16-le")
 
 
 def serialise(ranks: dict[bytes, int]) -> bytes:
@@ -96,7 +95,9 @@ class Codec:
         new = [(p, p.encode()) for p in parts if p not in self.known]
         rest = [(p, b) for p, b in new if b not in self.ranks]
         self.known.update((p, [self.ranks[b]]) for p, b in new if b in self.ranks)
-        self.known.update(zip((p for p, _ in rest), self.model.encode([mapped(b) for _, b in rest]), strict=True))
+        whole, ends = mapped(b"".join(b for _, b in rest)), list(accumulate(len(b) for _, b in rest))
+        pieces = [whole[i:j] for i, j in zip([0, *ends], ends)]
+        self.known.update(zip((p for p, _ in rest), self.model.encode(pieces), strict=True))
 
     def encode(self, text: str) -> list[int]:
         parts = self.split(text)
