@@ -99,3 +99,16 @@ def shingles(words: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.nda
 
 def columns(batch: pa.RecordBatch) -> Iterator[list]:
     return (column.to_pylist() for column in batch.columns)
+
+
+def blocks(values: list[str], limit: int = 4_000_000) -> Iterator[list[str]]:
+    """Runs of whole texts of about ``limit`` characters together."""
+    block, size = [], 0
+    for value in values:
+        block.append(value)
+        size += len(value)
+        if size >= limit:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from lotline.llm.common import keep
 
-#: Bucket values in one reduce task, and features (with repeats) compared in one task.
-BUCKET_VALUES, BLOCK_FEATURES = 1_000_000, 300_000
+#: Bucket values in one reduce task; features of a block of members, each counted as LEAST_FEATURES at least, so that a block
+#: has a thousand members at most.
+BUCKET_VALUES, BLOCK_FEATURES, LEAST_FEATURES = 1_000_000, 300_000, 300
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -47,21 +48,20 @@ def _stars(values: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return ids[far], centre[far], values[first], ids[first]
 
 
-def bucket_links(signatures: DataFrame, rows: int) -> DataFrame:
-    """Links (a, b), not distinct, that join all ids with a bucket value in common; input id and bands (array of long).
+def bucket_links(signatures: DataFrame, values: int, bands: int) -> DataFrame:
+    """Links (a, b), not distinct, that join all ids with a bucket value in common; input: ids and bands, arrays of long with
+    ``bands`` values for each id in turn.
 
     Values are packed as arrays. Each batch first joins its own ids of a value and sends one of them on, so a value that
-    every id has costs a task no more than the number of batches. ``rows`` sets the number of reduce tasks.
+    every id has costs a task no more than the number of batches. ``values``, their number, sets the number of reduce tasks.
     """
-    width = max(1, -(-rows // BUCKET_VALUES))
+    width = max(1, -(-values // BUCKET_VALUES))
     names = ["part", "values", "ids"]
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bands = batch.column(1)
-            lengths = np.diff(bands.offsets.to_numpy())
-            values = bands.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            a, b, values, ids = _stars(values, np.repeat(batch.column(0).to_numpy(zero_copy_only=False), lengths))
+            ids, values = (c.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
+            a, b, values, ids = _stars(values.view(np.uint64), np.repeat(ids, bands))
             part = (values >> np.uint64(20)) % np.uint64(width)
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(width + 1, dtype=np.uint64))
@@ -80,7 +80,7 @@ def bucket_links(signatures: DataFrame, rows: int) -> DataFrame:
             a, b, _, _ = _stars(np.concatenate([v for v, _ in pairs]), np.concatenate([i for _, i in pairs]))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    packed = signatures.select("id", "bands").mapInArrow(local, "part int, values binary, ids binary")
+    packed = signatures.select("ids", "bands").mapInArrow(local, "part int, values binary, ids binary")
     spread = F.when(F.col("part") < 0, F.pmod(F.hash("values"), F.lit(width))).otherwise(F.col("part"))
     return packed.repartition(width, spread).mapInArrow(meet, "a long, b long")
 
@@ -110,7 +110,7 @@ def similar(doc: np.ndarray, feature: np.ndarray, weight: np.ndarray, n: int, th
     shared = np.bincount(column) > 1
     total = np.bincount(doc, weight, n)
     plain = np.bincount(doc, weight != 1, n) == 0
-    mass, both = np.zeros((n, n)), None
+    mass = np.zeros((n, n), np.float32)
     use = shared[column]
     rank = (np.cumsum(shared) - 1)[column[use]]
     d, w = doc[use], weight[use]
@@ -122,9 +122,9 @@ def similar(doc: np.ndarray, feature: np.ndarray, weight: np.ndarray, n: int, th
         grid = np.zeros((n, min(step, int(rank[-1]) + 1 - low)), np.float32)
         grid[d[s:e], rank[s:e] - low] = w[s:e]
         mass += grid @ (grid > 0).T.astype(np.float32)
-    share = mass / np.maximum(total, 1e-300)[:, None]
-    i, j = np.nonzero(np.triu((share >= threshold - 1e-6) & (share.T >= threshold - 1e-6), 1))
-    both = mass[i, j]
+    near = mass >= ((threshold - 1e-5) * total)[:, None]
+    i, j = np.nonzero(np.triu(near & near.T, 1))
+    both = mass[i, j].astype(float)
     score = both / (total[i] + total[j] - both)
     order = np.argsort(doc, kind="stable")
     cuts = np.searchsorted(doc[order], np.arange(n + 1))
@@ -139,18 +139,24 @@ def similar(doc: np.ndarray, feature: np.ndarray, weight: np.ndarray, n: int, th
 
 
 def forest(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """The pairs that a union-find needs, at most n - 1."""
+    """The pairs that a union-find needs, at most n - 1; those that join nothing new are left out many at a time."""
     up = list(range(n))
     out = []
-    for i, j in pairs.tolist():
-        a, b = i, j
-        while up[a] != a:
-            up[a] = a = up[up[a]]
-        while up[b] != b:
-            up[b] = b = up[up[b]]
-        if a != b:
-            up[max(a, b)] = min(a, b)
-            out.append((i, j))
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    while len(pairs):
+        _, one = np.unique(pairs[:, 1], return_index=True)
+        for i, j in pairs[one].tolist():
+            a, b = top(i), top(j)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                out.append((i, j))
+        roots = np.array([top(i) for i in range(n)])
+        pairs = pairs[roots[pairs[:, 0]] != roots[pairs[:, 1]]]
     return out
 
 
@@ -160,7 +166,7 @@ def verified_links(members: DataFrame, features: Featurise, threshold: float) ->
     ``members``: id, root (its group), size (number of features) and text. A group beyond BLOCK_FEATURES is dealt into blocks and
     every two blocks meet in one task, so a task's memory is bounded whatever the group; small groups share tasks.
     """
-    sizes = members.groupBy("root").agg(F.sum("size").alias("total"))
+    sizes = members.groupBy("root").agg(F.sum(F.greatest("size", F.lit(LEAST_FEATURES))).alias("total"))
     whole = sizes.agg(F.sum("total")).first()[0] or 0
     tasks = max(1, int(whole) // BLOCK_FEATURES)
     blocks = F.ceil(F.col("total") / BLOCK_FEATURES).cast("long")

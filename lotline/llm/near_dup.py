@@ -20,13 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotline.llm.common import columns, keep, mix, shingles, texts, word_hashes
+from lotline.llm.common import blocks, columns, keep, mix, shingles, texts, word_hashes
 from lotline.llm.graph import bucket_links, components, verified_links
 
 WIDTH, THRESHOLD = 5, 0.8
 #: 24 bands of 4 registers find a pair of similarity 0.8 with probability 1 - 3e-6.
 BANDS, ROWS = 24, 4
-BLOCK_CHARS = 4_000_000
 
 
 def lowered(values: list[str]) -> list[bytes]:
@@ -79,12 +78,8 @@ def signatures(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: in
         for batch in batches:
             ids, values = columns(batch)
             start = 0
-            while start < len(values):
-                stop, room = start, BLOCK_CHARS
-                while stop < len(values) and (stop == start or room > 0):
-                    room -= len(values[stop])
-                    stop += 1
-                part = values[start:stop]
+            for part in blocks(values):
+                stop = start + len(part)
                 doc, feature, weight = weighted_shingles(part, width)
                 size = np.bincount(doc, minlength=len(part))
                 value = bands_of(prob_minhash(doc, feature, weight, len(part), bands * rows), bands, rows)
@@ -101,7 +96,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -
     rows = keep(signatures(docs, width))
     single = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     single = keep(single.where("size > 0").withColumn("id", F.monotonically_increasing_id()))
-    groups = keep(components(bucket_links(single, single.count() * BANDS)))
+    groups = keep(components(bucket_links(single.select(F.array("id").alias("ids"), "bands"), single.count() * BANDS, BANDS)))
     found = single.join(groups, single.id == groups.node).select("id", "key", "size", "root", F.col("doc_id").alias("one"))
     text = texts(docs).withColumn("key", F.unhex(F.md5("text")))
     members = found.join(text, "key").where(F.col("one").eqNullSafe(F.col("doc_id"))).select("id", "root", "size", "text")

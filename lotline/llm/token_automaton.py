@@ -23,14 +23,14 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lotline.llm.common import columns, mix, span_hashes, texts
+from lotline.llm.common import blocks, columns, mix, span_hashes, texts
 
 ROOT, UNKNOWN = 0, 1
 CHUNK = 256
 #: The gain of a transition is kept in its low byte, counted from here.
 ZERO = 128
-#: Characters read at once; states kept from one such block to the next.
-BLOCK, KEPT_STATES = 4_000_000, 150_000
+#: States kept from one block of texts to the next.
+KEPT_STATES = 150_000
 LETTER, DIGIT, SPACE, WHITE, OTHER, NONE = range(6)
 
 _automata: dict[str, Automaton] = {}
@@ -239,19 +239,6 @@ class Automaton:
         return total
 
 
-def blocks(values: list[str], limit: int = BLOCK) -> Iterator[list[str]]:
-    """Runs of whole texts of about ``limit`` characters together."""
-    block, size = [], 0
-    for value in values:
-        block.append(value)
-        size += len(value)
-        if size >= limit:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens and whether there are more than ``limit``, one row for each input row; no shuffle."""
     path = path or public_tokenizers.path("byte_bpe_50k.json")
