@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lotline.llm import bpe_codec, near_dup, token_automaton
+from lotline.llm import bpe_codec, decontaminate, line_dup, near_dup, quality, token_automaton
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -32,3 +33,29 @@ def op6_token_automaton(spark: SparkSession, root: str) -> DataFrame:
 @query
 def op5_prob_minhash(spark: SparkSession, root: str) -> DataFrame:
     return near_dup.classes(table(spark, root, "documents")).select("doc_id", "class_id")
+
+
+@query
+def op4_fuzzy_lines(spark: SparkSession, root: str) -> DataFrame:
+    """One row for each document: which of its lines go, and the document and line that stay instead."""
+    found = line_dup.duplicate_lines(table(spark, root, "documents"))
+    gone = F.col("removed")
+    return found.select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_removed"), gone["line"].alias("removed_lines"), gone["kept_doc"].alias("kept_docs"), gone["kept_line"].alias("kept_lines"))
+
+
+@query
+def op2_quality_rules(spark: SparkSession, root: str) -> DataFrame:
+    return quality.quality(table(spark, root, "documents"))
+
+
+SQL["op2_quality_rules"] = quality.SQL
+
+
+@query
+def op10_simhash_decontamination(spark: SparkSession, root: str) -> DataFrame:
+    """One row for each document and benchmark item that it holds."""
+    found = decontaminate.contaminated(table(spark, root, "documents"), table(spark, root, "benchmark"))
+    return found.select("doc_id", "item_id", F.col("start").cast("long").alias("start"), F.col("n_words").cast("long").alias("n_words"), "similarity")
+
+
+SQL["op10_simhash_decontamination"] = decontaminate.SQL
