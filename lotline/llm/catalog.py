@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotline.llm import bpe_codec, decontaminate, line_dup, near_dup, quality, token_automaton
+from lotline.llm import bpe_codec, decontaminate, line_dup, near_dup, quality, secrets, token_automaton
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -59,3 +59,11 @@ def op10_simhash_decontamination(spark: SparkSession, root: str) -> DataFrame:
 
 
 SQL["op10_simhash_decontamination"] = decontaminate.SQL
+
+
+@query
+def op1_secret_scan(spark: SparkSession, root: str) -> DataFrame:
+    spans = F.col("spans")
+    counts = [secrets.counted(spans, kind).alias(f"n_{kind}") for kind in secrets.KINDS]
+    found = secrets.scan(table(spark, root, "documents"))
+    return found.select("doc_id", *counts, F.sha2(secrets.listed(spans, 3), 256).alias("base_sha256"), secrets.listed(spans).alias("spans"))
