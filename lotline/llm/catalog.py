@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +68,8 @@ def op1_secret_scan(spark: SparkSession, root: str) -> DataFrame:
     counts = [secrets.counted(spans, kind).alias(f"n_{kind}") for kind in secrets.KINDS]
     found = secrets.scan(table(spark, root, "documents"))
     return found.select("doc_id", *counts, F.sha2(secrets.listed(spans, 3), 256).alias("base_sha256"), secrets.listed(spans).alias("spans"))
+
+
+@query
+def pipeline(spark: SparkSession, root: str) -> DataFrame:
+    return corpus_pipeline.run(spark, root)

@@ -92,7 +92,7 @@ def signatures(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: in
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """doc_id, class_id and key (MD5 of the text) for every row of ``docs``."""
+    """doc_id, class_id, key (MD5 of the text) and stays (the first of its class) for every row of ``docs``."""
     rows = keep(signatures(docs, width))
     single = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     single = keep(single.where("size > 0").withColumn("id", F.monotonically_increasing_id()))
@@ -103,6 +103,20 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -
     links = verified_links(members, lambda values: weighted_shingles(values, width), threshold)
     joined = components(links)
     named = single.join(joined, single.id == joined.node, "left").select("key", "doc_id", F.coalesce("root", "id").alias("root"))
-    names = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    by_key = named.join(names, "root").select(F.col("key").alias("k"), "class_id")
-    return rows.join(by_key, rows.key == by_key.k, "left").select("doc_id", F.when(F.col("size") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), "key")
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")
+    names = named.groupBy("root").agg(F.min(order).alias("best"))
+    by_key = named.join(names, "root").select(F.col("key").alias("k"), "best")
+    met = rows.join(by_key, rows.key == by_key.k, "left")
+    own = F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & F.col("best.key").eqNullSafe(F.col("key"))
+    return met.select("doc_id", F.when(F.col("size") > 0, F.col("best.doc_id")).otherwise(F.col("doc_id")).alias("class_id"), "key", (own | (F.col("size") == 0)).alias("stays"))
+
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents without all but the first (by doc_id, null last, then text) of each class; repeated rows go too."""
+    found = classes(docs, threshold).where("stays").groupBy(F.col("doc_id").alias("__d"), F.col("key").alias("__k")).agg(F.count("*").alias("__n"))
+    found = keep(found)
+    keyed = docs.withColumn("__key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    met = keyed.join(found, F.col("__key").eqNullSafe(F.col("__k")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__d")))
+    if not found.where("__n > 1").isEmpty():
+        met = met.dropDuplicates(["doc_id", "__key"])
+    return met.select(*docs.columns)
