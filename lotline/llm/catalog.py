@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotline.llm import bpe_codec, decontaminate, line_dup, near_dup, quality, secrets, token_automaton
+from lotline.llm import bpe_codec, decontaminate, line_dup, near_dup, quality, secrets, token_automaton, toxicity
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -73,3 +73,8 @@ def op1_secret_scan(spark: SparkSession, root: str) -> DataFrame:
 @query
 def pipeline(spark: SparkSession, root: str) -> DataFrame:
     return corpus_pipeline.run(spark, root)
+
+
+@query
+def op7_toxicity_cnn(spark: SparkSession, root: str) -> DataFrame:
+    return toxicity.score(table(spark, root, "documents"), table(spark, root, "labels"))

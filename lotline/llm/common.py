@@ -69,14 +69,18 @@ def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
     return (total[end] - total[begin]) * _power(len(data), pow(_BASE, -1, 2**64), "down")[begin]
 
 
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words begin and end."""
+    edge = np.flatnonzero(np.diff(~_BLANK[data], prepend=False, append=False))
+    return edge[::2], edge[1::2]
+
+
 def word_hashes(values: list[str | bytes]) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word of the texts, and the offsets of each text's words."""
     data, starts = text_bytes(values)
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(values) + 1, np.int64)
-    solid = ~_BLANK[data]
-    edge = np.flatnonzero(np.diff(solid, prepend=False, append=False))
-    begin, end = edge[::2], edge[1::2]
+    begin, end = word_spans(data)
     return mix(span_hashes(data, begin, end)), np.searchsorted(begin, starts)
 
 
