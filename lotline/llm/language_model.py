@@ -4,8 +4,8 @@ Base: words (runs without blanks, A-Z lowered) and an end are tokens; their coun
 by Spark. Texts are dealt into blocks by hash; a block sends each of its distinct words (as 64-bit hashes, packed) once to the task that owns
 the hash, and gets the count back in the order it asked, so that neither the words nor the counts of the corpus meet anywhere.
 
-Model: a word, with a blank before it, is cut greedily into the longest tokens of a public byte-level vocabulary that have at most four
-bytes and a rank below RANKS; an end closes the text. One attention layer of one head over a window of WINDOW ids, trained by Adam, gives
+Model: a word, with a blank before it, is cut greedily into the longest tokens of a public byte-level vocabulary that have at most eight
+bytes, the best-ranked that GROUPS times PLACES ids hold; an end closes the text. One attention layer of one head over a window of WINDOW ids, trained by Adam, gives
 the next id's probability as that of its group and of its place there. Windows overlap by CONTEXT ids, and each id is scored once, in the first
 window that holds it: with CONTEXT ids or more before it, but at the text's beginning. The weights are fitted on at most SAMPLE training
 texts (those with the smallest hash of doc_id); the base counts all.
@@ -28,12 +28,12 @@ from lotline.llm.bpe_codec import read_ranks
 from lotline.llm.common import blocks, keep, mix, span_hashes, text_bytes, texts, word_spans
 
 SAMPLE, SEED = 500, 5
-RANKS, LONGEST = 2000, 4
+LONGEST = 8
 GROUPS, PLACES = 32, 64
 WIDTH, WINDOW, CONTEXT = 16, 24, 8
 EPOCHS, BATCH, RATE = 3, 256, 0.01
 #: Characters in a block of texts, and windows computed at once.
-BLOCK_CHARS, LANES = 8_000_000, 1024
+BLOCK_CHARS, LANES = 8_000_000, 512
 #: Ids beyond the vocabulary's: the end of a text and, as input only, its beginning.
 END, BEGIN = GROUPS * PLACES - 2, GROUPS * PLACES - 1
 
@@ -44,7 +44,7 @@ class Pieces:
     """Greedy longest-match subwords, at all words of a block at once."""
 
     def __init__(self, path: str):
-        tokens = [t for t, rank in sorted(read_ranks(path).items(), key=lambda x: x[1]) if len(t) == 1 or rank < RANKS and len(t) <= LONGEST]
+        tokens = [t for t, _ in sorted(read_ranks(path).items(), key=lambda x: x[1]) if len(t) <= LONGEST]
         self.tokens = tokens[: END]
         if missing := {bytes([b]) for b in range(256)}.difference(self.tokens):
             raise ValueError(f"bytes without a token: {sorted(missing)}")
@@ -113,9 +113,16 @@ class Block:
         return out, starts
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=-1, keepdims=True))
-    return x / x.sum(axis=-1, keepdims=True)
+def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """exp(x - m), its sums over the last axis, and m: zero unless a row would leave the range of the type."""
+    with np.errstate(over="ignore"):
+        e = np.exp(x)
+    total = e.sum(axis=-1, keepdims=True)
+    if np.isfinite(total).all() and total.min() > 1e-30:
+        return e, total, 0.0
+    top = x.max(axis=-1, keepdims=True)
+    e = np.exp(x - top)
+    return e, e.sum(axis=-1, keepdims=True), top[..., 0]
 
 
 class Model:
@@ -133,42 +140,46 @@ class Model:
         p = self.parts
         x = p["ids"][inputs] + p["places"]
         q, k, v = x @ p["q"], x @ p["k"], x @ p["v"]
-        a = _softmax(q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5) + self.mask)
+        scores = (q * np.float32(WIDTH**-0.5)) @ k.transpose(0, 2, 1)
+        scores += self.mask
+        a, total, _ = _exponentials(scores)
+        a /= total
         mixed = a @ v
         return x + mixed @ p["o"], x, q, k, v, a, mixed
 
     def log_probabilities(self, h: np.ndarray, target: np.ndarray, slopes: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log of the probability of each target after hidden row h; with ``slopes`` also the gradient of their sum's negative."""
-        p, group = self.parts, target // PLACES
+        p, order = self.parts, np.argsort(target // PLACES, kind="stable")
+        h, target = h[order], target[order]
+        group, rows = target // PLACES, np.arange(len(h))
         z = h @ p["group"] + p["group_bias"]
-        z -= z.max(axis=1, keepdims=True)
-        e = np.exp(z)
-        total = e.sum(axis=1)
-        rows = np.arange(len(h))
-        out = z[rows, group] - np.log(total)
+        e, total, top = _exponentials(z)
+        out = z[rows, group] - np.log(total[:, 0]) - top
         back = None
         if slopes is not None:
-            d = e / total[:, None]
+            d = e / total
             d[rows, group] -= 1
             slopes["group"] += h.T @ d
             slopes["group_bias"] += d.sum(axis=0)
             back = d @ p["group"].T
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        for g in np.flatnonzero(np.diff(cuts)):
-            own = order[cuts[g] : cuts[g + 1]]
-            z = h[own] @ p["place"][g] + p["place_bias"][g]
-            z -= z.max(axis=1, keepdims=True)
-            e = np.exp(z)
-            total, rows, place = e.sum(axis=1), np.arange(len(own)), target[own] % PLACES
-            out[own] += z[rows, place] - np.log(total)
-            if slopes is not None:
-                d = e / total[:, None]
-                d[rows, place] -= 1
-                slopes["place"][g] += h[own].T @ d
-                slopes["place_bias"][g] += d.sum(axis=0)
-                back[own] += d @ p["place"][g].T
-        return out, back
+        z = np.empty((len(h), PLACES), h.dtype)
+        cuts = np.searchsorted(group, np.arange(GROUPS + 1))
+        present = [(g, slice(cuts[g], cuts[g + 1])) for g in np.flatnonzero(np.diff(cuts))]
+        for g, own in present:
+            np.matmul(h[own], p["place"][g], out=z[own])
+            z[own] += p["place_bias"][g]
+        e, total, top = _exponentials(z)
+        out += z[rows, target % PLACES] - np.log(total[:, 0]) - top
+        if slopes is not None:
+            d = e / total
+            d[rows, target % PLACES] -= 1
+            for g, own in present:
+                slopes["place"][g] += h[own].T @ d[own]
+                slopes["place_bias"][g] += d[own].sum(axis=0)
+                back[own] += d[own] @ p["place"][g].T
+        unsorted = np.empty_like(order)
+        unsorted[order] = rows
+        return out[unsorted], None if back is None else back[unsorted]
 
     def slopes(self, inputs: np.ndarray, target: np.ndarray, good: np.ndarray) -> dict:
         """Gradient of the mean negative log-probability of targets where ``good``."""
