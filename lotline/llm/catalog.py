@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotline.llm import bpe_codec, decontaminate, language_model, line_dup, near_dup, quality, secrets, token_automaton, toxicity
+from lotline.llm import bpe_codec, decontaminate, language_model, line_dup, near_dup, quality, secrets, suffix_dup, token_automaton, toxicity
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -83,3 +83,8 @@ def op7_toxicity_cnn(spark: SparkSession, root: str) -> DataFrame:
 @query
 def op9_attention_lm(spark: SparkSession, root: str) -> DataFrame:
     return language_model.score(table(spark, root, "documents"))
+
+
+@query
+def op3_repeated_strings(spark: SparkSession, root: str) -> DataFrame:
+    return suffix_dup.repeated_bytes(table(spark, root, "documents")).drop("kept")
