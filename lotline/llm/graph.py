@@ -166,6 +166,7 @@ def verified_links(members: DataFrame, features: Featurise, threshold: float) ->
     ``members``: id, root (its group), size (number of features) and text. A group beyond BLOCK_FEATURES is dealt into blocks and
     every two blocks meet in one task, so a task's memory is bounded whatever the group; small groups share tasks.
     """
+    members = keep(members)
     sizes = members.groupBy("root").agg(F.sum(F.greatest("size", F.lit(LEAST_FEATURES))).alias("total"))
     whole = sizes.agg(F.sum("total")).first()[0] or 0
     tasks = max(1, int(whole) // BLOCK_FEATURES)
