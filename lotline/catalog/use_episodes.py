@@ -69,15 +69,15 @@ def repaired(spark, root):
     return cells, cal, eps, E.merge_gap_episodes(eps, cal, key=KEY, value="shop_id")
 
 
-# The stack fold once more as a recursive query: one step per episode of a place.
+# One step per episode of a place; the good periods of a merged span are counted on the calendar, between its ends.
 V._sql("cal", ("grid", "bad"), """
 SELECT g.period, g.idx, b.period IS NOT NULL AS bad,
   CAST(sum(CASE WHEN b.period IS NULL THEN 1 ELSE 0 END) OVER (ORDER BY g.idx) AS BIGINT) AS good_upto
 FROM grid g LEFT JOIN bad b ON g.period = b.period
 """)
 V._sql("lists", ("episodes", "cal"), """
-SELECT location_id, list({'s': "start", 'e': "end", 'v': shop_id, 'g': good} ORDER BY "start") AS xs
-FROM (SELECT e.*, z.good_upto - a.good_upto + CASE WHEN a.bad THEN 0 ELSE 1 END AS good
+SELECT location_id, list({'s': "start", 'e': "end", 'v': shop_id, 'g0': before, 'g1': upto} ORDER BY "start") AS xs
+FROM (SELECT e.*, a.good_upto - CASE WHEN a.bad THEN 0 ELSE 1 END AS before, z.good_upto AS upto
       FROM episodes e JOIN cal a ON e."start" = a.period JOIN cal z ON e."end" = z.period) t GROUP BY location_id
 """)
 FOLD = """
@@ -85,11 +85,11 @@ WITH RECURSIVE fold AS (
   SELECT location_id, xs, 1 AS i, xs[1:1] AS stack, 0 AS merges FROM lists
   UNION ALL
   SELECT location_id, xs, i + 1,
-    CASE WHEN len(stack) >= 2 AND stack[len(stack) - 1].v = xs[i + 1].v AND stack[len(stack)].g = 0
+    CASE WHEN len(stack) >= 2 AND stack[len(stack) - 1].v = xs[i + 1].v AND stack[len(stack)].g0 = stack[len(stack)].g1
       THEN list_append(stack[1:len(stack) - 2], {'s': stack[len(stack) - 1].s, 'e': xs[i + 1].e, 'v': xs[i + 1].v,
-        'g': stack[len(stack) - 1].g + xs[i + 1].g})
+        'g0': stack[len(stack) - 1].g0, 'g1': xs[i + 1].g1})
       ELSE list_append(stack, xs[i + 1]) END,
-    merges + CASE WHEN len(stack) >= 2 AND stack[len(stack) - 1].v = xs[i + 1].v AND stack[len(stack)].g = 0 THEN 1 ELSE 0 END
+    merges + CASE WHEN len(stack) >= 2 AND stack[len(stack) - 1].v = xs[i + 1].v AND stack[len(stack)].g0 = stack[len(stack)].g1 THEN 1 ELSE 0 END
   FROM fold WHERE i < len(xs)),
 merged AS (
   SELECT location_id, unnest(stack) AS x, generate_subscripts(stack, 1) AS episode_id, merges FROM fold WHERE i = len(xs)),
@@ -171,6 +171,12 @@ def _(spark, root):
     return assign_slots(V.snapshot(spark, root), group=["parcel", "floor"], period="period", member="shop_id")
 
 
+@query("e10_assign_slots_hot", SLOTS + "SELECT parcel, floor, period, shop_id, slot FROM slotted", ("snapshot",))
+def _(spark, root):
+    # every group by rounds
+    return assign_slots(V.snapshot(spark, root), group=["parcel", "floor"], period="period", member="shop_id", hot_rows=0)
+
+
 @query("d17_max_concurrency", """
 SELECT parcel, floor, max(n) AS max_concurrent FROM (SELECT parcel, floor, period, count(*) AS n FROM snapshot GROUP BY ALL) t
 GROUP BY parcel, floor HAVING max(n) >= 5""", ("snapshot",))

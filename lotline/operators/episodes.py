@@ -90,7 +90,7 @@ def calendar(grid: DataFrame, bad: DataFrame | None = None, period: str = "perio
 
 
 def _span(episodes: DataFrame, cal: DataFrame, period: str = "period") -> DataFrame:
-    """Adds start_idx, end_idx and the number of good periods inside the closed span."""
+    """Adds start_idx, end_idx and the number of good periods before the span (good_before) and up to its end (good_end)."""
     first = cal.select(
         F.col(period).alias("start"), F.col("idx").alias("start_idx"),
         (F.col("good_upto") - F.when(F.col("bad"), 0).otherwise(1)).alias("_good_before"),
@@ -98,8 +98,7 @@ def _span(episodes: DataFrame, cal: DataFrame, period: str = "period") -> DataFr
     last = cal.select(F.col(period).alias("end"), F.col("idx").alias("end_idx"), F.col("good_upto").alias("_good_end"))
     return (
         episodes.join(first, "start").join(last, "end")
-        .withColumn("good_in_span", F.col("_good_end") - F.col("_good_before"))
-        .drop("_good_end", "_good_before")
+        .withColumnsRenamed({"_good_end": "good_end", "_good_before": "good_before"})
     )
 
 
@@ -151,12 +150,13 @@ def merge_gap_episodes(
 
     One pass with a stack of finished episodes gives the same end state as repeating single merges
     until nothing changes: a merge only ever changes the top two entries. The array of a place holds
-    at most one entry per period of the grid. With ``detail`` one row per place comes back with
+    at most one entry per period of the grid. A merged span counts every good period of the grid between its
+    ends, also one that nobody was seen in. With ``detail`` one row per place comes back with
     the number of merges and the swallowed spans.
     """
     item = F.struct(
         F.col("start_idx").alias("si"), F.col("end_idx").alias("ei"), F.col("start").alias("s"), F.col("end").alias("e"),
-        F.col(value).alias("v"), F.col("good_in_span").cast("long").alias("g"),
+        F.col(value).alias("v"), F.col("good_before").cast("long").alias("g0"), F.col("good_end").cast("long").alias("g1"),
     )
     spans = _span(episodes, cal)
     rows = spans.select(*key, item.alias("x")).groupBy(*key).agg(F.sort_array(F.collect_list("x")).alias("xs"))
@@ -165,10 +165,10 @@ def merge_gap_episodes(
     def step(acc: Column, x: Column) -> Column:
         n = F.size(acc["stack"])
         top, under = F.get(acc["stack"], n - 1), F.get(acc["stack"], n - 2)
-        hit = (n >= 2) & (under["v"] == x["v"]) & (top["g"] == 0)
+        hit = (n >= 2) & (under["v"] == x["v"]) & (top["g0"] == top["g1"])
         joined = F.struct(
             under["si"].alias("si"), x["ei"].alias("ei"), under["s"].alias("s"), x["e"].alias("e"),
-            under["v"].alias("v"), (under["g"] + x["g"]).alias("g"),
+            under["v"].alias("v"), under["g0"].alias("g0"), x["g1"].alias("g1"),
         )
         merged = F.struct(
             F.concat(F.slice(acc["stack"], 1, n - 2), F.array(joined)).alias("stack"),
@@ -225,13 +225,13 @@ def recount_survival(
     )
     spans = _span(episodes, cal)
     inside = F.size(F.filter("_seen", lambda i: (i >= F.col("start_idx")) & (i <= F.col("end_idx"))))
-    bad_in_span = F.col("end_idx") - F.col("start_idx") + 1 - F.col("good_in_span")
+    bad_in_span = F.col("end_idx") - F.col("start_idx") + 1 - (F.col("good_end") - F.col("good_before"))
     last = scalar(cal, F.max(period))
     return (
         spans.join(seen, pair, "left")
         .withColumn("surv_q_fixed", (F.coalesce(F.when(F.col("_seen").isNotNull(), inside), F.lit(0)) + bad_in_span).cast("long"))
         .withColumn("state", F.when(F.col("end") == last, OPEN).otherwise(CLOSED))
-        .drop("_seen", "start_idx", "end_idx", "good_in_span")
+        .drop("_seen", "start_idx", "end_idx", "good_end", "good_before")
     )
 
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lotline.operators.ordinals import text_rank, value_positions
 from lotline.runtime import cut, keyed_join, pinned
@@ -19,16 +20,42 @@ def assign_slots(
     """In period order, members that vanished give their slot back and arrivals, in the order of
     their id, take the smallest free slots. Only periods in which the group has rows are stepped.
 
-    Groups up to ``hot_rows`` rows are folded inside one array expression after a single shuffle on the
-    group. Larger ones are stepped period by period with ranks that are computed across tasks.
+    Groups up to ``hot_rows`` rows are folded inside one array expression after a single shuffle on
+    the group. Larger ones are stepped period by period with ranks that are computed across tasks.
+    Either way members are text, integers, decimals of up to 18 digits, dates or timestamps, in the order of
+    their type; a null is nobody, and a period with nothing else is not stepped.
     """
-    rows = panel.select(*group, period, member)
+    rows = panel.select(*group, period, member).where(F.col(member).isNotNull())
+    encode, decode = _sortable(rows, member)
     big = pinned(rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*group))
     if big.isEmpty():
         return _fold(rows, group, period, member)
     normal = keyed_join(rows, big, group, "left_anti")
-    hot = keyed_join(rows, big, group, "left_semi").distinct()
-    return _fold(normal, group, period, member).unionByName(_by_rounds(hot, group, period, member))
+    hot = keyed_join(rows, big, group, "left_semi").distinct().withColumn(member, encode)
+    slotted = _by_rounds(hot, group, period, member).withColumn(member, decode)
+    return _fold(normal, group, period, member).unionByName(slotted)
+
+
+def _sortable(rows: DataFrame, member: str) -> tuple[Column, Column]:
+    """Text that sorts as the member's own type does, and the way back: integers by their hex digits, sign bit turned."""
+    kind, col = rows.schema[member].dataType, F.col(member)
+    if isinstance(kind, T.StringType):
+        return col, col
+    sign = F.lit(-(1 << 63))
+    halves = [F.conv(F.substring(col, at, 8), 16, 10).cast("long") for at in (1, 9)]
+    number = F.shiftleft(halves[0], 32).bitwiseOR(halves[1]).bitwiseXOR(sign)
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        as_long, back = col.cast("long"), number.cast(kind)
+    elif isinstance(kind, T.DecimalType) and kind.precision <= 18:
+        power = F.lit(10**kind.scale)
+        as_long, back = (col * power).cast("long"), (number.cast("decimal(19,0)") / power).cast(kind)
+    elif isinstance(kind, T.DateType):
+        as_long, back = F.unix_date(col).cast("long"), F.date_from_unix_date(number.cast("int"))
+    elif isinstance(kind, T.TimestampType):
+        as_long, back = F.unix_micros(col), F.timestamp_micros(number)
+    else:
+        raise ValueError(f"a member of type {kind.simpleString()} has no order to assign slots by")
+    return F.lpad(F.hex(as_long.bitwiseXOR(sign)), 16, "0"), back
 
 
 def _fold(rows: DataFrame, group: Sequence[str], period: str, member: str) -> DataFrame:
@@ -66,7 +93,7 @@ def _by_rounds(rows: DataFrame, group: Sequence[str], period: str, member: str)
     The j-th free slot is j plus the number of taken slots below it. The i-th smallest taken slot s has
     s - i free slots below, so that number is a count of values smaller than j and needs no list of slots.
     """
-    rows = cut(rows.where(F.col(member).isNotNull()).withColumn(member, F.col(member).cast("string")))
+    rows = cut(rows)
     periods = [r[0] for r in rows.select(period).distinct().orderBy(period).collect()]
     keys = list(group)
     state: DataFrame | None = None

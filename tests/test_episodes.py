@@ -1,5 +1,8 @@
+import datetime
 import random
+from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from lotline.operators import episodes as E
@@ -10,19 +13,21 @@ def frame(spark, rows, schema):
     return spark.createDataFrame(rows, schema)
 
 
-def merge_until_fixed(eps, bad, grid):
-    """Plain restatement: look for a merge from the left, restart after each."""
-    eps = [list(e) for e in eps]
-    again = True
-    while again:
-        again = False
-        for i in range(1, len(eps) - 1):
-            inside = [p for p in grid if eps[i][1] <= p <= eps[i][2]]
-            if eps[i - 1][0] == eps[i + 1][0] and all(p in bad for p in inside):
-                eps[i - 1:i + 2] = [[eps[i - 1][0], eps[i - 1][1], eps[i + 1][2]]]
-                again = True
-                break
-    return [tuple(e) for e in eps]
+def check_merges(before, after, bad, grid):
+    """``after`` is what merging may and must make of ``before``: lists of (tenant, start, end) of one place."""
+    wholly_bad = lambda a, b: all(p in bad for p in grid if a <= p <= b)
+    at = 0
+    for tenant, start, end in after:
+        run = [e for e in before if start <= e[1] and e[2] <= end]
+        assert run == before[at:at + len(run)] and run  # spans take consecutive episodes, all of them, in order
+        assert (run[0][0], run[0][1]) == (tenant, start) and (run[-1][0], run[-1][2]) == (tenant, end)
+        others = [e for e in run if e[0] != tenant]
+        assert all(wholly_bad(e[1], e[2]) for e in others)  # what is swallowed lies in bad periods
+        assert len(run) == 1 or len(run) % 2 == 1
+        at += len(run)
+    assert at == len(before)
+    for left, middle, right in zip(after, after[1:], after[2:]):
+        assert not (left[0] == right[0] and wholly_bad(middle[1], middle[2]))  # nothing is left to merge
 
 
 def random_panel(seed, places=40, periods=14, tenants="AB", holes=0.25):
@@ -45,8 +50,18 @@ def test_detect_and_metrics(spark):
     assert metrics["y"]["turnover_rate"] is None
 
 
-def test_merge_matches_plain_restatement(spark):
-    rows = random_panel(7)
+def test_good_period_in_a_vacancy_stops_a_merge(spark):
+    rows = [("x", p, t) for p, t in ((0, "C"), (1, "A"), (3, "B"), (4, "A"), (5, "C"))] + [("y", p, "D") for p in range(6)]
+    panel = frame(spark, rows, "loc string, period int, shop string")
+    cal = E.calendar(E.period_grid(panel, "period"), frame(spark, [(1,), (3,), (4,)], "period int"))
+    eps = E.detect_episodes(panel, key=["loc"], period="period", value="shop")
+    merged = E.merge_gap_episodes(eps, cal, key=["loc"], value="shop").where("loc = 'x'").orderBy("start").collect()
+    # A[1,1] B[3,3] A[4,4] become one span, which holds the good period 2 that nobody was seen in: C stays in two parts
+    assert [(r["shop"], r["start"], r["end"]) for r in merged] == [("C", 0, 0), ("A", 1, 4), ("C", 5, 5)]
+
+
+def test_merges_and_what_follows(spark):
+    rows = random_panel(7, tenants="AABC")
     panel = frame(spark, rows, "loc string, period int, shop string")
     grid = E.period_grid(panel, "period")
     bad = frame(spark, [(4,), (5,), (6,), (9,)], "period int")
@@ -56,14 +71,14 @@ def test_merge_matches_plain_restatement(spark):
     got = {}
     for r in merged.orderBy("loc", "episode_id").collect():
         got.setdefault(r["loc"], []).append((r["shop"], r["start"], r["end"]))
-    want = {}
+    before = {}
     for r in eps.orderBy("loc", "episode_id").collect():
-        want.setdefault(r["loc"], []).append((r["shop"], r["start"], r["end"]))
+        before.setdefault(r["loc"], []).append((r["shop"], r["start"], r["end"]))
     every = sorted({p for _, p, _ in rows})
-    want = {k: merge_until_fixed(v, {4, 5, 6, 9}, every) for k, v in want.items()}
-    assert got == want
-    before = {k: len(v) for k, v in want.items()}
-    assert sum(before.values()) < eps.count()  # the fixture does merge something
+    assert got.keys() == before.keys()
+    for loc in got:
+        check_merges(before[loc], got[loc], {4, 5, 6, 9}, every)
+    assert sum(map(len, got.values())) < sum(map(len, before.values()))  # the fixture does merge something
 
     fixed = E.recount_survival(merged, panel, cal, key=["loc"], value="shop")
     seen = {}
@@ -74,7 +89,7 @@ def test_merge_matches_plain_restatement(spark):
         assert r["surv_q_fixed"] == sum(p in seen[(r["loc"], r["shop"])] or p in {4, 5, 6, 9} for p in span)
 
     vac = {r["loc"]: r for r in E.vacancy(merged, cal, key=["loc"]).collect()}
-    for loc, eps_of in want.items():
+    for loc, eps_of in got.items():
         occupied = {p for p in every for _, s, e in eps_of if s <= p <= e}
         span = [p for p in every if eps_of[0][1] <= p <= eps_of[-1][2] and not (p in {4, 5, 6, 9} and p not in occupied)]
         assert vac[loc]["span_q"] == len(span)
@@ -103,35 +118,44 @@ def test_missing_periods_and_bad(spark):
     assert E.structural_bad_periods(none).isEmpty()
 
 
-def plain_slots(rows):
-    import heapq
-
-    out = {}
-    for group in {g for g, _, _ in rows}:
-        active, free, top = {}, [], 0
-        for p in sorted({p for g, p, _ in rows if g == group}):
-            ids = {m for g, q, m in rows if g == group and q == p}
-            for m in [m for m in active if m not in ids]:
-                heapq.heappush(free, active.pop(m))
-            for m in sorted(ids - set(active)):
-                if free:
-                    active[m] = heapq.heappop(free)
-                else:
-                    top += 1
-                    active[m] = top
-            for m in ids:
-                out[(group, p, m)] = active[m]
-    return out
-
-
-def test_slots_both_ways_match_plain_restatement(spark):
+def check_slots(rows, got):
+    """Properties that fix the assignment: stayers keep their slot, arrivals in order hold the smallest numbers left."""
+    present = {}
+    for group, period, member in rows:
+        if member is not None:
+            present.setdefault((group, period), set()).add(member)
+    assert {k: set(v) for k, v in got.items()} == present
+    for group in {g for g, _ in present}:
+        earlier = {}
+        for period in sorted(p for g, p in present if g == group):
+            slots = got[group, period]
+            assert len(set(slots.values())) == len(slots)
+            stayers = slots.keys() & earlier.keys()
+            assert all(slots[m] == earlier[m] for m in stayers)
+            held = {slots[m] for m in stayers}
+            open_numbers = [n for n in range(1, len(slots) + 1) if n not in held]
+            arrivals = sorted(slots.keys() - stayers)
+            assert [slots[m] for m in arrivals] == open_numbers[:len(arrivals)]
+            earlier = slots
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "date", "decimal(9,2)"])
+def test_slots_are_the_same_at_every_group_size(spark, kind):
     rng = random.Random(3)
-    rows = [(f"g{g}", p, f"s{m:02d}") for g in range(6) for p in range(1, 9) for m in range(9) if rng.random() < 0.4]
-    want = plain_slots(rows)
-    panel = frame(spark, rows, "g string, period int, shop string")
-    for hot_rows in (20_000, 25):  # 25: some groups folded, the others by rounds
-        got = assign_slots(panel, group=["g"], period="period", member="shop", hot_rows=hot_rows)
-        assert {(r["g"], r["period"], r["shop"]): r["slot"] for r in got.collect()} == want
+    name = {
+        "string": lambda m: f"s{m}", "int": lambda m: m * 7 - 20, "decimal(9,2)": lambda m: Decimal(m * 3 - 11) / 4,
+        "date": lambda m: datetime.date(1969, 12, 1) + datetime.timedelta(days=9 * m),
+    }[kind]
+    rows = [(f"g{g}", p, name(m)) for g in range(3) for p in range(1, 4) for m in range(11) if rng.random() < 0.4]
+    rows += [("g0", 3, None), ("g0", 9, None), ("g0", 10, name(0)), ("g9", 1, None)]
+    panel = frame(spark, rows, f"g string, period int, shop {kind}")
+    for hot_rows in (20_000, 12, 0) if kind == "string" else (20_000, 0):  # all groups folded, some, none
+        slotted = assign_slots(panel, group=["g"], period="period", member="shop", hot_rows=hot_rows)
+        assert slotted.schema["shop"].dataType == panel.schema["shop"].dataType
+        got = {}
+        for r in slotted.collect():
+            got.setdefault((r["g"], r["period"]), {})[r["shop"]] = r["slot"]
+        check_slots(rows, got)
 
 
 def test_slots_trap(spark):
