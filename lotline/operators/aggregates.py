@@ -79,7 +79,7 @@ def frequency(df: DataFrame, col: str, top: int | None = None) -> DataFrame:
     """Count and share per value (nulls are left out, as in a value count)."""
     known = df.where(F.col(col).isNotNull())
     counts = known.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    out = counts.withColumn("share", F.col("n") / scalar(counts, F.sum("n")))
+    out = counts.withColumn("share", F.try_divide(F.col("n"), scalar(counts, F.sum("n"))))
     return out if top is None else out.orderBy(F.desc("n"), F.asc(col)).limit(top)
 
 
@@ -133,8 +133,8 @@ def composition_shift(df: DataFrame, col: str, keep: str) -> DataFrame:
     )
     total, kept = scalar(counts, F.sum("n_all")), scalar(counts, F.sum("n_kept"))
     return counts.select(
-        col, (F.col("n_all") / total * 100).alias("before_pct"), (F.col("n_kept") / kept * 100).alias("after_pct"),
-        (F.col("n_kept") / kept * 100 - F.col("n_all") / total * 100).alias("shift_pp"),
+        col, (F.try_divide("n_all", total) * 100).alias("before_pct"), (F.try_divide("n_kept", kept) * 100).alias("after_pct"),
+        (F.try_divide("n_kept", kept) * 100 - F.try_divide("n_all", total) * 100).alias("shift_pp"),
     )
 
 
@@ -188,7 +188,7 @@ def share_and_dominant(df: DataFrame, *, key: Sequence[str], category: str, meas
     Expects one row per key and category; a key then has no more rows than there are categories.
     """
     whole = W.partitionBy(*key)
-    return df.withColumn("share", F.col(measure) / F.sum(measure).over(whole)).withColumn(
+    return df.withColumn("share", F.try_divide(F.col(measure), F.sum(measure).over(whole))).withColumn(
         "is_dominant", F.row_number().over(whole.orderBy(F.desc(measure), F.asc(category))) == 1
     )
 

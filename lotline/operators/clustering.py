@@ -88,12 +88,12 @@ def cluster_indices(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame
 
     Only k centroids reach the driver; rows are read twice.
     """
-    squares = [F.sum(F.col(c) * F.col(c)).alias(f"q_{c}") for c in cols]
-    per = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m_{c}") for c in cols], *squares).collect()
+    spread_of = [F.var_pop(c).alias(f"q_{c}") for c in cols]
+    per = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m_{c}") for c in cols], *spread_of).collect()
     n, k = sum(r["n"] for r in per), len(per)
     grand = [sum(r["n"] * r[f"m_{c}"] for r in per) / n for c in cols]
     between = sum(r["n"] * (r[f"m_{c}"] - g) ** 2 for r in per for c, g in zip(cols, grand))
-    within = sum(r[f"q_{c}"] - r["n"] * r[f"m_{c}"] ** 2 for r in per for c in cols)
+    within = sum(r["n"] * r[f"q_{c}"] for r in per for c in cols)
     centres = df.sparkSession.createDataFrame(
         [(r[label], [float(r[f"m_{c}"]) for c in cols]) for r in per], f"{label} {df.schema[label].dataType.simpleString()}, _c array<double>")
     terms = [(F.col(c) - F.col("_c")[i]) * (F.col(c) - F.col("_c")[i]) for i, c in enumerate(cols)]
@@ -176,10 +176,10 @@ def model_grid(
     """Every (feature set, variant, algorithm, k) once; results are appended to ``path`` candidate by
     candidate, and keys already there are skipped, so an interrupted run goes on where it stopped."""
     spark = df.sparkSession
-    try:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    done: set[tuple] = set()
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
         done = {tuple(r) for r in spark.read.schema(GRID_SCHEMA).parquet(path).select("set_id", "variant", "algo", "k").collect()}
-    except Exception:  # nothing written yet
-        done = set()
     for set_id, _, cols in sets:
         plain = standardise(df.select(key, *cols).na.drop(), cols).cache()
         for variant in variants:
@@ -207,12 +207,13 @@ def model_grid(
 
 
 def select_balanced(grid: DataFrame, k: int = 4, min_share: float = 0.03, top: int = 3) -> DataFrame:
-    """Per (set, variant, algorithm) the candidate with the best stability among the ``top`` silhouettes,
-    of one k, without clusters below ``min_share``, best silhouette first."""
+    """Per (set, variant, algorithm) the number of clusters with the best stability among the ``top``
+    silhouettes; of these picks the ones with ``k`` clusters, none below ``min_share``, best silhouette first."""
     keys = ["set_id", "variant", "algo"]
-    best = top_per_group(grid.where(F.col("k") == k).where(F.col("min_share") >= min_share), keys,
+    best = top_per_group(grid, keys,
                          [F.col("silhouette").desc_nulls_last(), F.col("k").asc()], top, rank="_r")
     one = top_per_group(best, keys, [F.col("ari_mean").desc_nulls_last(), F.col("_r").asc()], 1, rank="_p")
+    one = one.where(F.col("k") == k).where(F.col("min_share") >= min_share)
     return one.drop("_r", "_p").orderBy(F.col("silhouette").desc_nulls_last(), F.col("ari_mean").desc_nulls_last(), *keys)
 
 

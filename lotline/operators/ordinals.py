@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +37,11 @@ def with_bucket(df: DataFrame, value: str, splits: Sequence[float], name: str =
     return out.withColumn(name, F.col("__bucket").cast("int")).drop("__bucket")
 
 
+def _is_number(value: str) -> Column:
+    """Not null and not NaN, which stands for no value here."""
+    return F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+
+
 def _with_keys(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
     if by:
         return df, list(by)
@@ -49,7 +54,7 @@ def exact_quantiles(
     """Linearly interpolated quantiles per group, one column per entry of ``probs``; nulls are left out."""
     names = list(probs)
     rows, keys = _with_keys(
-        df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__o_v")), by
+        df.where(_is_number(value)).select(*by, F.col(value).cast("double").alias("__o_v")), by
     )
     rows = with_bucket(rows, "__o_v", value_splits(rows, "__o_v", buckets))
     whole = W.partitionBy(*keys)
@@ -108,7 +113,7 @@ def weighted_quantile(
     with a relative slack of 1e-9, so that the order of summation cannot move the answer.
     """
     rows, keys = _with_keys(
-        df.where(F.col(value).isNotNull() & F.col(weight).isNotNull())
+        df.where(_is_number(value) & _is_number(weight))
         .select(*by, F.col(value).cast("double").alias("__o_v"), F.col(weight).cast("double").alias("__o_w")), by
     )
     rows = with_bucket(rows, "__o_v", value_splits(rows, "__o_v"))
@@ -142,7 +147,7 @@ def value_positions(df: DataFrame, value: str, by: Sequence[str] = (), count: st
     ``count`` names a column of pre-aggregated counts. Columns: by, value, n, smaller, avg_rank.
     """
     weight = F.sum(count) if count else F.count(F.lit(1))
-    rows, keys = _with_keys(df.where(F.col(value).isNotNull()), by)
+    rows, keys = _with_keys(df.where(_is_number(value)), by)
     counts = rows.groupBy(*keys, value).agg(weight.cast("long").alias("n"))
     counts = counts.withColumn("__o_v", F.col(value).cast("double"))
     counts = with_bucket(counts, "__o_v", value_splits(counts, "__o_v"))
@@ -158,8 +163,10 @@ def value_positions(df: DataFrame, value: str, by: Sequence[str] = (), count: st
     return out.select(*by, value, "n", "smaller", "avg_rank")
 
 
-def ordinal_rank(df: DataFrame, value: str, tie: str, name: str = "rank", descending: bool = False) -> DataFrame:
-    """1-based position in the order (value, tie) over all rows; ``tie`` is a unique number.
+def ordinal_rank(
+    df: DataFrame, value: str, tie: str, name: str = "rank", descending: bool = False, then: Sequence[str] = (),
+) -> DataFrame:
+    """1-based position in the order (value, tie) over all rows; ``tie`` is a number, unique or made so by ``then``.
 
     Positions inside equal values are counted per bucket of ``tie``, so one value may hold most rows.
     """
@@ -170,7 +177,7 @@ def ordinal_rank(df: DataFrame, value: str, tie: str, name: str = "rank", descen
     cells = cells.withColumn("__o_in", F.sum("__o_c").over(W.partitionBy("__o_k").orderBy("__o_tb")) - F.col("__o_c"))
     places = value_positions(cells.select("__o_k", "__o_c"), "__o_k", count="__o_c").select("__o_k", "smaller")
     start = cells.join(places, "__o_k").select("__o_k", "__o_tb", (F.col("smaller") + F.col("__o_in")).alias("__o_start"))
-    inner = F.row_number().over(W.partitionBy("__o_k", "__o_tb").orderBy(tie))
+    inner = F.row_number().over(W.partitionBy("__o_k", "__o_tb").orderBy(tie, *then))
     return (
         keyed.withColumn("__o_i", inner).join(start, ["__o_k", "__o_tb"])
         .withColumn(name, F.col("__o_start") + F.col("__o_i"))

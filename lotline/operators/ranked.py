@@ -41,7 +41,7 @@ def repair_representative(
     out = df.groupBy(*key).agg(
         F.max(F.when(ok, F.struct(F.col(order).alias("_o"), pick.alias("_v")))).alias("_best"),
         F.bool_or(ok).alias("any_valid"),
-        (F.max(F.hash(*cols)) != F.min(F.hash(*cols))).alias("varies"),
+        (F.max(pick) != F.min(pick)).alias("varies"),
     )
     return out.select(*key, *[F.col(f"_best._v.{c}").alias(c) for c in cols], "any_valid", "varies")
 

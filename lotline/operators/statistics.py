@@ -47,7 +47,7 @@ def chi_square_v(df: DataFrame, a: str, b: str, yates: bool = True) -> DataFrame
 
 def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     """H2: Kruskal-Wallis H with tie correction and epsilon squared (H - k + 1) / (n - k)."""
-    known = df.where(F.col(group).isNotNull() & F.col(value).isNotNull())
+    known = df.where(F.col(group).isNotNull() & F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     cells = known.groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
     ranks = value_positions(cells, value, count="c").select(value, "avg_rank", F.col("n").alias("t"))
     ties = ranks.agg(F.sum(F.col("t").cast("double") * (F.col("t").cast("double") * F.col("t") - 1)).alias("ties"))
@@ -57,9 +57,9 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     one = groups.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"))
     n = F.col("n")
     plain = F.lit(12.0) / (n * (n + 1)) * F.col("s") - 3 * (n + 1)
-    h = plain / (1 - ties.scalar() / (n * n * n - n))
+    h = F.try_divide(plain, 1 - F.try_divide(ties.scalar(), n * n * n - n))
     return one.select(h.alias("h"), F.col("k"), n.cast("long").alias("n")).withColumn(
-        "epsilon2", (F.col("h") - F.col("k") + 1) / (F.col("n") - F.col("k"))
+        "epsilon2", F.try_divide(F.col("h") - F.col("k") + 1, F.col("n") - F.col("k"))
     )
 
 
@@ -75,9 +75,9 @@ def anova_eta(df: DataFrame, group: str, value: str) -> DataFrame:
         F.sum(F.col("n") * F.pow(F.col("m") - grand, 2)).alias("between"),
     )
     return one.select(
-        ((F.col("between") / (F.col("k") - 1)) / (F.col("within") / (F.col("n") - F.col("k")))).alias("f"),
-        (F.col("between") / (F.col("between") + F.col("within"))).alias("eta2"),
-        (F.col("within") / (F.col("between") + F.col("within"))).alias("within_share"),
+        F.try_divide(F.try_divide("between", F.col("k") - 1), F.try_divide("within", F.col("n") - F.col("k"))).alias("f"),
+        F.try_divide("between", F.col("between") + F.col("within")).alias("eta2"),
+        F.try_divide("within", F.col("between") + F.col("within")).alias("within_share"),
         F.col("n").cast("long").alias("n"), "k",
     )
 

@@ -24,8 +24,8 @@ def group_folds(df: DataFrame, group: str, label: str, k: int = 5, tie: str | No
     number of positives, so the folds get near-equal positives (stratified group folds)."""
     groups = df.groupBy(group).agg(F.sum(F.col(label).cast("long")).alias("_p"))
     groups = groups.withColumn("_t", F.col(tie or group).cast("double") if tie or df.schema[group].dataType.simpleString() in
-                               ("int", "bigint", "double") else F.xxhash64(group).cast("double"))
-    placed = ordinal_rank(groups, "_p", "_t", "_r", descending=True)
+                               ("int", "bigint", "double") else F.xxhash64(group))
+    placed = ordinal_rank(groups, "_p", "_t", "_r", descending=True, then=[group])
     at = (F.col("_r") - 1) % (2 * k)
     fold = F.when(at < k, at).otherwise(2 * k - 1 - at).cast("int")
     return df.join(placed.select(group, fold.alias("fold")), group)

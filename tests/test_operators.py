@@ -169,3 +169,15 @@ def test_no_silent_local_folder():
     context = N(getConf=lambda: conf, _jsc=N(sc=lambda: unset), master="spark://host:7077")
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         runtime.shared_root(N(sparkContext=context))
+
+
+def test_nan_zero_totals_and_one_value(spark):
+    from lotline.operators import statistics as S
+
+    df = spark.createDataFrame([("a", 1.0), ("a", float("nan")), ("b", 3.0), ("b", None)], "g string, v double")
+    assert [r["m"] for r in O.exact_quantiles(df, "v", {"m": 0.5}).collect()] == [2.0]
+    same = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "g string, v double")
+    assert S.kruskal(same, "g", "v").first()["h"] is None
+    assert S.anova_eta(same, "g", "v").first()["f"] is None
+    nothing = spark.createDataFrame([("a", "x", 0.0), ("a", "y", 0.0)], "g string, c string, m double")
+    assert {r["share"] for r in A.share_and_dominant(nothing, key=["g"], category="c", measure="m").collect()} == {None}
