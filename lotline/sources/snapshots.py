@@ -11,36 +11,72 @@ from pyspark.sql import types as T
 from lotline.functions.columns import first_period_of
 
 
-def read_snapshots(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, encoding: str = "UTF-8",
+def read_snapshots(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, encoding: str | Sequence[str] = "UTF-8",
                    period: str = "period", pattern: str = r"(\d{6})[^/]*$") -> DataFrame:
     """A1: CSV snapshots with a header, columns taken by name (missing ones become null), ``period`` = YYYYMM
     of the file name (the pattern is matched against the path). A file without one raises.
 
-    Ids are declared as text: 25-digit codes and leading zeros survive. Files of one header go to one
-    reader; tables of different headers are united by A4.
+    Ids are declared as text: 25-digit codes and leading zeros survive. Each file is read by its own header.
     """
     files = read_csv_encoded(spark, paths, encoding, schema)
     return files.withColumn(period, first_period_of("_metadata.file_path", pattern)).drop("_metadata")
 
 
-def read_csv_encoded(spark: SparkSession, paths: str | Sequence[str], encoding: str = "UTF-8",
+def read_csv_encoded(spark: SparkSession, paths: str | Sequence[str], encoding: str | Sequence[str] = "UTF-8",
                      schema: T.StructType | None = None) -> DataFrame:
     """A2: CSV in a given charset (``x-windows-949`` for Korean public data; needs
-    ``spark.sql.legacy.javaCharsets=true``). Bytes that cannot be decoded become replacement characters.
+    ``spark.sql.legacy.javaCharsets=true``), or per file in the first of several that decodes it without replacement
+    characters; a file that none decodes is an error with its name. With one charset such bytes become replacement characters.
 
-    All columns are read as text by their header name and cast to the declared type, so the order of
-    columns in a file does not matter.
+    All columns are read as text by their header name and cast to the declared type. Files are grouped by
+    charset and header, so neither the order nor the number of a file's columns matters.
     """
-    reader = spark.read.option("header", True).option("encoding", encoding).option("quote", '"').option("escape", '"')
-    raw = reader.csv(list(paths) if not isinstance(paths, str) else paths)
-    if schema is None:
-        return raw
-    have = set(raw.columns)
-    columns = [
-        (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name)
-        for f in schema.fields
-    ]
-    return raw.select(*columns, F.col("_metadata"))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([paths] if isinstance(paths, str) else list(paths))
+    files = sorted(r[0] for r in listed.where(F.col("length") > 0).select("path").collect())  # names only
+    charsets = [encoding] if isinstance(encoding, str) else list(encoding)
+    groups: dict[tuple, list[str]] = {}
+    for name, charset in _charset_of(spark, files, charsets).items():
+        header = tuple(_reader(spark, charset).csv(name).columns)
+        groups.setdefault((charset, header), []).append(name)
+    parts = []
+    for (charset, header), names in groups.items():
+        raw = _reader(spark, charset).csv(names)
+        if schema is None:
+            parts.append(raw)
+            continue
+        columns = [
+            (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in header else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in schema.fields
+        ]
+        parts.append(raw.select(*columns, F.col("_metadata")))
+    if not parts:
+        raise ValueError(f"no file with a header in {paths}")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=schema is None)
+    return out
+
+
+def _reader(spark: SparkSession, charset: str):
+    return spark.read.option("header", True).option("encoding", charset).option("quote", '"').option("escape", '"')
+
+
+def _charset_of(spark: SparkSession, files: Sequence[str], charsets: Sequence[str]) -> dict[str, str]:
+    """The first charset that decodes each file; one pass over the files still open for each charset but the only one."""
+    if len(charsets) == 1:
+        return dict.fromkeys(files, charsets[0])
+    found: dict[str, str] = {}
+    for charset in charsets:
+        left = [f for f in files if f not in found]
+        if not left:
+            break
+        lines = spark.read.option("encoding", charset).option("sep", "\u0001").option("quote", "").schema("line string").csv(left)
+        bad = lines.where(F.contains("line", F.lit("\ufffd"))).select("_metadata.file_path").distinct()
+        broken = {r[0] for r in bad.collect()}
+        found.update((f, charset) for f in left if f not in broken and f.replace("file:///", "file:/") not in broken and f.replace("file:/", "file:///") not in broken)
+    if missing := [f for f in files if f not in found]:
+        raise ValueError(f"none of {list(charsets)} decodes {missing[0]}")
+    return found
 
 
 def header_columns(spark: SparkSession, paths: Sequence[str], encoding: str = "UTF-8") -> DataFrame:

@@ -57,3 +57,18 @@ def test_panel_is_never_overwritten(spark):
     sinks.write_panel(df, path)
     with pytest.raises(Exception):
         sinks.write_panel(df, path)
+
+
+def test_files_are_read_by_their_own_header_and_charset(spark):
+    from pyspark.sql import types as T
+
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    base = shared_dir(spark)
+    frames = [("a", "UTF-8", [("1", "001", "가게")], "id string, floor string, name string"), ("b", "x-windows-949", [("상가", "2", "002")], "name string, id string, floor string"), ("c", "UTF-8", [("3",)], "id string")]
+    for name, charset, rows, kind in frames:
+        spark.createDataFrame(rows, kind).coalesce(1).write.option("header", True).option("encoding", charset).csv(f"{base}/202303_{name}")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "floor", "name")])
+    got = snapshots.read_snapshots(spark, f"{base}/*", schema, encoding=["UTF-8", "x-windows-949"], pattern=r"/(\d{6})_[^/]*/[^/]*$")
+    assert {tuple(r) for r in got.collect()} == {("1", "001", "가게", 202303), ("2", "002", "상가", 202303), ("3", None, None, 202303)}
+    with pytest.raises(ValueError, match="decodes .*_b"):
+        snapshots.read_csv_encoded(spark, [f"{base}/202303_b"], ["UTF-8", "US-ASCII"])
