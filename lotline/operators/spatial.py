@@ -26,7 +26,8 @@ def points_in_polygons(
     """Left join of points (x, y) with the polygons (ring of x, y) they lie within; of several the
     lowest id wins; points in none keep nulls. ``keep`` names further polygon columns.
 
-    Polygons are listed under the cells of their bounding box; a point meets only its own cell.
+    Polygons are listed under the cells of their bounding box; a point meets only its own cell. Equal coordinates
+    are looked up once, and every row keeps its place: rows that share an id are not merged.
     """
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
     cells = (
@@ -35,18 +36,17 @@ def points_in_polygons(
         .withColumn("_cy", F.explode(F.sequence(_cell(F.array_min(ys), cell_m), _cell(F.array_max(ys), cell_m))))
         .select("_cx", "_cy", "_e", F.struct(F.col(polygon_id), *[F.col(c) for c in keep if c != polygon_id]).alias("_p"))
     )
-    placed = points.withColumn("_cx", _cell(F.col("x"), cell_m)).withColumn("_cy", _cell(F.col("y"), cell_m))
-    hit = F.when(inside_ring(F.col("x"), F.col("y"), F.col("_e")), F.col("_p"))
-    others = [c for c in points.columns if c != point_id]
-    found = (
-        placed.join(cells, ["_cx", "_cy"], "left")
-        .groupBy(point_id)
-        .agg(F.any_value(F.struct(*others)).alias("_row"), F.min(hit).alias("_hit"))
-    )
+    known = F.col("x").isNotNull() & F.col("y").isNotNull()
+    spots = points.where(known).select("x", "y").distinct()
+    placed = spots.withColumn("_cx", _cell(F.col("x"), cell_m)).withColumn("_cy", _cell(F.col("y"), cell_m))
+    met = placed.join(cells, ["_cx", "_cy"]).where(inside_ring(F.col("x"), F.col("y"), F.col("_e")))
+    hits = met.groupBy("x", "y").agg(F.min("_p").alias("_hit"))
     names = [polygon_id, *[c for c in keep if c != polygon_id]]
-    return found.select(
-        point_id, *[F.col(f"_row.{c}").alias(c) for c in others], *[F.col(f"_hit.{c}").alias(c) for c in names]
-    )
+    order = [point_id, *[c for c in points.columns if c != point_id]]
+    found = points.where(known).join(hits, ["x", "y"], "left").select(*order, *[F.col(f"_hit.{c}").alias(c) for c in names])
+    kinds = {f.name: f.dataType for f in found.schema.fields}
+    nowhere = points.where(~known).select(*order, *[F.lit(None).cast(kinds[c]).alias(c) for c in names])
+    return found.union(nowhere)
 
 
 def polygon_bounds(polygons: DataFrame, polygon_id: str) -> tuple[DataFrame, DataFrame]:

@@ -181,3 +181,14 @@ def test_nan_zero_totals_and_one_value(spark):
     assert S.anova_eta(same, "g", "v").first()["f"] is None
     nothing = spark.createDataFrame([("a", "x", 0.0), ("a", "y", 0.0)], "g string, c string, m double")
     assert {r["share"] for r in A.share_and_dominant(nothing, key=["g"], category="c", measure="m").collect()} == {None}
+
+
+def test_points_with_equal_ids_coordinates_or_none(spark):
+    from lotline.operators.spatial import points_in_polygons
+
+    square = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0), (0.0, 0.0)]
+    rings = spark.createDataFrame([(7, [{"x": x, "y": y} for x, y in square], "n")], "pid int, ring array<struct<x:double,y:double>>, name string")
+    points = spark.createDataFrame([(1, 5.0, 5.0), (1, 50.0, 5.0), (2, 5.0, 5.0), (3, None, 5.0)], "id int, x double, y double")
+    got = points_in_polygons(points, rings, point_id="id", polygon_id="pid", keep=["name"], cell_m=4.0)
+    assert sorted((r["id"], r["pid"], r["name"]) for r in got.where("x = 5").collect()) == [(1, 7, "n"), (2, 7, "n")]
+    assert sorted((r["id"], r["pid"]) for r in got.where("x = 50 or x is null").collect()) == [(1, None), (3, None)]
