@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotline.llm.common import keep
+from lotline.llm.common import keep, mix
 
 #: Bucket values in one reduce task; features of a block of members, each counted as LEAST_FEATURES at least, so that a block
 #: has a thousand members at most.
 BUCKET_VALUES, BLOCK_FEATURES, LEAST_FEATURES = 1_000_000, 300_000, 300
+#: Groups up to this many members, without weights, are compared many at once.
+SMALL_GROUP = 16
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -40,7 +42,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _stars(values: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Links of all ids of a value to one of them, and one id for each value."""
-    order = np.lexsort((ids, values))
+    order = np.argsort(values)
     values, ids = values[order], ids[order]
     first = np.flatnonzero(np.diff(values, prepend=values[:1] + np.uint64(1)))
     centre = np.repeat(ids[first], np.diff(np.append(first, len(ids))))
@@ -138,6 +140,30 @@ def similar(doc: np.ndarray, feature: np.ndarray, weight: np.ndarray, n: int, th
     return np.stack([i[good], j[good]], axis=1)
 
 
+def similar_in_small_groups(group: np.ndarray, doc: np.ndarray, feature: np.ndarray, n: int, threshold: float) -> np.ndarray:
+    """Pairs (i, j) of n texts of one group each whose Jaccard similarity is at least ``threshold``, for many groups at once.
+
+    Features have no weights and are in the order of texts; pairs are counted per common feature, so groups should be small.
+    """
+    size = np.bincount(doc, minlength=n)
+    name = mix(feature ^ mix(group[doc].astype(np.uint64), 5))
+    order = np.argsort(name, kind="stable")
+    name, doc = name[order], doc[order]
+    found, lag = [np.zeros(0, np.int64)], 1
+    at = np.arange(len(name))
+    while True:
+        at = at[at + lag < len(name)]
+        at = at[name[at] == name[at + lag]]
+        if not len(at):
+            break
+        found.append(doc[at] * n + doc[at + lag])
+        lag += 1
+    code, both = np.unique(np.concatenate(found), return_counts=True)
+    i, j = code // n, code % n
+    good = both >= (threshold - 1e-9) * (size[i] + size[j] - both)
+    return np.stack([i[good], j[good]], axis=1)
+
+
 def forest(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
     """The pairs that a union-find needs, at most n - 1; those that join nothing new are left out many at a time."""
     up = list(range(n))
@@ -183,9 +209,15 @@ def verified_links(members: DataFrame, features: Featurise, threshold: float) ->
         roots, ids = roots[one], ids[one]
         doc, feature, weight = features(table.column("text").take(pa.array(one)).to_pylist())
         cuts = np.flatnonzero(np.diff(roots, prepend=roots[0] - 1, append=roots[-1] + 1))
+        members = np.diff(cuts)
+        group = np.repeat(np.arange(len(members)), members)
+        easy = (members <= SMALL_GROUP) & (np.bincount(group[doc], weight != 1, len(members)) == 0)
+        use = easy[group[doc]]
+        pairs = similar_in_small_groups(group, doc[use], feature[use], len(ids), threshold)
+        out = [(int(ids[i]), int(ids[j])) for i, j in forest(pairs, len(ids))]
         at = np.searchsorted(doc, cuts)
-        out: list[tuple[int, int]] = []
-        for (s, e), (x, y) in zip(zip(cuts[:-1], cuts[1:]), zip(at[:-1], at[1:])):
+        for g in np.flatnonzero(~easy):
+            s, e, x, y = cuts[g], cuts[g + 1], at[g], at[g + 1]
             pairs = similar(doc[x:y] - s, feature[x:y], weight[x:y], e - s, threshold)
             out += [(int(ids[s + i]), int(ids[s + j])) for i, j in forest(pairs, e - s)]
         return pa.table([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
