@@ -7,8 +7,10 @@ the hash, and gets the count back in the order it asked, so that neither the wor
 Model: a word, with a blank before it, is cut greedily into the longest tokens of a public byte-level vocabulary that have at most eight
 bytes, the best-ranked that GROUPS times PLACES ids hold; an end closes the text. One attention layer of one head over a window of WINDOW ids, trained by Adam, gives
 the next id's probability as that of its group and of its place there. Windows overlap by CONTEXT ids, and each id is scored once, in the first
-window that holds it: with CONTEXT ids or more before it, but at the text's beginning. The weights are fitted on at most SAMPLE training
-texts (those with the smallest hash of doc_id); the base counts all.
+window that holds it: with CONTEXT ids or more before it, but at the text's beginning. The weights are fitted on all training texts:
+their ids are written once by block; in each of EPOCHS passes every block goes on from the same weights through all its windows, and the
+blocks' weights, each counted by its windows, are averaged. Sums are whole numbers, so the order of tasks changes nothing; the driver only gets
+MERGED rows of the size of the weights.
 
 Null and empty texts are an end alone. A null doc_id is no held-out text. Every row gives one row; repeated rows count twice. Without
 training texts N is 0 and the model is uniform over its ids.
@@ -16,22 +18,26 @@ training texts N is 0 and the model is uniform over its ids.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotline.llm.bpe_codec import read_ranks
 from lotline.llm.common import blocks, keep, mix, span_hashes, text_bytes, texts, word_spans
 
-SAMPLE, SEED = 500, 5
+SEED = 5
 LONGEST = 8
 GROUPS, PLACES = 32, 64
 WIDTH, WINDOW, CONTEXT = 16, 24, 8
 EPOCHS, BATCH, RATE = 3, 256, 0.01
+#: Rows of summed weights that reach the driver at most, and steps of a weight in them.
+MERGED, STEPS = 64, 2**20
 #: Characters in a block of texts, and windows computed at once.
 BLOCK_CHARS, LANES = 8_000_000, 512
 #: Ids beyond the vocabulary's: the end of a text and, as input only, its beginning.
@@ -201,13 +207,13 @@ class Model:
         np.add.at(out["ids"], inputs.ravel(), flat(dx))
         return {name: g / max(1, good.sum()) for name, g in out.items()}
 
-    def fit(self, ids: np.ndarray, starts: np.ndarray) -> Model:
+    def fit(self, ids: np.ndarray, starts: np.ndarray, epochs: int = EPOCHS, seed: int | list[int] = SEED) -> Model:
         at, good = windows(starts)
-        rng = np.random.default_rng(SEED)
+        rng = np.random.default_rng(seed)
         moments = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in self.parts.items()}
         before = previous(ids, starts)
         turn = 0
-        for _ in range(EPOCHS):
+        for _ in range(epochs):
             order = rng.permutation(len(at))
             for low in range(0, len(order), BATCH):
                 own = order[low : low + BATCH]
@@ -220,6 +226,16 @@ class Model:
                     self.parts[name] -= np.float32(RATE) * (first / (1 - 0.9**turn)) / (np.sqrt(second / (1 - 0.99**turn)) + 1e-8)
         return self
 
+    def packed(self, times: int) -> np.ndarray:
+        """All weights in a row, ``times`` over, in whole STEPS."""
+        return np.rint(np.concatenate([x.ravel() for x in self.parts.values()]).astype(np.float64) * STEPS).astype(np.int64) * times
+
+    def unpack(self, total: np.ndarray, times: int) -> Model:
+        """Sets the weights to the mean of ``packed`` ones that were summed."""
+        cuts = np.cumsum([x.size for x in self.parts.values()])[:-1]
+        self.parts = {k: (own / (times * STEPS)).astype(x.dtype).reshape(x.shape) for (k, x), own in zip(self.parts.items(), np.split(total, cuts))}
+        return self
+
     def score(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """log10 probability of each text."""
         at, good = windows(starts)
@@ -250,8 +266,54 @@ def windows(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, good
 
 
-def score(docs: DataFrame, path: str | None = None, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def fitted(placed: DataFrame, path: str) -> Model:
+    """The model of all texts of ``placed`` (block, doc_id, text)."""
+
+    def cut(table: pa.Table) -> pa.Table:
+        """The block's ids and where its texts start, in an order of their own."""
+        values, pieces = table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).column("text").to_pylist(), Pieces.of(path)
+        parts = [Block(some).subwords(pieces) for some in blocks(values, 1_000_000)]
+        starts = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(s) for _, s in parts]))])
+        out = [[table.column("block")[0].as_py()], [np.concatenate([i for i, _ in parts]).astype(np.int16).tobytes()], [starts.astype(np.int64).tobytes()]]
+        return pa.table([pa.array(x, k) for x, k in zip(out, (pa.int32(), pa.binary(), pa.binary()))], ["block", "ids", "starts"])
+
+    kinds = pa.schema([("part", pa.int32()), ("times", pa.int64()), ("weights", pa.binary())])
+
+    def row(part: int, times: int, total: np.ndarray) -> list[pa.Array]:
+        return [pa.array([x], k) for x, k in zip((part, times, total.tobytes()), kinds.types)]
+
+    lessons = keep(placed.select("block", "doc_id", "text").groupBy("block").applyInArrow(cut, "block int, ids binary, starts binary"))
+    model = Model()
+    for turn in range(EPOCHS):
+        sent = placed.sparkSession.sparkContext.broadcast(model)
+
+        def study(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Summed weights of the task's blocks, each after all its windows."""
+            total, times = 0, 0
+            for batch in batches:
+                for block, ids, starts in zip(*(batch.column(k) for k in range(3))):
+                    starts = np.frombuffer(starts.as_py(), np.int64)
+                    own = copy.deepcopy(sent.value).fit(np.frombuffer(ids.as_py(), np.int16).astype(np.int32), starts, 1, [SEED, turn, block.as_py()])  # noqa: B023
+                    n = len(windows(starts)[0])
+                    total, times = total + own.packed(n), times + n
+            if times:
+                yield pa.record_batch(row(TaskContext.get().partitionId() % MERGED, times, total), schema=kinds)
+
+        def merge(table: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("weights"))
+            return pa.table(row(table.column("part")[0].as_py(), sum(table.column("times").to_pylist()), total), schema=kinds)
+
+        schema = "part int, times long, weights binary"
+        merged = lessons.mapInArrow(study, schema).groupBy("part").applyInArrow(merge, schema).toArrow()
+        if not merged.num_rows:
+            break
+        model = model.unpack(sum(np.frombuffer(x.as_py(), np.int64) for x in merged.column("weights")), sum(merged.column("times").to_pylist()))
+    return model
+
+
+def score(docs: DataFrame, path: str | None = None, sample: int | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. With ``sample`` the attention is fitted on
+    so many training texts only, for trials."""
     path = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     rows = texts(docs).withColumn("held_out", held)
@@ -259,10 +321,8 @@ def score(docs: DataFrame, path: str | None = None, sample: int = SAMPLE) -> Dat
     count = max(1, -(-int(chars) // BLOCK_CHARS))
     placed = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).cast("int"))
 
-    chosen = rows.where(~F.col("held_out")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).select("text").toArrow()
-    model = Model()
-    if chosen.num_rows:
-        model.fit(*Block(chosen.column("text").to_pylist()).subwords(Pieces.of(path)))
+    training = placed.where(~F.col("held_out"))
+    model = fitted(training if sample is None else training.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample), path)
 
     def ask(table: pa.Table) -> pa.Table:
         """The block's distinct words with their number in training texts, by the task that owns them."""

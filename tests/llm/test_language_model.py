@@ -99,3 +99,22 @@ def test_slopes_equal_differences():
         down = loss()
         part[at] += 1e-4
         assert abs((up - down) / 2e-4 - slopes[name][at]) < 1e-3 * max(1, abs(slopes[name][at])), name
+
+
+def test_attention_learns_from_every_training_text(spark, monkeypatch):
+    """The 500 texts with the smallest hash of doc_id hold nothing of the topic of the others."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(lm, "BLOCK_CHARS", 30_000)
+    fold = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    ids = [r[0] for r in spark.range(1500).orderBy(F.xxhash64("id")).collect()]
+    train, held = [i for i in ids if not fold(i)], [i for i in ids if fold(i)][:20]
+    rnd = random.Random(4)
+    plain = lambda: " ".join(rnd.choice(["the", "under", "of", "is"]) for _ in range(30))
+    topic = lambda: "zq wv kj qx " * 20
+    rows = [(i, plain()) for i in train[:500]] + [(i, topic()) for i in train[500:900]] + [(i, topic()) for i in held]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    total = lambda df: sum(r.score for r in df.where("held_out").collect())
+    whole = total(lm.score(docs))
+    assert whole > 0.8 * total(lm.score(docs, sample=500))
+    assert abs(whole - total(lm.score(docs.repartition(7)))) < 1e-6 * abs(whole)
