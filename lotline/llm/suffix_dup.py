@@ -6,9 +6,11 @@ which is all that is compared. A sample is sorted first: in each 200-byte string
 anchor, a choice that any equal string makes alike. Anchors that occur once in all texts take their strings out; the strings of
 the other anchors, and only those, are then named at full length, sorted and compared.
 
+Equal texts are one text that counts as often as it occurs: Spark collapses them before it moves them. Results go back to the
+doc_ids by the text's MD5; a task of the input sends one list of doc_ids for each of its texts, so a group of copies is as many rows as tasks.
+
 Names are sorted by range owners: texts are dealt into blocks by hash, each block sends its distinct names once, packed, to the tasks that own
-them, and gets back in its own order whether each occurs twice. Texts that are equal within a block are one text that counts as often
-as it occurs. Blocks mix a few bits of doc_id into the hash, so that one group of copies is spread over several.
+them, and gets back in its own order whether each occurs twice.
 
 This is not the three-way merge of the difference-cover algorithm: its ranks would order suffixes of different text too, which
 nothing here needs, at several shuffles of all suffixes (README). Names are 64-bit: strings that differ share one with probability 2^-64 a pair.
@@ -30,7 +32,6 @@ from lotline.llm.common import keep, texts
 
 LENGTH, ANCHOR = 200, 64
 BLOCK_CHARS, AT_ONCE = 6_000_000, 1_500_000
-SPREAD = 4
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -137,13 +138,18 @@ def _runs_of(values: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.nda
         low = high
 
 
-def _distinct(table: pa.Table) -> tuple[list[bytes], list[list]]:
-    """The block's different texts in a fixed order, and the doc_ids of each."""
-    own: dict[bytes, list] = {}
-    for doc_id, text in zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist()):
-        own.setdefault(text.encode(), []).append(doc_id)
-    values = sorted(own, key=lambda v: (len(v), v))
-    return values, [own[v] for v in values]
+def collapsed(rows: DataFrame, count: int) -> DataFrame:
+    """block, key (MD5), text, copies: one row for each different text."""
+    texts = rows.groupBy("text").agg(F.count("*").alias("copies"))
+    return texts.select(F.pmod(F.xxhash64("text"), F.lit(count)).cast("int").alias("block"), F.unhex(F.md5("text")).alias("key"), "text", "copies")
+
+
+def _ordered(table: pa.Table) -> tuple[list[bytes], list[bytes], list[int]]:
+    """The block's texts in a fixed order, with their keys and copies."""
+    values = [t.encode() for t in table.column("text").to_pylist()]
+    order = sorted(range(len(values)), key=lambda k: (len(values[k]), values[k]))
+    keys, copies = table.column("key").to_pylist(), table.column("copies").to_pylist()
+    return [values[k] for k in order], [keys[k] for k in order], [copies[k] for k in order]
 
 
 def _marked(data: np.ndarray, runs: list[list[int]], starts: np.ndarray) -> np.ndarray:
@@ -157,8 +163,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     rows = texts(docs)
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     count = max(1, -(-int(chars) // BLOCK_CHARS))
-    block = F.pmod(F.xxhash64("text", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(SPREAD))), F.lit(count)).cast("int")
-    placed = rows.withColumn("block", block)
+    placed = collapsed(rows, count)
 
     def sampled(values: list[bytes], copies: list[int]) -> tuple[np.ndarray, np.ndarray]:
         found, times = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -174,11 +179,11 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
         return names, np.bincount(which, np.concatenate(times), len(names))
 
     def ask_anchors(table: pa.Table) -> pa.Table:
-        values, ids = _distinct(table)
-        return _question(table.column("block")[0].as_py(), *sampled(values, [len(x) for x in ids]), count)
+        values, _, copies = _ordered(table)
+        return _question(table.column("block")[0].as_py(), *sampled(values, copies), count)
 
-    found_schema = "block int, doc_ids array<long>, n_bytes long, sha string, text binary, runs array<int>"
-    found_kinds = [pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int32())]
+    found_schema = "block int, key binary, copies long, n_bytes long, sha string, text binary, runs array<int>"
+    found_kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int32())]
     found_names = [x.split()[0] for x in found_schema.split(", ")]
 
     def select(table: pa.Table, back: pa.Table) -> pa.Table:
@@ -186,8 +191,8 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
         out = []
         if table.num_rows:
             number = table.column("block")[0].as_py()
-            values, ids = _distinct(table)
-            names = sampled(values, [len(x) for x in ids])[0]
+            values, keys, copies = _ordered(table)
+            names = sampled(values, copies)[0]
             wanted = np.sort(names[_answered(names, back, count)])
             for low, high, data, starts in _runs_of(values):
                 of = anchors(data, starts, length, anchor)[0]
@@ -200,8 +205,8 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
                     s, e = first[k], last[k]
                     own = (np.stack([begin[s:e], end[s:e]], axis=1).ravel() - starts[k]).tolist()
                     done = not own
-                    out.append((number, ids[low + k], len(value), hashlib.sha256(value).hexdigest() if done else None, None if done else value, own))
-        return pa.table([pa.array(list(x), k) for x, k in zip(zip(*out) if out else [[]] * 6, found_kinds)], found_names)
+                    out.append((number, keys[low + k], copies[low + k], len(value), hashlib.sha256(value).hexdigest() if done else None, None if done else value, own))
+        return pa.table([pa.array(list(x), k) for x, k in zip(zip(*out) if out else [[]] * 7, found_kinds)], found_names)
 
     answers = placed.groupBy("block").applyInArrow(ask_anchors, "part int, block int, names binary, times binary").groupBy("part").applyInArrow(_answer, "block int, part int, bits binary")
     found = keep(placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(select, found_schema))
@@ -209,12 +214,12 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
 
     def full_names(table: pa.Table) -> tuple[list, np.ndarray, np.ndarray]:
         """The block's texts in a fixed order, with the name and the weight (copies) of every string to compare."""
-        order = sorted(zip(table.column("text").to_pylist(), table.column("doc_ids").to_pylist(), table.column("runs").to_pylist()), key=lambda x: (len(x[0]), x[0]))
+        order = sorted(zip(*(table.column(c).to_pylist() for c in ("text", "key", "copies", "runs"))), key=lambda x: (len(x[0]), x[0]))
         names, times = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for low, high, data, starts in _runs_of([t for t, _, _ in order]):
-            at = _marked(data, [r for _, _, r in order[low:high]], starts)
+        for low, high, data, starts in _runs_of([t for t, *_ in order]):
+            at = _marked(data, [r for *_, r in order[low:high]], starts)
             names.append(named(data, length)[at])
-            copies = np.array([len(d) for _, d, _ in order[low:high]])
+            copies = np.array([n for _, _, n, _ in order[low:high]])
             times.append(copies[np.searchsorted(starts, at, "right") - 1])
         return order, np.concatenate(names), np.concatenate(times)
 
@@ -223,8 +228,8 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
         names, which = np.unique(names, return_inverse=True)
         return _question(table.column("block")[0].as_py(), names, np.bincount(which, times, len(names)), count)
 
-    out_schema = "doc_ids array<long>, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    out_kinds = [pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    out_schema = "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    out_kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 
     def remove(table: pa.Table, back: pa.Table) -> pa.Table:
         out = []
@@ -233,21 +238,25 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
             distinct, which = np.unique(names, return_inverse=True)
             twice = _answered(distinct, back, count)[which]
             used = 0
-            for low, high, data, starts in _runs_of([t for t, _, _ in order]):
-                at = _marked(data, [r for _, _, r in order[low:high]], starts)
+            for low, high, data, starts in _runs_of([t for t, *_ in order]):
+                at = _marked(data, [r for *_, r in order[low:high]], starts)
                 hit = at[twice[used : used + len(at)]]
                 used += len(at)
                 change = np.zeros(len(data) + 1, np.int32)
                 np.add.at(change, hit, 1)
                 np.add.at(change, hit + length, -1)
                 gone = np.cumsum(change[:-1]) > 0
-                for k, (text, ids, _) in enumerate(order[low:high]):
+                for k, (text, key, *_) in enumerate(order[low:high]):
                     own = gone[starts[k] : starts[k + 1]]
                     left = np.frombuffer(text, np.uint8)[~own].tobytes()
-                    out.append((ids, len(text), int(own.sum()), int(np.count_nonzero(np.diff(own, prepend=False) & own)), hashlib.sha256(left).hexdigest(), left))
+                    out.append((key, len(text), int(own.sum()), int(np.count_nonzero(np.diff(own, prepend=False) & own)), hashlib.sha256(left).hexdigest(), left))
         return pa.table([pa.array(list(x), k) for x, k in zip(zip(*out) if out else [[]] * 6, out_kinds)], [x.split()[0] for x in out_schema.split(", ")])
 
     answers = more.groupBy("block").applyInArrow(ask_strings, "part int, block int, names binary, times binary").groupBy("part").applyInArrow(_answer, "block int, part int, bits binary")
     cut = more.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(remove, out_schema)
-    same = found.where("text is null").select("doc_ids", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("binary").alias("kept"))
-    return cut.unionByName(same).select(F.explode("doc_ids").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    same = found.where("text is null").select("key", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("binary").alias("kept"))
+    lists = rows.select(F.unhex(F.md5("text")).alias("key"), "doc_id", F.spark_partition_id().alias("task"))
+    lists = lists.groupBy("key", "task").agg(F.collect_list(F.struct("doc_id")).alias("docs"))
+    # the lists of a group of copies meet their result in one task, and are dealt out again before they become rows
+    met = cut.unionByName(same).join(lists, "key").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return met.select(F.inline("docs"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")

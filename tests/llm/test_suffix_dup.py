@@ -61,3 +61,14 @@ def test_every_string_has_an_anchor():
     of, places = suffix_dup.anchors(data, starts, 200, 64)
     inside = [any(s <= i and i + 200 <= e for s, e in zip(starts[:-1], starts[1:])) for i in range(len(of))]
     assert ((of > 0) == inside).all() and set(of[of > 0]) == set(places)
+
+
+def test_copies_are_one_text_whatever_their_ids(spark):
+    """No task gets a text twice, if ids are null or leave the same remainder, and every copy has its row."""
+    copy, other = "one text in many copies " * 20, "x" * 250
+    rows = [(None, copy)] * 300 + [(4 * k, copy) for k in range(300)] + [(1, other), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    placed = suffix_dup.collapsed(suffix_dup.texts(docs), 3).collect()
+    assert sorted((r.text, r.copies) for r in placed) == [("", 1), (copy, 600), (other, 1)]
+    got = suffix_dup.repeated_bytes(docs).drop("kept").collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows, 200)
