@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotline.llm import bpe_codec, decontaminate, language_model, line_dup, near_dup, quality, secrets, suffix_dup, token_automaton, toxicity
+from lotline.llm import bpe_codec, decontaminate, fill_middle, language_model, line_dup, near_dup, quality, secrets, suffix_dup, token_automaton, toxicity
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -88,3 +88,11 @@ def op9_attention_lm(spark: SparkSession, root: str) -> DataFrame:
 @query
 def op3_repeated_strings(spark: SparkSession, root: str) -> DataFrame:
     return suffix_dup.repeated_bytes(table(spark, root, "documents")).drop("kept")
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, root: str) -> DataFrame:
+    return fill_middle.fill_in_middle(table(spark, root, "documents"), digests=True)
+
+
+SQL["op13_fill_in_middle"] = fill_middle.SQL
