@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotline.llm import bpe_codec, decontaminate, fill_middle, language_model, line_dup, near_dup, quality, secrets, suffix_dup, token_automaton, toxicity
+from lotline.llm import bpe_codec, decontaminate, fill_middle, language_model, line_dup, near_dup, pivot_clusters, quality, secrets, suffix_dup, token_automaton, toxicity
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -96,3 +96,11 @@ def op13_fill_in_middle(spark: SparkSession, root: str) -> DataFrame:
 
 
 SQL["op13_fill_in_middle"] = fill_middle.SQL
+
+
+@query
+def op12_ptolemaic_clusters(spark: SparkSession, root: str) -> DataFrame:
+    return pivot_clusters.clusters(table(spark, root, "embeddings"))
+
+
+SQL["op12_ptolemaic_clusters"] = pivot_clusters.SQL
