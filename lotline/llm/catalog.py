@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotline.llm import bpe_codec, decontaminate, fill_middle, language_model, line_dup, near_dup, pivot_clusters, quality, secrets, suffix_dup, token_automaton, toxicity
+from lotline.llm import bpe_codec, decontaminate, fill_middle, language_model, line_dup, near_dup, pivot_clusters, quality, secrets, suffix_dup, token_automaton, toxicity, url_templates
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -104,3 +104,11 @@ def op12_ptolemaic_clusters(spark: SparkSession, root: str) -> DataFrame:
 
 
 SQL["op12_ptolemaic_clusters"] = pivot_clusters.SQL
+
+
+@query
+def op11_url_templates(spark: SparkSession, root: str) -> DataFrame:
+    return url_templates.judge(table(spark, root, "pages"))
+
+
+SQL["op11_url_templates"] = url_templates.SQL
