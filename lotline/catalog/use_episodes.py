@@ -173,7 +173,7 @@ def _(spark, root):
 
 @query("e10_assign_slots_hot", SLOTS + "SELECT parcel, floor, period, shop_id, slot FROM slotted", ("snapshot",))
 def _(spark, root):
-    # every group by rounds
+    # every group by the ordered scan
     return assign_slots(V.snapshot(spark, root), group=["parcel", "floor"], period="period", member="shop_id", hot_rows=0)
 
 

@@ -2,38 +2,53 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from heapq import heappop, heappush
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotline.operators.ordinals import text_rank, value_positions
-from lotline.runtime import cut, keyed_join, pinned
+from lotline.operators.ordinals import text_rank
+from lotline.runtime import dealt_join, keyed_join, pinned, stored
 
 HOT_GROUP_ROWS = 20_000
+#: Rows of a group that one task reads in order, holding the members of one period.
+SCAN_GROUP_ROWS = 20_000_000
+#: Slots in a block of a group that is larger still.
+BLOCK_SLOTS = 4096
 
 
 def assign_slots(
     panel: DataFrame, *, group: Sequence[str], period: str, member: str, hot_rows: int = HOT_GROUP_ROWS,
+    scan_rows: int = SCAN_GROUP_ROWS, block: int = BLOCK_SLOTS,
 ) -> DataFrame:
     """In period order, members that vanished give their slot back and arrivals, in the order of
     their id, take the smallest free slots. Only periods in which the group has rows are stepped.
 
     Groups up to ``hot_rows`` rows are folded inside one array expression after a single shuffle on
-    the group. Larger ones are stepped period by period with ranks that are computed across tasks.
+    the group. Larger ones are scanned once in the order of period and member, with the free slots in a heap; many
+    groups share a task. A group beyond ``scan_rows`` is no task's job: its slots are dealt into blocks of ``block``, arrivals are
+    ranked across tasks for all periods at once, and in each period the blocks take the ranks that the free slots before them leave.
     Either way members are text, integers, decimals of up to 18 digits, dates or timestamps, in the order of
     their type; a null is nobody, and a period with nothing else is not stepped.
     """
     rows = panel.select(*group, period, member).where(F.col(member).isNotNull())
     encode, decode = _sortable(rows, member)
-    big = pinned(rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*group))
-    if big.isEmpty():
+    big = pinned(rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows))
+    largest = big.agg(F.max("_n")).first()[0]
+    if largest is None:
         return _fold(rows, group, period, member)
-    normal = keyed_join(rows, big, group, "left_anti")
-    hot = keyed_join(rows, big, group, "left_semi").distinct().withColumn(member, encode)
-    slotted = _by_rounds(hot, group, period, member).withColumn(member, decode)
-    return _fold(normal, group, period, member).unionByName(slotted)
+    hot = keyed_join(rows, big, group).distinct()
+    out = _fold(keyed_join(rows, big.select(*group), group, "left_anti"), group, period, member)
+    out = out.unionByName(_scan(hot.where(F.col("_n") <= scan_rows).drop("_n"), group, period, member))
+    if largest > scan_rows:
+        huge = hot.where(F.col("_n") > scan_rows).drop("_n").withColumn(member, encode)
+        out = out.unionByName(_by_blocks(huge, group, period, member, block).withColumn(member, decode))
+    return out
 
 
 def _sortable(rows: DataFrame, member: str) -> tuple[Column, Column]:
@@ -87,45 +102,104 @@ def _fold(rows: DataFrame, group: Sequence[str], period: str, member: str) -> Da
     )
 
 
-def _by_rounds(rows: DataFrame, group: Sequence[str], period: str, member: str) -> DataFrame:
-    """The same assignment for groups too large for one task.
-
-    The j-th free slot is j plus the number of taken slots below it. The i-th smallest taken slot s has
-    s - i free slots below, so that number is a count of values smaller than j and needs no list of slots.
+def _scan(rows: DataFrame, group: Sequence[str], period: str, member: str) -> DataFrame:
+    """One pass over distinct rows in order; a task holds the slots and the rows of one period of one group."""
+    keys = [*group, period]
+    ordered = rows.repartition(*group).sortWithinPartitions(*keys, member)
+    names = [*keys, member, "slot"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        slots: list[int] = []
+        here, when, held, free, top = None, None, {}, [], 0
+        ids: list = []
+
+        def settle() -> None:
+            nonlocal top
+            present = set(ids)
+            for gone in [m for m in held if m not in present]:
+                heappush(free, held.pop(gone))
+            for m in ids:
+                if m not in held:
+                    if free:
+                        held[m] = heappop(free)
+                    else:
+                        top += 1
+                        held[m] = top
+                slots.append(held[m])
+            ids.clear()
+
+        def ready(last: bool) -> Iterator[pa.RecordBatch]:
+            while waiting and (last or len(slots) >= waiting[0].num_rows):
+                batch = waiting.pop(0)
+                done = pa.array(slots[: batch.num_rows], pa.int32())
+                del slots[: batch.num_rows]
+                yield pa.RecordBatch.from_arrays([*batch.columns, done], names)
+
+        for batch in batches:
+            waiting.append(batch)
+            columns = [c.to_pylist() for c in batch.columns]
+            for *key, at, m in zip(*columns, strict=True):
+                if (key, at) != (here, when):
+                    settle()
+                    if key != here:
+                        held, free, top = {}, [], 0
+                    here, when = key, at
+                ids.append(m)
+            yield from ready(False)
+        settle()
+        yield from ready(True)
+
+    schema = T.StructType([*[rows.schema[c] for c in names[:-1]], T.StructField("slot", T.IntegerType())])
+    return ordered.select(*names[:-1]).mapInArrow(run, schema)
+
+
+def _by_blocks(rows: DataFrame, group: Sequence[str], period: str, member: str, width: int) -> DataFrame:
+    """The same for groups too large for one task; members are text that sorts as they do.
+
+    A stay is a run of the group's periods; its slot is the j-th free one when it begins, j being its rank among the arrivals of
+    that period, which does not depend on slots and so is known beforehand. A block of slots keeps its stays until they
+    end; the free slots of the blocks before it say which ranks it takes. There is one step for each of a group's periods, with all
+    groups and blocks in parallel.
     """
-    rows = cut(rows)
-    periods = [r[0] for r in rows.select(period).distinct().orderBy(period).collect()]
-    keys = list(group)
-    state: DataFrame | None = None
-    done: list[DataFrame] = []
-    for when in periods:
-        now = rows.where(F.col(period) == F.lit(when)).select(*keys, member)
-        if state is None:
-            placed = text_rank(now, keys, member, "_j").select(*keys, member, F.col("_j").cast("int").alias("slot"))
-            after = placed
-        else:
-            stay = keyed_join(state, now, [*keys, member], "left_semi")
-            idle = keyed_join(state, now.select(*keys).distinct(), keys, "left_anti")
-            fresh = keyed_join(now, stay, [*keys, member], "left_anti")
-            arrivals = cut(text_rank(fresh, keys, member, "_j"))
-            taken = value_positions(stay, "slot", keys).select(
-                *keys, (F.col("slot") - F.col("smaller") - 1).cast("long").alias("v"), F.lit(1).alias("c")
-            )
-            wanted = arrivals.select(*keys, F.col("_j").alias("v"), F.lit(0).alias("c"))
-            below = value_positions(taken.unionByName(wanted), "v", keys, count="c").select(
-                *keys, F.col("v").alias("_j"), "smaller"
-            )
-            seated = keyed_join(arrivals, below, [*keys, "_j"]).select(
-                *keys, member, (F.col("_j") + F.col("smaller")).cast("int").alias("slot")
-            )
-            placed = stay.select(*keys, member, "slot").unionByName(seated)
-            after = placed.unionByName(idle.select(*keys, member, "slot"))
-        state = cut(after)
-        done.append(keyed_join(state, now, [*keys, member], "left_semi").withColumn(period, F.lit(when)))
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out.select(*keys, F.col(period).cast(rows.schema[period].dataType), member, "slot")
+    name = F.to_json(F.struct(*group), {"ignoreNullFields": "false"})
+    rows = stored(rows.withColumn("_g", name))
+    calendar = rows.groupBy("_g", period).agg(F.count(F.lit(1)).alias("_n"))
+    calendar = stored(calendar.withColumn("_t", F.row_number().over(W.partitionBy("_g").orderBy(period))))
+    own = W.partitionBy("_g", member)
+    run = F.col("_t") - F.row_number().over(own.orderBy("_t"))
+    placed = dealt_join(rows, calendar, ["_g", period], "_n").withColumn("_run", run)
+    placed = stored(placed.withColumn("_s", F.min("_t").over(W.partitionBy("_g", member, "_run"))).drop("_n", "_run"))
+    stays = placed.groupBy("_g", member, "_s").agg(F.max("_t").alias("_e"))
+    stay = F.struct(F.col("_j").alias("j"), F.col(member).alias("m"), F.col("_e").alias("e"))
+    arrivals = text_rank(stays, ["_g", "_s"], member, "_j").groupBy("_g", "_s", F.floor((F.col("_j") - 1) / width).alias("_c"))
+    arrivals = stored(arrivals.agg(F.sort_array(F.collect_list(stay)).alias("_new")))
+    last = F.ceil(F.col("n") / width).cast("long") - 1
+    held_type = "array<struct<slot:int,e:int>>"
+    state = stored(calendar.groupBy("_g").agg(F.max("_n").alias("n")).select(
+        "_g", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_b"), F.array().cast(held_type).alias("held")))
+    steps = calendar.agg(F.max("_t")).first()[0] or 0
+    done = []
+    for t in range(1, steps + 1):
+        live = state.select("_g", "_b", F.filter("held", lambda h: h["e"] >= t).alias("held"))
+        free = F.lit(width) - F.size("held")
+        upto = F.sum(free).over(W.partitionBy("_g").orderBy("_b"))
+        ranged = live.select("_g", "_b", "held", (upto - free).alias("_low"), upto.alias("_high"))
+        asks = F.sequence(F.floor(F.col("_low") / width), F.floor((F.col("_high") - 1) / width))
+        asking = ranged.where("_high > _low").select("_g", "_b", "_low", "_high", F.explode(asks).alias("_c"))
+        mine = F.filter("_new", lambda a: (a["j"] > F.col("_low")) & (a["j"] <= F.col("_high")))
+        got = asking.join(arrivals.where(F.col("_s") == t), ["_g", "_c"]).groupBy("_g", "_b").agg(
+            F.sort_array(F.flatten(F.collect_list(mine))).alias("_mine"))
+        first = F.col("_b").cast("int") * width
+        numbers = F.array_except(F.sequence(first + 1, first + width), F.col("held.slot"))
+        seated = F.zip_with(F.slice(numbers, 1, F.size("_mine")), F.col("_mine"), lambda n, a: F.struct(n.alias("slot"), a["e"].alias("e"), a["m"].alias("m")))
+        empty = F.array().cast(got.schema["_mine"].dataType)
+        met = live.join(got, ["_g", "_b"], "left").withColumn("_mine", F.coalesce("_mine", empty)).withColumn("_seated", seated)
+        kept = F.concat("held", F.transform("_seated", lambda x: F.struct(x["slot"].alias("slot"), x["e"].alias("e"))))
+        state = stored(met.select("_g", "_b", kept.alias("held"), F.transform("_seated", lambda x: F.struct(x["slot"].alias("slot"), x["m"].alias("m"))).alias("new")))
+        done.append(state.select("_g", F.lit(t).alias("_s"), F.explode("new").alias("x")))
+    out = reduce(DataFrame.union, done).select("_g", "_s", F.col("x.m").alias(member), F.col("x.slot").alias("slot"))
+    return placed.join(out, ["_g", "_s", member]).select(*group, period, member, "slot")
 
 
 def max_concurrency(slotted: DataFrame, *, group: Sequence[str], slot: str = "slot", min_n: int = 30) -> DataFrame:

@@ -126,3 +126,19 @@ def keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
         )
         return joined
     return joined.drop(*[f"__r_{k}" for k in keys])
+
+
+def dealt_join(rows: DataFrame, keyed: DataFrame, keys: Sequence[str], size: str, how: str = "inner", pieces: int = 256) -> DataFrame:
+    """Join ``rows`` to ``keyed``, which has one row for each non-null key and in ``size`` the number of rows that it meets.
+
+    Keys with more than one in ``pieces`` of all rows, so fewer than ``pieces`` keys, are broadcast with their number of shares; their
+    rows are dealt to the shares in turn, and ``keyed`` gets a row for each. Both inputs should be read from files.
+    """
+    total = keyed.agg(F.sum(size)).first()[0] or 0
+    shares = F.ceil(F.col(size) * pieces / F.lit(max(1, total))).cast("int")
+    hot = F.col(size) * pieces > total
+    counts = keyed.where(hot).select(*keys, shares.alias("__shares"))
+    turn = F.pmod(F.monotonically_increasing_id(), F.coalesce("__shares", F.lit(1))).cast("int")
+    dealt = rows.join(F.broadcast(counts), list(keys), "left").withColumn("__share", turn).drop("__shares")
+    spread = keyed.withColumn("__share", F.explode(F.sequence(F.lit(0), F.when(hot, shares - 1).otherwise(0))))
+    return dealt.join(spread, [*keys, "__share"], how).drop("__share")

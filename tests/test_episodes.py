@@ -149,8 +149,10 @@ def test_slots_are_the_same_at_every_group_size(spark, kind):
     rows = [(f"g{g}", p, name(m)) for g in range(3) for p in range(1, 4) for m in range(11) if rng.random() < 0.4]
     rows += [("g0", 3, None), ("g0", 9, None), ("g0", 10, name(0)), ("g9", 1, None)]
     panel = frame(spark, rows, f"g string, period int, shop {kind}")
-    for hot_rows in (20_000, 12, 0) if kind == "string" else (20_000, 0):  # all groups folded, some, none
-        slotted = assign_slots(panel, group=["g"], period="period", member="shop", hot_rows=hot_rows)
+    # all groups folded, some, all scanned, some dealt into blocks of slots, all of them
+    ways = [(20_000, 10**6, 4096), (12, 10**6, 4096), (0, 10**6, 4096), (0, 12, 2), (0, 0, 3)]
+    for hot_rows, scan_rows, block in ways if kind == "string" else [ways[0], ways[2], ways[4]]:
+        slotted = assign_slots(panel, group=["g"], period="period", member="shop", hot_rows=hot_rows, scan_rows=scan_rows, block=block)
         assert slotted.schema["shop"].dataType == panel.schema["shop"].dataType
         got = {}
         for r in slotted.collect():
@@ -158,6 +160,21 @@ def test_slots_are_the_same_at_every_group_size(spark, kind):
         check_slots(rows, got)
 
 
+def test_scan_over_many_batches(spark):
+    """A group of many Arrow batches, null group keys, repeated rows."""
+    rng = random.Random(5)
+    rows = [(None if g else "a", g, p, f"m{m:05d}") for g in range(2) for p in range(6) for m in range(6000) if rng.random() < 0.5]
+    panel = frame(spark, rows + rows[:1000], "g string, h int, period int, shop string")
+    got = {}
+    for r in assign_slots(panel, group=["g", "h"], period="period", member="shop", hot_rows=0).collect():
+        got.setdefault(((r["g"], r["h"]), r["period"]), {})[r["shop"]] = r["slot"]
+    check_slots([((g, h), p, m) for g, h, p, m in rows], got)
+    again = {}
+    for r in assign_slots(panel, group=["g", "h"], period="period", member="shop", hot_rows=0, scan_rows=0, block=1000).collect():
+        again.setdefault(((r["g"], r["h"]), r["period"]), {})[r["shop"]] = r["slot"]
+    assert again == got
+
+
 def test_slots_trap(spark):
     rows = [("L", 1, "a"), ("L", 1, "b"), ("L", 2, "b"), ("L", 2, "c"), ("L", 4, "c"), ("L", 4, "a"), ("L", 4, "d")]
     panel = frame(spark, rows, "g string, period int, shop string")
