@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate, chain
 
@@ -20,13 +21,15 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lotline.llm.common import columns, texts
+from lotline.llm.common import portions, texts
 
 SHIFT = 256
-#: Pre-tokens remembered by a Python worker at the start of a batch.
-REMEMBERED = 600_000
+#: Pre-tokens in a generation of those that a Python worker remembers.
+REMEMBERED = 100_000
+#: Characters of the longest one that is remembered.
+LONGEST = 100
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[tuple[str, str], Codec] = {}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -71,9 +74,10 @@ def serialise(ranks: dict[bytes, int]) -> bytes:
 
 
 class Codec:
-    """One per worker and vocabulary."""
+    """One per worker and vocabulary. What pre-tokens encode to is remembered as packed 32-bit ids in two generations: those met lately,
+    and those met before; a full generation pushes out the older one."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, remembered: int = REMEMBERED):
         import regex
         import sentencepiece
 
@@ -81,29 +85,40 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(self.ranks))
         self.token = sorted(self.ranks, key=self.ranks.__getitem__)
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, list[int]] = {}
-        self.digits = [str(i) for i in range(len(self.token))]
+        self.remembered = remembered
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.digits = [str(i).encode() for i in range(len(self.token))]
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Codec:
-        if path not in _codecs:
-            _codecs[path] = cls(path, pattern)
-        return _codecs[path]
-
-    def learn(self, parts: set[str]) -> None:
-        """Ids of new pre-tokens; one that is a token itself keeps its own id."""
-        new = [(p, p.encode()) for p in parts if p not in self.known]
-        rest = [(p, b) for p, b in new if b not in self.ranks]
-        self.known.update((p, [self.ranks[b]]) for p, b in new if b in self.ranks)
-        whole, ends = mapped(b"".join(b for _, b in rest)), list(accumulate(len(b) for _, b in rest))
-        pieces = [whole[i:j] for i, j in zip([0, *ends], ends)]
-        self.known.update(zip((p for p, _ in rest), self.model.encode(pieces), strict=True))
-
-    def encode(self, text: str) -> list[int]:
-        parts = self.split(text)
-        if missing := set(parts).difference(self.known):
-            self.learn(missing)
-        return list(chain.from_iterable(map(self.known.__getitem__, parts)))
+        if (path, pattern) not in _codecs:
+            _codecs[path, pattern] = cls(path, pattern)
+        return _codecs[path, pattern]
+
+    def learn(self, parts: list[str]) -> dict[str, bytes]:
+        """Packed ids of distinct pre-tokens; one that is a token itself keeps its own id."""
+        raw = [p.encode() for p in parts]
+        whole, ends = mapped(b"".join(raw)), list(accumulate(map(len, raw)))
+        unknown = [k for k, b in enumerate(raw) if b not in self.ranks]
+        found = dict(zip(unknown, self.model.encode([whole[ends[k] - len(raw[k]) : ends[k]] for k in unknown]), strict=True))
+        return {p: array("I", found[k] if k in found else (self.ranks[raw[k]],)).tobytes() for k, p in enumerate(parts)}
+
+    def encode(self, values: list[str]) -> list[bytes]:
+        """The packed ids of each text."""
+        parts = [self.split(v) for v in values]
+        met = set(chain.from_iterable(parts))
+        known = {p: self.recent[p] for p in met if p in self.recent}
+        fresh = {p: self.older[p] for p in met if p not in known and p in self.older}
+        if missing := [p for p in met if p not in known and p not in fresh]:
+            learned = self.learn(missing)
+            known.update(learned)
+            fresh.update((p, v) for p, v in learned.items() if len(p) <= LONGEST)
+        known.update(fresh)
+        self.recent.update(fresh)
+        if len(self.recent) > self.remembered:
+            self.older, self.recent = self.recent if len(self.recent) < 2 * self.remembered else {}, {}
+        return [b"".join(map(known.__getitem__, p)) for p in parts]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -117,22 +132,24 @@ def encode_decode(docs: DataFrame, path: str | None = None, pattern: str = publi
     path = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>, decoded binary"
     names = [part.split()[0] for part in schema.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()] if digests else [pa.int64(), pa.list_(pa.int32()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
         for batch in batches:
-            if len(codec.known) > REMEMBERED:
-                codec.known.clear()
-            rows = []
-            for doc_id, text in zip(*columns(batch), strict=True):
-                ids = codec.encode(text)
-                back = codec.decode(ids)
+            for part in portions(batch):
+                packed = codec.encode(part.column(1).to_pylist())
+                sizes = np.array([len(x) // 4 for x in packed], np.int64)
                 if digests:
-                    listed = ",".join(map(codec.digits.__getitem__, ids)).encode()
-                    rows.append((doc_id, len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(back).hexdigest()))
+                    listed, back = [], []
+                    for x in packed:
+                        ids = memoryview(x).cast("I").tolist()
+                        listed.append(hashlib.sha256(b",".join(map(codec.digits.__getitem__, ids))).hexdigest())
+                        back.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+                    rest = [pa.array(sizes), pa.array(listed, pa.string()), pa.array(back, pa.string())]
                 else:
-                    rows.append((doc_id, ids, back))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds, strict=True)], names)
+                    ids = pa.array(np.frombuffer(b"".join(packed), np.int32))
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), ids)
+                    rest = [lists, pa.array([codec.decode(memoryview(x).cast("I").tolist()) for x in packed], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *rest], names)
 
     return texts(docs).mapInArrow(run, schema)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,8 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 _powers: dict[str, np.ndarray] = {}
+#: Powers that a worker keeps; longer rows are made anew.
+KEPT_POWERS = 1 << 21
 
 
 def _power(n: int, base: int, key: str) -> np.ndarray:
@@ -50,7 +53,9 @@ def _power(n: int, base: int, key: str) -> np.ndarray:
         size = 1 << max(16, int(n - 1).bit_length())
         row = np.full(size, base & (2**64 - 1), np.uint64)
         row[0] = 1
-        _powers[key] = have = np.multiply.accumulate(row)
+        have = np.multiply.accumulate(row)
+        if size <= KEPT_POWERS:
+            _powers[key] = have
     return have[:n]
 
 
@@ -105,6 +110,16 @@ def columns(batch: pa.RecordBatch) -> Iterator[list]:
     return (column.to_pylist() for column in batch.columns)
 
 
+def portions(batch: pa.RecordBatch, column: int = 1, limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``limit`` bytes of the text column, whole rows each; nothing is copied."""
+    size = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=np.int64)
+    low = 0
+    while low < batch.num_rows:
+        high = max(low + 1, int(np.searchsorted(size, (size[low - 1] if low else 0) + limit, "right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def blocks(values: list[str], limit: int = 4_000_000) -> Iterator[list[str]]:
     """Runs of whole texts of about ``limit`` characters together."""
     block, size = [], 0

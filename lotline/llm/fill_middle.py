@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lotline.llm.common import texts
+from lotline.llm.common import portions, texts
 
 MARKERS = (b"<P>", b"<S>", b"<M>")
 #: Of 100 texts so many are rearranged, and of 100 rearranged ones so many have the suffix first.
@@ -142,15 +142,9 @@ def fill_in_middle(docs: DataFrame, digests: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = np.cumsum(pa.compute.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
-            low = 0
-            while low < batch.num_rows:
-                spent = size[low - 1] if low else 0
-                high = max(low + 1, int(np.searchsorted(size, spent + BLOCK, "right")))
-                part = batch.slice(low, high - low)
+            for part in portions(batch, limit=BLOCK):
                 rows = [finish(row) for row in rearrange(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)], names)
-                low = high
 
     return texts(docs).mapInArrow(run, schema)
 
