@@ -1,10 +1,8 @@
 """Quality rules: counts of each text, and lines that too many documents of a host share. DataFrame functions only.
 
 A line is normalised (lower case, runs of blanks one space) and hashed; for each host (``source``) the distinct documents that
-hold it are counted. Copies of a document would make all its lines frequent, so documents are told apart by a sketch, the
-smallest hash of their words of seven characters or more, which copies and most near copies share. A line in more than
-LINE_SHARE of a host's documents, and in more than LINE_DOCUMENTS, is removed; a document left with too few of its
-words is depleted and rejected.
+hold it are counted; documents are distinct if their texts are, so copies count once. A line in more than LINE_SHARE of a host's
+documents, and in more than LINE_DOCUMENTS, is removed; a document left with too few of its words is depleted and rejected.
 
 Null texts have no words and no lines (and fail by their length). A null host is a host of its own. Rows that repeat
 doc_id and text each give a row. Other columns are left alone.
@@ -22,7 +20,6 @@ LINE_DOCUMENTS, LINE_SHARE = 20, 0.01
 #: A document is depleted with fewer words left than this number, or than this share of its words.
 LEFT_WORDS, LEFT_SHARE = 25, 0.3
 SYMBOLS = "#*$%&|<>"
-SKETCH_LENGTH = 7
 
 
 def _counted(text: Column, symbols: str) -> Column:
@@ -46,7 +43,7 @@ def _with_repeated_words(df: DataFrame) -> DataFrame:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, key (MD5 of the text), host, the base counts, base_failed, sketch, and lines (hash and words of each line)."""
+    """doc_id, key (MD5 of the text), host, the base counts, base_failed, and lines (hash and words of each line)."""
     words = F.array_remove(F.split("text", f"[{BLANKS}]+"), "")
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("host"), F.coalesce("text", F.lit("")).alias("text"))
     df = df.withColumns({"words": words, "raw": F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{BLANKS}]"))})
@@ -58,17 +55,18 @@ def measured(docs: DataFrame) -> DataFrame:
     )
     df = _with_repeated_words(df)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
-    sketch = F.array_min(F.transform(F.filter("words", lambda w: F.length(w) >= SKETCH_LENGTH), lambda w: F.md5(w)))
     lines = F.transform("lines", lambda x: F.struct(F.unhex(F.md5(x)).alias("hash"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("long").alias("n")))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return df.select("doc_id", "key", "host", *counts, failed.alias("base_failed"), F.coalesce(sketch, F.hex("key")).alias("sketch"), lines.alias("lines"))
+    return df.select("doc_id", "key", "host", *counts, failed.alias("base_failed"), lines.alias("lines"))
 
 
 def frequent_lines(rows: DataFrame, documents: int = LINE_DOCUMENTS, share: float = LINE_SHARE) -> DataFrame:
-    """host, hash, n_documents of the lines above the limits; each count is summed over tasks before it is shuffled."""
-    seen = rows.select("host", "sketch", F.explode(F.array_distinct(F.col("lines.hash"))).alias("hash")).distinct()
+    """host, hash, n_documents of the lines above the limits. Each text of a host is taken once; counts are summed over tasks before they
+    are shuffled."""
+    texts = rows.select("host", "key", F.array_distinct("lines.hash").alias("hashes")).dropDuplicates(["host", "key"])
+    seen = texts.select("host", F.explode("hashes").alias("hash"))
     often = seen.groupBy("host", "hash").agg(F.count("*").alias("n_documents")).where(F.col("n_documents") > documents)
-    hosts = rows.select("host", "sketch").distinct().groupBy(F.col("host").alias("h")).agg(F.count("*").alias("all"))
+    hosts = rows.select("host", "key").distinct().groupBy(F.col("host").alias("h")).agg(F.count("*").alias("all"))
     met = often.join(hosts, F.col("host").eqNullSafe(F.col("h")))
     return met.where(F.col("n_documents") > share * F.col("all")).select("host", "hash", "n_documents")
 
@@ -125,15 +123,14 @@ rep AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2
 b AS (
   SELECT w.r, doc_id, host, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
          CAST(length(text) - length(regexp_replace(text, '[{SYMBOLS}]', '', 'g')) AS BIGINT) AS n_symbols,
-         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
-         coalesce(list_min(list_transform(list_filter(words, lambda x: length(x) >= {SKETCH_LENGTH}), lambda x: md5(x))), md5(text)) AS sketch,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, text,
          list_transform(lines, lambda x: trim(lower(regexp_replace(x, '[\\x20\\x09-\\x0D]+', ' ', 'g')))) AS normal
   FROM w LEFT JOIN rep USING (r)),
-l AS (SELECT r, host, sketch, unnest(normal) AS line FROM b),
-hosts AS (SELECT host, count(DISTINCT sketch) AS docs FROM b GROUP BY host),
+l AS (SELECT r, host, text, unnest(normal) AS line FROM b),
+hosts AS (SELECT host, count(DISTINCT text) AS docs FROM b GROUP BY host),
 often AS (
   SELECT l.host, line FROM l JOIN hosts ON hosts.host IS NOT DISTINCT FROM l.host
-  GROUP BY l.host, line, docs HAVING count(DISTINCT sketch) > {LINE_DOCUMENTS} AND count(DISTINCT sketch) > {LINE_SHARE} * docs),
+  GROUP BY l.host, line, docs HAVING count(DISTINCT text) > {LINE_DOCUMENTS} AND count(DISTINCT text) > {LINE_SHARE} * docs),
 gone AS (
   SELECT r, sum(length(l.line) - length(replace(l.line, ' ', '')) + 1) AS n
   FROM l JOIN often ON often.line = l.line AND often.host IS NOT DISTINCT FROM l.host GROUP BY r),
