@@ -1,10 +1,11 @@
 """Benchmark passages in documents, by SimHash of item-sized windows. DataFrame functions only.
 
 Words are runs without blanks in lower case, features are shingles of five words (all words of a shorter item), weighted by how
-often they occur. A window has as many words as the item and begins where a shingle of the document lines up with the
-same shingle of the item. Only documents that have enough of an item's shingles to reach the threshold are looked at, which loses
-none. Windows and items get 64-bit SimHash fingerprints; fingerprints are cut into RADIUS + 1 blocks, and any two within RADIUS bits
-agree in a block whole, so a join on blocks finds them all. Those are compared exactly: weighted Jaccard of the shingles.
+often they occur. A window has as many words as the item and begins where some shingle of the item does, or is the document's last
+one. Every such window is taken that has enough places with a shingle of the item to reach the threshold, in any order: the
+others can't, and a window that begins elsewhere is no better than the next one that begins so. Windows and items get 64-bit
+SimHash fingerprints; fingerprints are cut into RADIUS + 1 blocks, and any two within RADIUS bits agree in a block whole, so a join on
+blocks finds all items of a window's length near it. Those are compared exactly: weighted Jaccard of the shingles.
 
 Two texts at the threshold differ in 9.7 bits of 64 on average (deviation 2.9); RADIUS loses one in a hundred thousand.
 Null and empty texts hold no item; items without words are found nowhere. Rows that repeat doc_id and text give one row for each
@@ -57,9 +58,12 @@ def _blocks(fingerprint: str) -> Column:
 
 
 def _overlap(a: Column, b: Column) -> Column:
-    """Common elements of two arrays, each as often as in the array that has it less often."""
+    """Common elements of two arrays, each as often as in the array that has it less often. Unless both repeat elements these are
+    the distinct common ones."""
     times = lambda array, h: F.size(F.filter(array, lambda x: x == h))
-    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, h: s + F.least(times(a, h), times(b, h)))
+    single = lambda array: F.size(F.array_distinct(array)) == F.size(array)
+    both = F.array_intersect(a, b)
+    return F.when(single(a) | single(b), F.size(both)).otherwise(F.aggregate(both, F.lit(0), lambda s, h: s + F.least(times(a, h), times(b, h))))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
@@ -75,31 +79,41 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     for (own,) in sorted(items.select("width").distinct().collect()):
         parts = words.select("doc_id", "key", F.size("words").alias("n"), F.posexplode(_fast_shingles("words", own)).alias("at", "h"))
         met = parts.join(index.where(F.col("width") == own), "h")
-        start = F.least(F.greatest(F.col("at") - F.col("place"), F.lit(0)), F.greatest(F.col("n") - F.col("length"), F.lit(0)))
-        met = met.select("doc_id", "key", "item_key", "place", start.alias("start"), "total", "length")
+        met = met.select("doc_id", "key", "item_key", "place", "at", "n", "total", "length")
         found = met if found is None else found.union(met)
     if found is None:
         empty = F.lit(None)
         return docs.limit(0).select(F.col("doc_id").cast("long").alias("doc_id"), empty.cast("binary").alias("key"), empty.cast("long").alias("item_id"), empty.cast("int").alias("start"), empty.cast("int").alias("n_words"), empty.cast("double").alias("similarity"))
-    group = found.groupBy("doc_id", "key", "item_key").agg(F.count_distinct("place").alias("met"), F.collect_set("start").alias("starts"), F.first("total").alias("total"))
-    group = keep(group.where(F.col("met") >= threshold * F.col("total")).select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "item_key", "starts"))
+    group = found.groupBy("doc_id", "key", "item_key").agg(
+        F.count_distinct("place").alias("met"), F.array_sort(F.collect_set("at")).alias("places"), *[F.first(c).alias(c) for c in ("n", "total", "length")])
+    group = keep(group.where(F.col("met") >= threshold * F.col("total")))
+    final = F.greatest(F.col("n") - F.col("length"), F.lit(0))
+    size = F.least(F.col("total"), F.col("n") - F.col("length") + F.col("total"))
+    need = F.greatest(F.lit(1), F.ceil((F.col("total") + size) * (threshold / (1 + threshold)) - 1e-9).cast("int"))
+    group = group.withColumns({"final": final, "need": need})
+    full = lambda p, i: (p < F.col("final")) & (F.get("places", i + F.col("need") - 1) < p + F.col("total"))
+    at_end = F.when(F.get("places", F.size("places") - F.col("need")) >= F.col("final"), F.array("final")).otherwise(F.array().cast("array<int>"))
+    group = group.withColumn("starts", F.concat(F.filter("places", full), at_end)).where(F.size("starts") > 0)
+    group = keep(group.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "item_key", "starts"))
 
     near = group.groupBy("d", "k").agg(F.collect_list(F.struct("item_key", "starts")).alias("near"))
     rows = words.join(near, words.key.eqNullSafe(near.k) & words.doc_id.eqNullSafe(near.d)).dropDuplicates(["doc_id", "key"])
     rows = rows.select("doc_id", "key", "words", F.explode("near").alias("near")).select("doc_id", "key", "words", "near.item_key", F.explode("near.starts").alias("start"))
-    sizes = items.select(F.col("item_key").alias("ik"), "item_id", "width", "length", "item")
-    rows = rows.join(sizes, F.col("item_key") == F.col("ik")).withColumn("words", F.slice("words", F.col("start") + 1, F.col("length")))
-    rows = rows.withColumn("window", _shingles("words", F.col("width"))).where(F.size("window") > 0).drop("words", "ik")
+    sizes = items.select(F.col("item_key").alias("ik"), "width", "length")
+    rows = rows.join(sizes, F.col("item_key") == F.col("ik")).select(
+        "doc_id", "key", "start", "width", "length", (F.col("start") >= F.size("words") - F.col("length")).alias("last"), F.slice("words", F.col("start") + 1, F.col("length")).alias("words"))
+    rows = rows.withColumn("window", _shingles("words", F.col("width"))).where(F.size("window") > 0).drop("words").dropDuplicates(["doc_id", "key", "start", "width", "length"])
     rows = keep(rows.withColumn("print", _simhash("window")))
 
-    cut = rows.select("doc_id", "key", "item_key", "start", "print", F.inline(_blocks("print")))
-    other = items.select(F.col("item_key").alias("ik"), F.col("print").alias("item_print"), F.inline(_blocks("print"))).withColumnsRenamed({"block": "b", "piece": "p"})
-    hit = cut.join(other, (F.col("item_key") == F.col("ik")) & (F.col("block") == F.col("b")) & (F.col("piece") == F.col("p")))
+    cut = rows.select("doc_id", "key", "start", "width", "length", "print", F.inline(_blocks("print")))
+    other = items.select("item_key", F.col("width").alias("w"), F.col("length").alias("l"), F.col("print").alias("item_print"), F.inline(_blocks("print"))).withColumnsRenamed({"block": "b", "piece": "p"})
+    hit = cut.join(other, (F.col("length") == F.col("l")) & (F.col("width") == F.col("w")) & (F.col("block") == F.col("b")) & (F.col("piece") == F.col("p")))
     hit = hit.where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-    hit = hit.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), F.col("item_key").alias("ik"), F.col("start").alias("s")).distinct()
-    same = rows.doc_id.eqNullSafe(hit.d) & (rows.key == hit.k) & (rows.item_key == hit.ik) & (rows.start == hit.s)
-    common = _overlap(F.col("window"), F.col("item"))
-    scored = rows.join(hit, same, "left_semi").withColumn("common", common)
+    hit = hit.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), F.col("start").alias("s"), "w", "l", "item_key").distinct()
+    same = rows.doc_id.eqNullSafe(hit.d) & (rows.key == hit.k) & (rows.start == hit.s) & (rows.width == hit.w) & (rows.length == hit.l)
+    scored = rows.join(hit, same).join(items.select(F.col("item_key").alias("ik"), "item_id", "item"), F.col("item_key") == F.col("ik"))
+    own = F.col("last") | F.array_contains("item", F.get("window", F.lit(0)))
+    scored = scored.where(own).withColumn("common", _overlap(F.col("window"), F.col("item")))
     scored = scored.withColumn("similarity", F.col("common") / (F.size("window") + F.size("item") - F.col("common"))).where(F.col("similarity") >= threshold)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("before"), F.least("length", F.size("window") + F.col("width") - 1).alias("n_words")))
     out = scored.groupBy("doc_id", "key", "item_id").agg(best.alias("best"))
@@ -113,7 +127,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHO
     return docs.join(found, key.eqNullSafe(F.col("__k")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__d")), "left_anti")
 
 
-#: Every window that a shared shingle lines up, compared exactly; items of five words or more.
+#: Every window that begins with a shingle of the item, or is the last one, compared exactly; items of five words or more.
 SQL = f"""
 WITH i AS (
   SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM benchmark),
@@ -126,8 +140,7 @@ dp AS (
   SELECT doc_id, len(words) AS n, array_to_string(words[p:p + {WIDTH - 1}], ' ') AS s, p
   FROM (SELECT doc_id, words, unnest(range(1, len(words) - {WIDTH - 2})) AS p FROM d)),
 starts AS (
-  SELECT DISTINCT doc_id, item_id, ip.n AS size, least(greatest(dp.p - ip.p, 0), greatest(dp.n - ip.n, 0)) AS start
-  FROM dp JOIN ip USING (s)),
+  SELECT DISTINCT doc_id, item_id, ip.n AS size, least(dp.p - 1, greatest(dp.n - ip.n, 0)) AS start FROM dp JOIN ip USING (s)),
 win AS (
   SELECT doc_id, item_id, start, s, count(*) AS c
   FROM starts JOIN dp USING (doc_id) WHERE dp.p > start AND dp.p <= start + size - {WIDTH - 1} GROUP BY ALL),

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotline.llm.common import blocks, columns, keep, mix, shingles, texts, word_hashes
+from lotline.llm.common import keep, mix, portions, shingles, texts, word_hashes
 from lotline.llm.graph import bucket_links, components, verified_links
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -76,17 +76,14 @@ def signatures(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, values = columns(batch)
-            start = 0
-            for part in blocks(values):
-                stop = start + len(part)
-                doc, feature, weight = weighted_shingles(part, width)
-                size = np.bincount(doc, minlength=len(part))
-                value = bands_of(prob_minhash(doc, feature, weight, len(part), bands * rows), bands, rows)
+            for part in portions(batch):
+                values = part.column(1).to_pylist()
+                doc, feature, weight = weighted_shingles(values, width)
+                size = np.bincount(doc, minlength=len(values))
+                value = bands_of(prob_minhash(doc, feature, weight, len(values), bands * rows), bands, rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum((size > 0) * bands)), pa.int32()), pa.array(value[size > 0].ravel().view(np.int64)))
-                keys = [hashlib.md5(v.encode()).digest() for v in part]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[start:stop], pa.int64()), pa.array(keys, pa.binary()), pa.array(size, pa.int64()), lists], ["doc_id", "key", "size", "bands"])
-                start = stop
+                keys = [hashlib.md5(v.encode()).digest() for v in values]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(size, pa.int64()), lists], ["doc_id", "key", "size", "bands"])
 
     return texts(docs).mapInArrow(run, "doc_id long, key binary, size long, bands array<long>")
 

@@ -6,8 +6,9 @@ if they are the encoding of their own bytes), so a state and a byte fix the next
 many tokens the longer prefix has more (or fewer) than the shorter. States are compiled as texts reach them.
 
 Pre-tokens that differ are laid end to end and cut into chunks of equal length that are read in lockstep, one byte of every chunk at
-a time. A pre-token's first byte resets the state, so the map of a chunk with such a byte sends every state to one; the
-others wait for the state of the chunk before. Chunk maps are composed along the text until every chunk knows its state.
+a time. A pre-token's first byte resets the state, so the map of a chunk with such a byte sends every state to one. The maps of
+chunks within one pre-token are computed for the states that occur and composed by a parallel prefix scan, then all are read once
+more from their true states; a chunk whose map lacks its true state waits for the chunk before.
 
 Null and empty texts have 0 tokens. Length is not limited; memory is bounded by a batch. A special string inside a text
 counts as one token and ends the text before it, the default of the library.
@@ -27,6 +28,8 @@ from lotline.llm.common import blocks, columns, mix, span_hashes, texts
 
 ROOT, UNKNOWN = 0, 1
 CHUNK = 256
+#: Entries of a chunk's map.
+MAPPED = 4
 #: The gain of a transition is kept in its low byte, counted from here.
 ZERO = 128
 #: States kept from one block of texts to the next.
@@ -124,6 +127,8 @@ class Automaton:
             self.states.append(after)
             if to >= len(self.table):
                 self.table = np.concatenate([self.table, np.full_like(self.table[: len(self.table) // 2], -1)])
+        if not 0 <= gain + ZERO < 256:
+            raise OverflowError(f"a transition that emits {gain} tokens does not fit a byte")
         self.table[state, self.column[byte]] = to << 8 | gain + ZERO
 
     def step(self, states: np.ndarray, cells: np.ndarray) -> np.ndarray:
@@ -153,8 +158,13 @@ class Automaton:
             place = (to >> 8).astype(np.int64) << self.bits
         unknown = UNKNOWN << self.bits
         head = np.where(first.any(axis=0), first.argmax(axis=0), CHUNK)
+        whole = np.flatnonzero(head == CHUNK)
+        if len(whole):
+            place[whole] = self.scanned(whole, place, cells)
         waiting = np.flatnonzero(head > 0)
+        self.rounds = 0
         while len(waiting):
+            self.rounds += 1
             ready = waiting[place[waiting - 1] != unknown]
             order = ready[np.argsort(-head[ready], kind="stable")]
             inner = place[order - 1]
@@ -168,6 +178,45 @@ class Automaton:
             waiting = np.setdiff1d(waiting, ready, assume_unique=True)
         return out.T.ravel()[: lanes * CHUNK - room].astype(np.int64) - ZERO
 
+    def passed(self, lanes: np.ndarray, place: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """Where chunks lead from the given places."""
+        for k in range(CHUNK):
+            place = (self.step(place, cells[k, lanes]) >> 8).astype(np.int64) << self.bits
+        return place
+
+    def scanned(self, lanes: np.ndarray, place: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """Where chunks without a begin of a pre-token lead, as far as their maps tell; UNKNOWN for the others.
+
+        A chunk's map lists MAPPED entries and their exits: the begin of a pre-token, what that leads its predecessor to, where the
+        first chunk of its pre-token truly leads, and what that leads its predecessor to. Maps of neighbours are composed by doubling: after each step a map reaches back twice as far, so
+        a pre-token of n chunks takes log n steps.
+        """
+        unknown = UNKNOWN << self.bits
+        follows = np.append(False, lanes[1:] == lanes[:-1] + 1)
+        enter = np.zeros((len(lanes), MAPPED), np.int64)
+        leave = np.zeros_like(enter)
+        head = np.maximum.accumulate(np.where(follows, 0, np.arange(len(lanes))))
+        for r in range(MAPPED):
+            if r == 2:
+                enter[:, r] = leave[head, 0]
+            elif r:
+                enter[1:, r] = np.where(follows[1:], leave[:-1, r - 1], 0)
+            known = ~follows & (lanes > 0)
+            enter[known, r] = np.where(place[lanes[known] - 1] != unknown, place[lanes[known] - 1], 0)
+            leave[:, r] = self.passed(lanes, enter[:, r].copy(), cells)
+        start, out = np.arange(len(lanes)), leave.copy()
+        while True:
+            more = np.flatnonzero(follows[start])
+            if not len(more):
+                break
+            before = start[more] - 1
+            same = out[before][:, :, None] == enter[start[more]][:, None, :]
+            met = np.take_along_axis(out[more], same.argmax(axis=2), axis=1)
+            out[more], start[more] = np.where(same.any(axis=2), met, unknown), start[before]
+        first = lanes[start] - 1
+        told = (lanes[start] > 0) & (place[first] != unknown)
+        return np.where(told, out[:, 0], unknown)
+
     def count_parts(self, data: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """Tokens of each pre-token; equal ones, as told by a 64-bit hash and the length, are read once."""
         end = np.append(begin[1:], len(data))

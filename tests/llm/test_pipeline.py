@@ -115,3 +115,46 @@ def test_registered():
     names = entry.queries()
     assert "pipeline" in names and {f"op{n}" for n in (1, 2, 4, 5, 6, 8, 10)} <= {n.split("_")[0] for n in names}
     assert [n for n, _ in corpus_pipeline.STAGES] and len(corpus_pipeline.STAGES) == 5
+
+
+def test_boilerplate_of_distinct_documents_goes(spark):
+    """One line, with the smallest hash of all, in 200 different documents of a host goes from each; in copies of one text it stays."""
+    rnd = random.Random(9)
+    line = "subscribe aaaaaaaaaaaaaaaaaaaaaaaaaaaa newsletter"
+    rows = [(i, line + "\n" + words(rnd, 80), "en", "h", 1) for i in range(200)] + [(1000 + i, words(rnd, 80) + "\n" + words(rnd, 20), "en", "h", 1) for i in range(100)]
+    rows += [(2000 + i, "copied line of a text\n" + "word " * 3 + words(random.Random(1), 80), "en", "h", 1) for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r["doc_id"]: r for r in quality.quality(docs).collect()}
+    assert all(got[i]["n_removed_words"] == 3 and got[i]["kept"] for i in range(200))
+    assert all(got[i]["n_removed_words"] == 0 for i in got if i >= 1000)
+    assert sorted((tuple(r) for r in got.values()), key=repr) == plain(rows, [], quality.SQL)
+
+
+def test_parts_in_another_order_are_found(spark):
+    """Item A B, documents with B A, with A B changed and with only A; every window by brute force."""
+    rnd = random.Random(2)
+    a, b = words(rnd, 30), words(rnd, 30)
+    bench = [(7, f"{a} {b}"), (8, words(rnd, 60)), (9, f"{b} {a}"), (10, words(rnd, 25) + " " + " ".join(["again and again"] * 12))]
+    rows = [(1, f"{words(rnd, 300)} {b} {a} {words(rnd, 40)}"), (2, f"{b} {a}"), (3, a), (4, f"{words(rnd, 9)} {a} {b[:-2]}"), (5, bench[3][1] + " " + bench[1][1] + " " + bench[3][1]),
+            (6, words(rnd, 400)), (7, " ".join(f"{a} {b}".split()[4:]) + " " + words(rnd, 2))]
+    rows = [(i, t, "en", "h", 1) for i, t in rows]
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    got = sorted(((r["doc_id"], r["item_id"], r["start"], r["n_words"], r["similarity"]) for r in decontaminate.contaminated(spark.createDataFrame(rows, SCHEMA), items).collect()), key=repr)
+    assert got == plain(rows, bench, decontaminate.SQL)
+
+    def best(text, item):
+        from collections import Counter
+
+        grams = lambda w: Counter(" ".join(w[i : i + 5]) for i in range(len(w) - 4))
+        w, want = text.split(), grams(item.split())
+        n = len(item.split())
+        scores = []
+        for s in range(max(1, len(w) - n + 1)):
+            have = grams(w[s : s + n])
+            common = sum((have & want).values())
+            scores.append(common / (sum(have.values()) + sum(want.values()) - common))
+        return max(scores)
+
+    whole = {(d, i): best(t, x) for d, t, *_ in rows for i, x in bench}
+    assert {(d, i): s for d, i, _, _, s in got} == {k: v for k, v in whole.items() if v >= 0.8}
+    assert {(1, 7), (2, 7), (1, 9), (5, 8), (5, 10)} <= {r[:2] for r in got}

@@ -69,3 +69,15 @@ def test_chunk_maps_of_long_pretokens():
     rnd = random.Random(1)
     values = ["".join(rnd.choice("abcdeést") for _ in range(n)) for n in (1, 255, 256, 257, 5000)] + noise(40, 9)
     assert automaton.count(values).tolist() == [len(library.encode(v).ids) for v in values]
+
+
+def test_chunk_maps_compose_by_doubling():
+    """Pre-tokens of thousands of chunks: the scan tells nearly all states, so that few rounds of waiting are left."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    automaton = token_automaton.Automaton(P.path("byte_bpe_50k.json"))
+    rnd = random.Random(3)
+    for value in ("".join(rnd.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(200_000)), "ab" * 50_000, "=" * 100_000, "日本" * 20_000, "x" + "a" * 60_000 + " the " + "q" * 3000):
+        assert automaton.count([value]).tolist() == [len(library.encode(value).ids)]
+        assert automaton.rounds <= 6, (value[:9], automaton.rounds)
