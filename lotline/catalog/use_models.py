@@ -12,7 +12,7 @@ from lotline.runtime import stored, table
 NUM, CAT = ["balance", "mean_price", "share_urgent"], ["segment"]
 
 
-def rows_of(spark, root, k=3):
+def rows_of(spark, root, k=5):
     """Features that do not give the label away by themselves."""
     rows = V.risk(spark, root).withColumns({
         "mean_price": F.coalesce("mean_price", F.lit(0.0)), "share_urgent": F.col("n_urgent") / F.greatest("n_orders", F.lit(1)),
@@ -34,7 +34,8 @@ def _(spark, root):
 @query("j2_cv_regression")
 def _(spark, root):
     rows = rows_of(spark, root)
-    return R.union_named([M.cv_regression(rows, ["balance", "mean_price", "n_urgent"], "n_orders", m, CAT, trees=8) for m in ("ridge", "lasso", "forest")])
+    num = ["balance", "mean_price", "n_urgent"]
+    return M.cv_linear(rows, num, "n_orders", CAT).union(M.cv_forest(rows, num, "n_orders", CAT, trees=200))
 
 
 @query("j3_cv_logistic")
@@ -49,13 +50,25 @@ def _(spark, root):
     rows = rows_of(spark, root)
     districts = rows.groupBy("district").agg(F.avg("balance").alias("d_balance"), F.avg("share_urgent").alias("d_urgent"))
     labels = fit_labels(standardise(districts, ["d_balance", "d_urgent"]), ["d_balance", "d_urgent"], "kmeans", 4)
-    return M.compare_encodings(stored(rows.join(labels, "district")), "cluster", ["d_balance", "d_urgent"], "n_orders", "label", trees=8)
+    return M.compare_encodings(stored(rows.join(labels, "district")), "cluster", ["d_balance", "d_urgent"], "n_orders", "label", trees=200)
 
 
 def boosted(spark, root):
     return M.out_of_fold(rows_of(spark, root), NUM, CAT, "label", "boosted", iterations=10, depth=3)
 
 
+V._sql("hashed", ("risk",), """
+SELECT id, segment, label, CAST(concat('0x', substr(md5(concat('42|', id)), 1, 8)) AS BIGINT) AS u, avg(label) OVER () AS mean FROM risk""")
+
+
+@query("j5_ordered_target_rate", """
+SELECT id, round((coalesce(sum(label) OVER w, 0) + mean) / (count(*) OVER w + 1), 6) AS rate FROM hashed
+WINDOW w AS (PARTITION BY segment ORDER BY u, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""", ("hashed",))
+def _(spark, root):
+    rows = stored(V.risk(spark, root))
+    return M.ordered_target_rate(rows, "id", "segment", "label", part_rows=max(1, rows.count() // 20)).select("id", "rate")
+
+
 @query("j5_cv_boosted")
 def _(spark, root):
     return boosted(spark, root).select("id", "district", "fold", "label", "score")

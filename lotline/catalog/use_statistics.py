@@ -12,9 +12,10 @@ from lotline.runtime import stored, table
 _CHI = """
 WITH c AS (SELECT {a} AS a, {b} AS b, CAST(count(*) AS DOUBLE) AS o FROM {t} GROUP BY ALL), r AS (SELECT a, sum(o) AS r FROM c GROUP BY a), k AS (SELECT b, sum(o) AS k FROM c GROUP BY b),
 n AS (SELECT sum(o) AS n, (SELECT count(*) FROM r) AS nr, (SELECT count(*) FROM k) AS nk FROM c),
-x AS (SELECT r.a, k.b, coalesce(o, 0) AS o, r * k / n AS e, nr, nk, n FROM r CROSS JOIN k CROSS JOIN n LEFT JOIN c ON c.a = r.a AND c.b = k.b)
-SELECT round(sum(pow(abs(o - e) - CASE WHEN (nr - 1) * (nk - 1) = 1 THEN least(0.5, abs(o - e)) ELSE 0 END, 2) / e), 6) AS chi2, CAST(max((nr - 1) * (nk - 1)) AS BIGINT) AS dof,
-  CAST(max(n) AS BIGINT) AS n, round(sqrt(sum(pow(abs(o - e) - CASE WHEN (nr - 1) * (nk - 1) = 1 THEN least(0.5, abs(o - e)) ELSE 0 END, 2) / e) / (max(n) * (least(max(nr), max(nk)) - 1))), 6) AS cramers_v FROM x"""
+x AS (SELECT r.a, k.b, coalesce(o, 0) AS o, r * k / n AS e, nr, nk, n FROM r CROSS JOIN k CROSS JOIN n LEFT JOIN c ON c.a = r.a AND c.b = k.b),
+y AS (SELECT sum(pow(abs(o - e) - CASE WHEN (nr - 1) * (nk - 1) = 1 THEN least(0.5, abs(o - e)) ELSE 0 END, 2) / e) AS chi2, CAST(max((nr - 1) * (nk - 1)) AS BIGINT) AS dof,
+  CAST(max(n) AS BIGINT) AS n, least(max(nr), max(nk)) - 1 AS q FROM x)
+SELECT round(chi2, 6) AS chi2, dof, n, round(sqrt(chi2 / (n * q)), 6) AS cramers_v, """ + V.chi_tail_sql("chi2", "dof") + """ AS p_value FROM y"""
 
 
 @query("h1_chi_square_v", _CHI.format(a="use", b="reliability", t="flagged"), ("flagged",))
@@ -35,7 +36,7 @@ WITH d AS (SELECT {g} AS g, {v} AS v FROM {t} WHERE {g} IS NOT NULL AND {v} IS N
 n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM d), s AS (SELECT count(*) AS k, sum(rs * rs / m) AS s FROM (SELECT g, sum(rk) AS rs, count(*) AS m FROM r GROUP BY g) x),
 t AS (SELECT sum(CAST(c AS DOUBLE) * (CAST(c AS DOUBLE) * c - 1)) AS ties FROM (SELECT v, count(*) AS c FROM d GROUP BY v) y),
 h AS (SELECT (12.0 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS h, k, n FROM n, s, t)
-SELECT round(h, 6) AS h, k, CAST(n AS BIGINT) AS n, round((h - k + 1) / (n - k), 6) AS epsilon2 FROM h"""
+SELECT round(h, 6) AS h, k, CAST(n AS BIGINT) AS n, round((h - k + 1) / (n - k), 6) AS epsilon2, """ + V.chi_tail_sql("h", "k - 1") + """ AS p_value FROM h"""
 
 
 @query("h2_kruskal", _KW.format(g="o_orderpriority", v="floor(o_totalprice / 500)", t="orders"))
@@ -52,7 +53,8 @@ def _(spark, root):
 _ANOVA = """
 WITH d AS (SELECT {g} AS g, {v} AS v FROM {t} WHERE {g} IS NOT NULL AND {v} IS NOT NULL), m AS (SELECT g, count(*) AS n, avg(v) AS m, var_pop(v) AS s FROM d GROUP BY g),
 a AS (SELECT avg(v) AS gm, count(*) AS n FROM d), w AS (SELECT sum(m.n * s) AS w, sum(m.n * pow(m - gm, 2)) AS b, count(*) AS k, max(a.n) AS n FROM m, a)
-SELECT round((b / (k - 1)) / (w / (n - k)), 6) AS f, round(b / (b + w), 6) AS eta2, round(w / (b + w), 6) AS within_share, n, k FROM w"""
+SELECT round((b / (k - 1)) / (w / (n - k)), 6) AS f, round(b / (b + w), 6) AS eta2, round(w / (b + w), 6) AS within_share, n, k,
+  """ + V.f_tail_sql("(b / (k - 1)) / (w / (n - k))", "(k - 1)", "(n - k)") + """ AS p_value FROM w"""
 
 
 @query("h3_anova_eta", _ANOVA.format(g="district_id", v="turnover_rate", t="loc"), ("loc",))

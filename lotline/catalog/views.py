@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lotline.operators import episodes as E
 from lotline.operators.aggregates import share_and_dominant
-from lotline.runtime import scalar, table
+from lotline.runtime import scalar, stored, table
 
 OUTAGE = (199709, 199812)
 
@@ -232,7 +232,7 @@ JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionke
 def loc(spark: SparkSession, root: str) -> DataFrame:
     from lotline.functions.columns import parse_location_id
 
-    eps = episodes(spark, root)
+    eps = stored(episodes(spark, root))  # metrics and vacancy both read it
     cal = E.calendar(grid(spark, root))
     dominant = shares(spark, root).where("is_dominant").select("location_id", F.col("industry").alias("dominant_ind"))
     named = F.col("s_acctbal") >= 0
@@ -400,3 +400,20 @@ def vectors(spark: SparkSession, root: str, dims: int = 64) -> DataFrame:
     return table(spark, root, "embeddings").select(
         F.col("vec_id").alias("id"), "label", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(dims)]
     )
+
+
+# --- tail probabilities in SQL, by their plain power series -----------------------------------------
+
+
+def chi_tail_sql(x: str, dof: str) -> str:
+    """Probability that chi-squared is at least x: one minus the sum of x^(a+i) e^-x / Gamma(a+i+1), halves of both."""
+    a, y = f"(({dof}) / 2.0)", f"(greatest({x}, 1e-300) / 2.0)"
+    terms = f"range(0, CAST(greatest({y} - {a}, 0) + 12 * sqrt({y} + 1) + 200 AS BIGINT))"
+    return f"round(greatest(0, 1 - list_sum(list_transform({terms}, lambda i: exp(({a} + i) * ln({y}) - {y} - lgamma({a} + i + 1))))), 6)"
+
+
+def f_tail_sql(f: str, d1: str, d2: str) -> str:
+    """Probability that F is at least f: the incomplete beta function at d2 / (d2 + d1 f) as a power series."""
+    a, b, x = f"({d2} / 2.0)", f"({d1} / 2.0)", f"({d2} / ({d2} + {d1} * greatest({f}, 1e-300)))"
+    term = f"exp(lgamma({a} + {b} + i) - lgamma({a} + i + 1) - lgamma({b}) + ({a} + i) * ln({x}) + {b} * ln(1 - {x}))"
+    return f"round(least(1, list_sum(list_transform(range(0, 50000), lambda i: {term}))), 6)"

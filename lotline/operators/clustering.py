@@ -13,8 +13,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lotline.operators.ordinals import quantile_values
 from lotline.operators.ranked import hash_share, quantile_bins, top_per_group
-from lotline.operators.statistics import chi_square_v, kruskal
+from lotline.operators.spatial import kth_distance
+from lotline.operators.statistics import chi_square_v, kruskal, kruskal_by
 from lotline.runtime import cut, pinned, scalar, stored
 
 
@@ -218,8 +220,8 @@ def select_balanced(grid: DataFrame, k: int = 4, min_share: float = 0.03, top: i
 
 
 def cluster_target_association(rows: DataFrame, labels: DataFrame, on: str, flag: str, value: str) -> DataFrame:
-    """Labels of groups joined to their rows: Cramer's V with a flag, epsilon squared with a number, and the
-    range of both means over the clusters."""
+    """Labels of groups joined to their rows: Cramer's V with a flag, epsilon squared with a number, both with
+    p-values, and the range of both means over the clusters."""
     joined = rows.join(labels.select(on, "cluster"), on).select("cluster", flag, value)
     joined = stored(joined)
     chi, kw = chi_square_v(joined, "cluster", flag), kruskal(joined, "cluster", value)
@@ -228,17 +230,26 @@ def cluster_target_association(rows: DataFrame, labels: DataFrame, on: str, flag
                    (F.max("v") - F.min("v")).alias("value_range")).withColumns({
         "cramers_v": chi.select("cramers_v").scalar(), "chi2": chi.select("chi2").scalar(),
         "h": kw.select("h").scalar(), "epsilon2": kw.select("epsilon2").scalar(),
+        "chi2_p": chi.select("p_value").scalar(), "h_p": kw.select("p_value").scalar(),
     })
 
 
 def cluster_profile(df: DataFrame, label: str, cols: Sequence[str]) -> DataFrame:
-    """Per feature and cluster the mean and its z score against all rows, in one grouped pass."""
-    long = df.select(label, F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in cols])))
+    """Per feature and cluster the mean and its z score against all rows, and per feature the Kruskal-Wallis test over the
+    clusters: the stacked table is ranked by (feature, value) once for all features."""
+    long = stored(df.select(label, F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in cols]))))
     overall = long.groupBy("feature").agg(F.avg("v").alias("_m"), F.stddev_samp("v").alias("_s"))
     means = long.groupBy("feature", label).agg(F.count("v").alias("n"), F.avg("v").alias("mean"))
-    return means.join(overall, "feature").select(
-        "feature", label, "n", "mean", ((F.col("mean") - F.col("_m")) / F.nullif("_s", F.lit(0.0))).alias("z"))
+    tests = kruskal_by(long, "feature", label, "v").select("feature", "h", "p_value")
+    return means.join(overall, "feature").join(tests, "feature", "left").select(
+        "feature", label, "n", "mean", ((F.col("mean") - F.col("_m")) / F.nullif("_s", F.lit(0.0))).alias("z"), "h", "p_value")
+
+
+def density_eps(df: DataFrame, x: str, y: str, min_samples: int, shares: Sequence[float] = (0.25, 0.5, 0.75, 0.9)) -> list[float]:
+    """Candidates for eps: percentiles of the exact distance of each row to its ``min_samples``-th nearest row."""
+    far = stored(kth_distance(df.select(x, y), x, y, min_samples).select("distance"))
+    return [v for v in quantile_values(far, "distance", shares) if v is not None]
 
 
 def density_cluster(df: DataFrame, key: str, x: str, y: str, eps: float, min_samples: int) -> DataFrame:
@@ -339,11 +350,12 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return state
 
 
-def density_grid(df: DataFrame, key: str, x: str, y: str, eps_list: Sequence[float], min_samples: Sequence[int]) -> DataFrame:
-    """Clusters and noise share for every (eps, min_samples)."""
+def density_grid(df: DataFrame, key: str, x: str, y: str, min_samples: Sequence[int], eps_list: Sequence[float] | None = None) -> DataFrame:
+    """Clusters and noise share for every (eps, min_samples); eps from the k-distances of each ``min_samples`` if not given."""
     rows = []
-    for m, eps in itertools.product(min_samples, eps_list):
-        out = density_cluster(df, key, x, y, eps, m)
-        one = out.agg(F.count_distinct("cluster"), F.avg(F.col("cluster").isNull().cast("double"))).first()
-        rows.append((m, float(eps), int(one[0]), float(one[1])))
+    for m in min_samples:
+        for eps in eps_list if eps_list is not None else density_eps(df, x, y, m):
+            out = density_cluster(df, key, x, y, eps, m)
+            one = out.agg(F.count_distinct("cluster"), F.avg(F.col("cluster").isNull().cast("double"))).first()
+            rows.append((m, float(eps), int(one[0]), float(one[1])))
     return df.sparkSession.createDataFrame(rows, "min_samples int, eps double, n_clusters int, noise_share double")

@@ -1,18 +1,22 @@
 """Spatial joins on grid cells: every join has an equi key, no pair of far cells is ever formed.
 
 Equal coordinates are collapsed first (a market hall with a third of all shops is one coordinate with a
-count), so the work depends on distinct places. Cells that lie wholly inside a radius are counted as cells.
+count), so the work depends on distinct places. Nearest and radius searches descend two trees of cells at once.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lotline.functions.geo import EARTH_RADIUS_M, haversine_m, inside_ring, ring_distance, ring_edges
+from lotline.runtime import stored
 
 
 def _cell(col: Column, size: float) -> Column:
@@ -63,129 +67,182 @@ def polygon_bounds(polygons: DataFrame, polygon_id: str) -> tuple[DataFrame, Dat
     return each, whole
 
 
-def _extent(parts: Sequence[tuple[DataFrame, Column, Column]]) -> tuple[float, float, float, float]:
-    """Smallest and largest x and y over all inputs (one row to the driver)."""
-    low_x, high_x, low_y, high_y = [], [], [], []
-    for df, x, y in parts:
-        r = df.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
-        if r[0] is not None and r[2] is not None:
-            low_x.append(r[0]), high_x.append(r[1]), low_y.append(r[2]), high_y.append(r[3])
-    if not low_x:
-        return 0.0, 0.0, 0.0, 0.0
-    return min(low_x), max(high_x), min(low_y), max(high_y)
-
-
-def _levels(span: float, cell: float) -> int:
-    return max(1, math.ceil(math.log2(max(span, cell) * 1.001 / cell)) + 1)
-
-
-def _search_level(coords: DataFrame, anchors: DataFrame, x0: float, y0: float, cell: float, top: int) -> DataFrame:
-    """For each coordinate the finest level at which its own cell holds an anchor.
-
-    An anchor in the own cell of side s is at most sqrt(2) * s away, and the cells around at the next
-    level (side 2 * s) reach that far, so one look at 3 x 3 cells is enough. Nothing is iterated.
+#: Targets and points of a pair of cells that is compared coordinate by coordinate, and the number of such pairs of a radius count.
+FEW, MANY, PAIRS = 128, 1024, 4096
+#: A cell is cut into 4 per axis at each step; after so many steps cells are smaller than any coordinate's rounding.
+DEEPEST = 20
+#: What bounds may be off by rounding, in metres and relative.
+SLACK_M, SLACK = 1e-6, 1e-9
+
+
+@dataclass(frozen=True)
+class _Frame:
+    """The cube around all items; cells of every depth are cut out of it."""
+
+    axes: tuple[str, ...]
+    low: tuple[float, ...]
+    span: float
+
+    @classmethod
+    def around(cls, axes: Sequence[str], *parts: DataFrame) -> _Frame:
+        """Items have columns lo_<axis> and hi_<axis> (one row of extremes comes to the driver)."""
+        each = [df.select(*[f"{side}_{a}" for a in axes for side in ("lo", "hi")]) for df in parts]
+        row = reduce(DataFrame.union, each).agg(*[F.min(f"lo_{a}") for a in axes], *[F.max(f"hi_{a}") for a in axes]).first()
+        low, high = row[: len(axes)], row[len(axes) :]
+        if None in low:
+            return cls(tuple(axes), (0.0,) * len(axes), 1.0)
+        return cls(tuple(axes), tuple(low), max(h - b for h, b in zip(high, low)) or 1.0)
+
+    def cell(self, depth: int) -> Column:
+        """The cell of an item's middle."""
+
+        def index(axis: str, low: float) -> Column:
+            middle = (F.col(f"lo_{axis}") + F.col(f"hi_{axis}")) / 2
+            at = F.floor((middle - F.lit(low)) / F.lit(self.span) * F.lit(4.0**depth)).cast("long")
+            return F.greatest(F.lit(0).cast("long"), F.least(at, F.lit(4**depth - 1).cast("long"))).alias(axis)
+
+        return F.struct(*[index(a, b) for a, b in zip(self.axes, self.low)])
+
+    def next_depth(self, depth: int, pairs: DataFrame) -> int | None:
+        """Where to cut the open pairs next: at the first depth that can part the widest of their boxes; None if no pair is open."""
+        wide = pairs.agg(F.max("wide")).first()[0]
+        if wide is None:
+            return None
+        if wide <= 0:
+            return DEEPEST
+        return min(DEEPEST, max(depth + 1, math.ceil(math.log(self.span / wide, 4))))
+
+    def nodes(self, items: DataFrame, depth: int, above: int, name: str) -> DataFrame:
+        """Cells that hold items: the box around these items and their number (by weight ``_w`` where they have one)."""
+        boxes = [f(f"{side}_{a}").alias(f"{name}_{side}_{a}") for a in self.axes for side, f in (("lo", F.min), ("hi", F.max))]
+        found = items.groupBy(self.cell(depth).alias(name)).agg(*boxes, (F.sum("_w") if "_w" in items.columns else F.count(F.lit(1))).alias(f"{name}_n"))
+        return found.withColumn(f"{name}_up", F.struct(*[F.shiftright(F.col(name)[a], 2 * (depth - above)).alias(a) for a in self.axes]))
+
+    def split(self, pairs: DataFrame | None, points: DataFrame, targets: DataFrame, depth: int, above: int) -> DataFrame:
+        """The pairs (q, t) of cells of ``depth`` within ``pairs`` of depth ``above`` (None: in the whole cube, of depth 0), the least
+        and the largest distance that their boxes allow, and the widest side of their boxes."""
+        q, t = self.nodes(points, depth, above, "q"), self.nodes(targets, depth, above, "t")
+        if pairs is None:
+            met = q.join(t, F.col("q_up") == F.col("t_up"))
+        else:
+            above = pairs.select(F.col("q").alias("q_up"), F.col("t").alias("t_up"))
+            met = above.join(q, "q_up").join(t, "t_up")
+        gap, reach = F.lit(0.0), F.lit(0.0)
+        for a in self.axes:
+            low = F.greatest(F.lit(0.0), F.col(f"q_lo_{a}") - F.col(f"t_hi_{a}"), F.col(f"t_lo_{a}") - F.col(f"q_hi_{a}"))
+            high = F.greatest(F.abs(F.col(f"q_hi_{a}") - F.col(f"t_lo_{a}")), F.abs(F.col(f"t_hi_{a}") - F.col(f"q_lo_{a}")))
+            gap, reach = gap + low * low, reach + high * high
+        sides = [F.col(f"{n}_hi_{a}") - F.col(f"{n}_lo_{a}") for a in self.axes for n in "qt"]
+        return met.select("q", "t", "q_n", "t_n", F.sqrt(gap).alias("gap"), F.sqrt(reach).alias("reach"), F.greatest(*sides).alias("wide"))
+
+    def met(self, points: DataFrame, leaves: DataFrame, depths: Sequence[int], targets: DataFrame) -> DataFrame:
+        """Points with the targets of the cells that are left for theirs: leaves (depth, q, t)."""
+
+        def at(items: DataFrame, name: str) -> DataFrame:
+            return items.withColumn("_at", F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), self.cell(d).alias(name)) for d in depths]))).select(
+                "_at.depth", f"_at.{name}", *[c for c in items.columns if not c.startswith(("lo_", "hi_"))])
+
+        return at(points, "q").join(leaves, ["depth", "q"]).join(at(targets, "t"), ["depth", "t"])
+
+
+def _nearest_pairs(points: DataFrame, targets: DataFrame, axes: Sequence[str], k: int = 1) -> DataFrame:
+    """Each point with a few targets, among them all of its ``k`` nearest ones (a target of weight ``_w`` counts so often).
+
+    Points and targets lie in two trees of cells over one cube. A pair of cells is cut into its children as long as the point cell
+    has more than FEW targets left; a pair goes once its boxes are farther apart than another target cell can be at
+    most. So two far clusters meet by their boxes, not point by point, and a crowded cell is cut until few candidates are left. The
+    steps number as the logarithm of the crowd; each is written to the shared folder.
     """
-    size = F.lit(cell) * F.pow(F.lit(2.0), F.col("_lv"))
-    place = [F.floor((F.col("_x") - x0) / size).cast("long").alias("_cx"), F.floor((F.col("_y") - y0) / size).cast("long").alias("_cy")]
-    levels = F.explode(F.sequence(F.lit(0), F.lit(top)))
-    held = anchors.select("_x", "_y").withColumn("_lv", levels).select("_lv", *place).distinct()
-    asked = coords.withColumn("_lv", levels).select("*", *place)
-    return (
-        asked.join(held, ["_lv", "_cx", "_cy"], "left_semi")
-        .groupBy(*coords.columns).agg((F.min("_lv") + 1).alias("_lv"))
-    )
-
-
-def _around(df: DataFrame, x0: float, y0: float, cell: float) -> DataFrame:
-    """The 3 x 3 cells around each row at its level, with the lowest of them (``_bx``, ``_by``)."""
-    size = F.lit(cell) * F.pow(F.lit(2.0), F.col("_lv"))
-
-    def own(v: Column, origin: float) -> Column:
-        return F.floor((v - F.lit(origin)) / size).cast("long")
-
-    based = df.withColumns({"_bx": own(F.col("_x"), x0) - 1, "_by": own(F.col("_y"), y0) - 1})
-    steps = F.array(F.lit(0), F.lit(1), F.lit(2))
-    return based.withColumn("_cx", F.explode(F.transform(steps, lambda i: F.col("_bx") + i))).withColumn(
-        "_cy", F.explode(F.transform(steps, lambda i: F.col("_by") + i)))
+    frame = _Frame.around(axes, points, targets)
+    leaves, pairs, depths, depth = [], None, [], 1
+    own = W.partitionBy("q")
+    while depth is not None:
+        step = frame.split(pairs, points, targets, depth, depths[-1] if depths else 0)
+        sure = F.col("reach")
+        if k > 1:
+            step = step.withColumn("sure", F.sum("t_n").over(own.orderBy("reach")))
+            sure = F.when(F.col("sure") >= k, F.col("reach"))
+        step = step.withColumn("best", F.coalesce(F.min(sure).over(own), F.lit(float("inf"))))
+        step = step.where(F.col("gap") <= F.col("best") * (1 + SLACK) + SLACK_M)
+        leaf = (F.sum("t_n").over(own) <= max(FEW, 4 * k)) & (F.col("q_n") <= MANY) if depth < DEEPEST else F.lit(True)
+        step = stored(step.select("q", "t", "wide", leaf.alias("leaf")))
+        leaves.append(step.where("leaf").select(F.lit(depth).alias("depth"), "q", "t"))
+        depths.append(depth)
+        pairs = step.where(~F.col("leaf"))
+        depth = frame.next_depth(depth, pairs)
+    return frame.met(points, reduce(DataFrame.union, leaves), depths, targets)
+
+
+def _boxed(df: DataFrame, **axes: Column) -> DataFrame:
+    """``df`` with the boxes of points."""
+    return df.withColumns({f"{side}_{a}": c for a, c in axes.items() for side in ("lo", "hi")})
+
+
+def kth_distance(points: DataFrame, x: str, y: str, k: int, name: str = "distance") -> DataFrame:
+    """Distance of each row to its ``k``-th nearest row in the plane, itself being the first; null with a null coordinate or
+    fewer than ``k`` rows. Rows of equal coordinates are one target that counts as often as they occur."""
+    known = points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    spots = known.groupBy(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).agg(F.count(F.lit(1)).alias("_w"))
+    spots = stored(_boxed(spots, x=F.col("_x"), y=F.col("_y")))
+    near = _nearest_pairs(spots.drop("_w"), spots.withColumnsRenamed({"_x": "_tx", "_y": "_ty"}), "xy", k)
+    gap = F.sqrt((F.col("_x") - F.col("_tx")) * (F.col("_x") - F.col("_tx")) + (F.col("_y") - F.col("_ty")) * (F.col("_y") - F.col("_ty")))
+    near = near.select("_x", "_y", gap.alias("d"), "_w").withColumn("c", F.sum("_w").over(W.partitionBy("_x", "_y").orderBy("d")))
+    kth = near.groupBy("_x", "_y").agg(F.min(F.when(F.col("c") >= k, F.col("d"))).alias(name))
+    return points.join(kth, (F.col(x).cast("double") == F.col("_x")) & (F.col(y).cast("double") == F.col("_y")), "left").select(*points.columns, name)
 
 
 def nearest_polygon(
     points: DataFrame, polygons: DataFrame, *, point_id: str, polygon_id: str, keep: Sequence[str] = (), cell_m: float = 1000.0,
 ) -> DataFrame:
-    """Nearest polygon of each point (x, y) and its distance (0 inside); ties go to the lowest id."""
-    px, py = F.col("x"), F.col("y")
-    corners = polygons.select(F.explode("ring").alias("c")).select(F.col("c.x").alias("_x"), F.col("c.y").alias("_y")).distinct()
-    x0, x1, y0, y1 = _extent([(points, px, py), (corners, F.col("_x"), F.col("_y"))])
-    top = _levels(max(x1 - x0, y1 - y0), cell_m)
-    coords = points.where(px.isNotNull() & py.isNotNull()).select(px.alias("_x"), py.alias("_y")).distinct()
-    asked = _around(_search_level(coords, corners, x0, y0, cell_m, top), x0, y0, cell_m)
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    size = F.lit(cell_m) * F.pow(F.lit(2.0), F.col("_lv"))
+    """Nearest polygon of each point (x, y) and its distance (0 inside); ties go to the lowest id.
 
-    def index(v: Column, origin: float) -> Column:
-        return F.floor((v - F.lit(origin)) / size).cast("long")
-
-    listed = (
-        polygons.withColumn("_e", ring_edges(F.col("ring")))
-        .withColumn("_p", F.struct(F.col(polygon_id), *[F.col(c) for c in keep if c != polygon_id]))
-        .withColumn("_lv", F.explode(F.sequence(F.lit(1), F.lit(top + 1))))
-        .withColumns({"_px": index(F.array_min(xs), x0), "_py": index(F.array_min(ys), y0)})
-        .withColumn("_cx", F.explode(F.sequence(F.col("_px"), index(F.array_max(xs), x0))))
-        .withColumn("_cy", F.explode(F.sequence(F.col("_py"), index(F.array_max(ys), y0))))
-        .select("_lv", "_cx", "_cy", "_px", "_py", "_e", "_p")
-    )
-    # a polygon meets a point in several cells; only the lowest shared one counts
-    once = (F.col("_cx") == F.greatest("_px", "_bx")) & (F.col("_cy") == F.greatest("_py", "_by"))
-    x, y, edges = F.col("_x"), F.col("_y"), F.col("_e")
-    distance = F.when(inside_ring(x, y, edges), F.lit(0.0)).otherwise(ring_distance(x, y, edges))
-    best = asked.join(listed, ["_lv", "_cx", "_cy"]).where(once).groupBy("_x", "_y").agg(
-        F.min(F.struct(distance.alias("d"), F.col("_p").alias("p"))).alias("_best")
-    )
+    Containing polygons are found by cells of ``cell_m``, the nearest edges by descent of two trees.
+    """
+    px, py, x, y = F.col("x"), F.col("y"), F.col("_x"), F.col("_y")
     names = [polygon_id, *[c for c in keep if c != polygon_id]]
-    return points.join(best, (px == F.col("_x")) & (py == F.col("_y")), "left").select(
+    coords = stored(points.where(px.isNotNull() & py.isNotNull()).select(px.alias("_x"), py.alias("_y")).distinct())
+    listed = polygons.select(F.struct(*names).alias("_p"), "ring", ring_edges(F.col("ring")).alias("_e"))
+    edges = listed.select("_p", F.explode("_e").alias("_e"))
+    sides = {"lo": F.least, "hi": F.greatest}
+    edges = stored(edges.withColumns({f"{side}_{a}": f(F.col(f"_e.a{a}"), F.col(f"_e.b{a}")) for a in "xy" for side, f in sides.items()}))
+    near = _nearest_pairs(_boxed(coords, x=x, y=y), edges, "xy")
+    outer = near.select("_x", "_y", F.struct(ring_distance(x, y, F.array("_e")).alias("d"), F.col("_p").alias("p")).alias("_c"))
+    inner = coords.join(_inside_pairs(coords, listed, cell_m), ["_x", "_y"]).select("_x", "_y", F.struct(F.lit(0.0).alias("d"), F.col("_p").alias("p")).alias("_c"))
+    best = outer.union(inner).groupBy("_x", "_y").agg(F.min("_c").alias("_best"))
+    return points.join(best, (px == x) & (py == y), "left").select(
         *points.columns, *[F.col(f"_best.p.{c}").alias(c) for c in names], F.col("_best.d").alias("distance_m")
     )
 
 
-def _metres(lon: Column, lat: Column, ref_lat: float) -> tuple[Column, Column]:
-    """Local plane around a reference latitude; only used to choose cells."""
-    return F.radians(lon) * (EARTH_RADIUS_M * math.cos(math.radians(ref_lat))), F.radians(lat) * EARTH_RADIUS_M
+def _inside_pairs(coords: DataFrame, listed: DataFrame, cell_m: float) -> DataFrame:
+    """Coordinates (_x, _y) with the polygons (_p, ring, edges _e) that hold them."""
+    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    cells = (
+        listed.withColumn("_cx", F.explode(F.sequence(_cell(F.array_min(xs), cell_m), _cell(F.array_max(xs), cell_m))))
+        .withColumn("_cy", F.explode(F.sequence(_cell(F.array_min(ys), cell_m), _cell(F.array_max(ys), cell_m))))
+        .select("_cx", "_cy", "_e", "_p")
+    )
+    placed = coords.withColumn("_cx", _cell(F.col("_x"), cell_m)).withColumn("_cy", _cell(F.col("_y"), cell_m))
+    return placed.join(cells, ["_cx", "_cy"]).where(inside_ring(F.col("_x"), F.col("_y"), F.col("_e"))).select("_x", "_y", "_p")
 
 
-def _plane(parts: Sequence[DataFrame]) -> tuple[float, float]:
-    """Reference latitude and the largest relative error of the plane over the data."""
-    _, _, low, high = _extent([(d, F.col("lon"), F.col("lat")) for d in parts])
-    ref = (low + high) / 2
-    error = max(abs(math.cos(math.radians(v)) / math.cos(math.radians(ref)) - 1) for v in (low, high)) + 1e-6
-    if error > 0.15:
-        raise ValueError(f"latitudes {low}..{high} span too much for one local plane; split the data by latitude")
-    return ref, error
+def _on_sphere(df: DataFrame) -> DataFrame:
+    """Boxes of coordinates as points in space, so that no latitude, pole or date line is special; the straight
+    distance of two grows with their great-circle distance."""
+    lon, lat = F.radians("lon"), F.radians("lat")
+    return _boxed(df, x=F.cos(lat) * F.cos(lon) * EARTH_RADIUS_M, y=F.cos(lat) * F.sin(lon) * EARTH_RADIUS_M, z=F.sin(lat) * EARTH_RADIUS_M)
 
 
-def nearest_point(
-    points: DataFrame, targets: DataFrame, *, point_id: str, target: str, cell_m: float = 500.0,
-) -> DataFrame:
+_KNOWN = "lon is not null and lat is not null and not isnan(lon) and not isnan(lat)"
+
+
+def nearest_point(points: DataFrame, targets: DataFrame, *, point_id: str, target: str) -> DataFrame:
     """Nearest target of each point (lon, lat) by great-circle distance; ties go to the lowest name."""
-    ref, _ = _plane([points, targets])
-
-    def placed(df: DataFrame) -> DataFrame:
-        x, y = _metres(F.col("lon"), F.col("lat"), ref)
-        return df.withColumns({"_x": x, "_y": y})
-
-    known = F.col("lon").isNotNull() & F.col("lat").isNotNull()
-    coords = placed(points.where(known).select("lon", "lat").distinct())
-    goals = placed(targets.where(known).groupBy("lon", "lat").agg(F.min(target).alias(target)))
-    x0, x1, y0, y1 = _extent([(coords, F.col("_x"), F.col("_y")), (goals, F.col("_x"), F.col("_y"))])
-    top = _levels(max(x1 - x0, y1 - y0), cell_m)
-    asked = _around(_search_level(coords, goals, x0, y0, cell_m, top), x0, y0, cell_m)
-    size = F.lit(cell_m) * F.pow(F.lit(2.0), F.col("_lv"))
-    listed = goals.withColumn("_lv", F.explode(F.sequence(F.lit(1), F.lit(top + 1)))).select(
-        "_lv", F.floor((F.col("_x") - x0) / size).cast("long").alias("_cx"),
-        F.floor((F.col("_y") - y0) / size).cast("long").alias("_cy"),
-        F.col("lon").alias("_tlon"), F.col("lat").alias("_tlat"), F.col(target).alias("_t"),
-    )
+    coords = stored(_on_sphere(points.where(_KNOWN).select("lon", "lat").distinct()))
+    goals = targets.where(_KNOWN).groupBy("lon", "lat").agg(F.min(target).alias("_t"))
+    goals = stored(_on_sphere(goals).withColumnsRenamed({"lon": "_tlon", "lat": "_tlat"}))
     distance = haversine_m(F.col("lon"), F.col("lat"), F.col("_tlon"), F.col("_tlat"))
-    best = asked.join(listed, ["_lv", "_cx", "_cy"]).groupBy("lon", "lat").agg(
+    best = _nearest_pairs(coords, goals, "xyz").groupBy("lon", "lat").agg(
         F.min(F.struct(distance.alias("d"), F.col("_t").alias("t"))).alias("_best")
     )
     return points.join(best, ["lon", "lat"], "left").select(
@@ -194,56 +251,37 @@ def nearest_point(
 
 
 def count_within(
-    points: DataFrame, targets: DataFrame, *, radius_m: float, name: str = "n_within", exclude_self: bool = False, split: int = 4,
+    points: DataFrame, targets: DataFrame, *, radius_m: float, name: str = "n_within", exclude_self: bool = False,
 ) -> DataFrame:
     """Number of targets (lon, lat) within a great-circle radius of each point, minus itself if asked.
 
-    Cells have side radius / split. Pairs of cells that are wholly within the radius add the count of the
-    cell; only pairs that straddle the circle are looked at coordinate by coordinate. Null coordinates
-    give a null count.
+    Pairs of cells of two trees are counted whole where even their far corners are within the radius, dropped where their near
+    ones are not, and cut into children otherwise, until few coordinates are left to compare one by one. So the work follows the
+    circles, not the crowds in them. Null coordinates give a null count.
     """
-    ref, error = _plane([points, targets])
-    side = radius_m / split
-    near, far = radius_m * (1 - error), radius_m * (1 + error)
-    reach = math.ceil(far / side) + 1
-    whole, part = [], []
-    for i in range(-reach, reach + 1):
-        for j in range(-reach, reach + 1):
-            if math.hypot(max(abs(i) - 1, 0), max(abs(j) - 1, 0)) * side > far:
-                continue
-            inside = math.hypot(abs(i) + 1, abs(j) + 1) * side <= near
-            (whole if inside else part).append((i, j))
-
-    def placed(df: DataFrame) -> DataFrame:
-        x, y = _metres(F.col("lon"), F.col("lat"), ref)
-        return df.withColumns({"_cx": _cell(x, side), "_cy": _cell(y, side)})
-
-    def offsets(pairs: list[tuple[int, int]], kind: bool) -> list[Column]:
-        return [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(kind).alias("whole")) for i, j in pairs]
-
-    known = F.col("lon").isNotNull() & F.col("lat").isNotNull()
-    coords = placed(points.where(known).select("lon", "lat").distinct())
-    goals = placed(targets.where(known).groupBy("lon", "lat").agg(F.count(F.lit(1)).alias("_n")))
-    goal_cells = goals.groupBy(F.col("_cx").alias("_tx"), F.col("_cy").alias("_ty")).agg(F.sum("_n").alias("_n"))
-    pairs = (
-        coords.select("_cx", "_cy").distinct()
-        .withColumn("_o", F.explode(F.array(*offsets(whole, True), *offsets(part, False))))
-        .select("_cx", "_cy", (F.col("_cx") + F.col("_o.i")).alias("_tx"), (F.col("_cy") + F.col("_o.j")).alias("_ty"), "_o.whole")
-        .join(goal_cells, ["_tx", "_ty"])
-    )
-    full = pairs.where("whole").groupBy("_cx", "_cy").agg(F.sum("_n").alias("_full"))
-    goal_rows = goals.select(
-        F.col("_cx").alias("_tx"), F.col("_cy").alias("_ty"), F.col("lon").alias("_tlon"), F.col("lat").alias("_tlat"),
-        F.col("_n").alias("_tn"),
-    )
-    close = haversine_m(F.col("lon"), F.col("lat"), F.col("_tlon"), F.col("_tlat")) <= radius_m
-    edge = (
-        pairs.where(~F.col("whole")).select("_cx", "_cy", "_tx", "_ty")
-        .join(coords, ["_cx", "_cy"]).join(goal_rows, ["_tx", "_ty"])
-        .where(close).groupBy("lon", "lat").agg(F.sum("_tn").alias("_edge"))
-    )
-    counted = coords.join(full, ["_cx", "_cy"], "left").join(edge, ["lon", "lat"], "left").select(
-        "lon", "lat",
-        (F.coalesce("_full", F.lit(0)) + F.coalesce("_edge", F.lit(0)) - F.lit(1 if exclude_self else 0)).alias(name),
-    )
+    chord = 2 * EARTH_RADIUS_M * math.sin(min(radius_m / (2 * EARTH_RADIUS_M), math.pi / 2))
+    coords = stored(_on_sphere(points.where(_KNOWN).select("lon", "lat").distinct()))
+    goals = targets.where(_KNOWN).groupBy("lon", "lat").agg(F.count(F.lit(1)).alias("_tn"))
+    goals = stored(_on_sphere(goals).withColumnsRenamed({"lon": "_tlon", "lat": "_tlat"}))
+    frame = _Frame.around("xyz", coords, goals)
+    whole, leaves, pairs, depths, depth = [], [], None, [], 1
+    while depth is not None:
+        step = frame.split(pairs, coords, goals, depth, depths[-1] if depths else 0).where(F.col("gap") <= chord * (1 + SLACK) + SLACK_M)
+        full = F.col("reach") <= chord * (1 - SLACK) - SLACK_M
+        leaf = F.col("q_n") * F.col("t_n") <= PAIRS if depth < DEEPEST else F.lit(True)
+        step = stored(step.select("q", "t", "wide", F.when(full, "whole").when(leaf, "leaf").otherwise("split").alias("kind")))
+        whole.append(step.where("kind = 'whole'").select(F.lit(depth).alias("depth"), "q", "t"))
+        leaves.append(step.where("kind = 'leaf'").select(F.lit(depth).alias("depth"), "q", "t"))
+        depths.append(depth)
+        pairs = step.where("kind = 'split'")
+        depth = frame.next_depth(depth, pairs)
+    near = frame.met(coords, reduce(DataFrame.union, leaves), depths, goals)
+    near = near.where(haversine_m(F.col("lon"), F.col("lat"), F.col("_tlon"), F.col("_tlat")) <= radius_m).select("lon", "lat", "_tn")
+    at = [F.struct(F.lit(d).alias("depth"), frame.cell(d).alias("c")) for d in depths]
+    cells = goals.select("_tn", F.explode(F.array(*at)).alias("_at")).groupBy("_at.depth", F.col("_at.c").alias("t")).agg(F.sum("_tn").alias("_tn"))
+    sums = reduce(DataFrame.union, whole).join(cells, ["depth", "t"]).groupBy("depth", "q").agg(F.sum("_tn").alias("_tn"))
+    far = coords.select("lon", "lat", F.explode(F.array(*at)).alias("_at")).select("lon", "lat", "_at.depth", F.col("_at.c").alias("q"))
+    counted = near.union(far.join(sums, ["depth", "q"]).select("lon", "lat", "_tn")).groupBy("lon", "lat").agg(F.sum("_tn").alias("_n"))
+    counted = coords.select("lon", "lat").join(counted, ["lon", "lat"], "left").select(
+        "lon", "lat", (F.coalesce("_n", F.lit(0)) - F.lit(1 if exclude_self else 0)).alias(name))
     return points.join(counted, ["lon", "lat"], "left").select(*points.columns, name)

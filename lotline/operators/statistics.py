@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lotline.functions.special import chi_square_tail, f_tail
 from lotline.operators.ordinals import exact_quantiles, value_positions
 from lotline.runtime import pinned, scalar
 
 
 def chi_square_v(df: DataFrame, a: str, b: str, yates: bool = True) -> DataFrame:
-    """H1: chi-square of independence and Cramer's V from the contingency counts.
+    """H1: chi-square of independence, its p-value and Cramer's V from the contingency counts.
 
     The continuity correction is applied only for one degree of freedom. Cells without rows still
     count through the margins: their expected value is the sum over all margins minus the seen cells.
@@ -42,29 +43,34 @@ def chi_square_v(df: DataFrame, a: str, b: str, yates: bool = True) -> DataFrame
     return out.select(
         "chi2", dof.alias("dof"), F.col("n").cast("long").alias("n"),
         F.sqrt(F.col("chi2") / (F.col("n") * F.nullif(lesser, F.lit(0)))).alias("cramers_v"),
-    )
+    ).withColumn("p_value", chi_square_tail(F.col("chi2"), F.col("dof")))
 
 
 def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
-    """H2: Kruskal-Wallis H with tie correction and epsilon squared (H - k + 1) / (n - k)."""
+    """H2: Kruskal-Wallis H with tie correction, its p-value and epsilon squared (H - k + 1) / (n - k)."""
+    return kruskal_by(df.withColumn("__all", F.lit(0)), "__all", group, value).drop("__all")
+
+
+def kruskal_by(df: DataFrame, by: str, group: str, value: str) -> DataFrame:
+    """The same for every ``by`` at once (the features of a stacked table): one set of ranks over (by, value)."""
     known = df.where(F.col(group).isNotNull() & F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    cells = known.groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
-    ranks = value_positions(cells, value, count="c").select(value, "avg_rank", F.col("n").alias("t"))
-    ties = ranks.agg(F.sum(F.col("t").cast("double") * (F.col("t").cast("double") * F.col("t") - 1)).alias("ties"))
-    groups = cells.join(ranks, value).groupBy(group).agg(
+    cells = known.groupBy(by, group, value).agg(F.count(F.lit(1)).alias("c"))
+    ranks = value_positions(cells, value, [by], count="c").select(by, value, "avg_rank", F.col("n").alias("t"))
+    ties = ranks.groupBy(by).agg(F.sum(F.col("t").cast("double") * (F.col("t").cast("double") * F.col("t") - 1)).alias("ties"))
+    groups = cells.join(ranks, [by, value]).groupBy(by, group).agg(
         F.sum("c").cast("double").alias("n"), F.sum(F.col("c") * F.col("avg_rank")).alias("r")
     )
-    one = groups.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"))
+    one = groups.groupBy(by).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"))
     n = F.col("n")
-    plain = F.lit(12.0) / (n * (n + 1)) * F.col("s") - 3 * (n + 1)
-    h = F.try_divide(plain, 1 - F.try_divide(ties.scalar(), n * n * n - n))
-    return one.select(h.alias("h"), F.col("k"), n.cast("long").alias("n")).withColumn(
+    plain = F.try_divide(F.lit(12.0), n * (n + 1)) * F.col("s") - 3 * (n + 1)
+    h = F.try_divide(plain, 1 - F.try_divide(F.col("ties"), n * n * n - n))
+    return one.join(ties, by).select(by, h.alias("h"), F.col("k"), n.cast("long").alias("n")).withColumn(
         "epsilon2", F.try_divide(F.col("h") - F.col("k") + 1, F.col("n") - F.col("k"))
-    )
+    ).withColumn("p_value", chi_square_tail(F.col("h"), F.col("k") - 1))
 
 
 def anova_eta(df: DataFrame, group: str, value: str) -> DataFrame:
-    """H3: one-way F, eta squared and the share of variance within groups, from n, mean and variance per group."""
+    """H3: one-way F, its p-value, eta squared and the share of variance within groups, from n, mean and variance per group."""
     known = df.where(F.col(group).isNotNull() & F.col(value).isNotNull())
     per = known.groupBy(group).agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v")
@@ -79,7 +85,7 @@ def anova_eta(df: DataFrame, group: str, value: str) -> DataFrame:
         F.try_divide("between", F.col("between") + F.col("within")).alias("eta2"),
         F.try_divide("within", F.col("between") + F.col("within")).alias("within_share"),
         F.col("n").cast("long").alias("n"), "k",
-    )
+    ).withColumn("p_value", f_tail(F.col("f"), F.col("k") - 1, F.col("n") - F.col("k")))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lotline.operators.ordinals import ordinal_rank, value_positions, with_bucket
@@ -49,26 +52,116 @@ def balanced(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     return df.withColumn(name, F.when(F.col(label) == 1, F.lit(one)).otherwise(F.lit(zero)))
 
 
-def regressor(model: str, y: str, n: int, seed: int = 42, **params):
-    """Ridge and lasso in the usual parametrisation (alpha), or a forest."""
-    if model == "ridge":  # sum of squares + alpha |w|^2 = mean squares / 2 + (alpha / n) |w|^2 / 2
-        return LinearRegression(labelCol=y, regParam=params.get("alpha", 1.0) / n, elasticNetParam=0.0, standardization=False)
-    if model == "lasso":
-        return LinearRegression(labelCol=y, regParam=params.get("alpha", 0.01), elasticNetParam=1.0, standardization=False, maxIter=200)
-    return RandomForestRegressor(labelCol=y, numTrees=params.get("trees", 200), maxDepth=params.get("depth", 8), seed=seed)
+def fold_grams(df: DataFrame, num: Sequence[str], y: str, cat: Sequence[str] = ()) -> dict[int, np.ndarray]:
+    """For each fold the Gram matrix of (1, features, y), from one pass over the rows: tasks add up their own and send
+    columns x columns numbers a fold. Train = total minus fold, so every model and penalty is fitted without reading the rows again."""
+    packed = Pipeline(stages=encoder(num, cat, onehot=True)).fit(df).transform(df.where(F.col(y).isNotNull()))
+    rows = packed.select("fold", vector_to_array("features").alias("x"), F.col(y).cast("double").alias("y"))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams: dict[int, np.ndarray] = {}
+        for batch in batches:
+            fold, y_ = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            full = np.column_stack([np.ones(len(x)), x, y_])
+            full = full[np.isfinite(full).all(axis=1)]
+            fold = fold[np.isfinite(x).all(axis=1) & np.isfinite(y_)]
+            for f in np.unique(fold).tolist():
+                own = full[fold == f]
+                grams[f] = grams.get(f, 0) + own.T @ own
+        flat = [(f, i, float(v)) for f, g in grams.items() for i, v in enumerate(g.ravel())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*flat) if flat else [[]] * 3, (pa.int32(), pa.int32(), pa.float64()))], ["fold", "i", "v"])
+
+    sums = rows.mapInArrow(part, "fold int, i int, v double").groupBy("fold", "i").agg(F.sum("v").alias("v")).collect()
+    cells: dict[int, dict[int, float]] = {}
+    for r in sums:
+        cells.setdefault(r.fold, {})[r.i] = r.v
+    side = math.isqrt(len(next(iter(cells.values())))) if cells else 0
+    return {f: np.array([v[i] for i in range(side * side)]).reshape(side, side) for f, v in sorted(cells.items())}
+
+
+def solve_gram(gram: np.ndarray, model: str, alpha: float, sweeps: int = 1000) -> np.ndarray:
+    """Intercept and weights: ridge (squares + alpha |w|^2) in closed form, lasso (mean squares / 2 + alpha |w|) by coordinate descent on
+    the centred matrix; the intercept is free. Columns without variance get no weight."""
+    n, mean = gram[0, 0], gram[0, 1:] / gram[0, 0]
+    centred = gram[1:, 1:] - n * np.outer(mean, mean)
+    xx, xy = centred[:-1, :-1], centred[:-1, -1]
+    if model == "ridge":
+        w = np.linalg.solve(xx + alpha * np.eye(len(xx)), xy) if len(xx) else xy
+    else:
+        w = np.zeros(len(xx))
+        flat = np.diag(xx) <= 1e-12 * n
+        for _ in range(sweeps):
+            before = w.copy()
+            for j in range(len(w)):
+                if not flat[j]:
+                    rho = xy[j] - xx[j] @ w + xx[j, j] * w[j]
+                    w[j] = math.copysign(max(abs(rho) - n * alpha, 0.0), rho) / xx[j, j]
+            if np.abs(w - before).max(initial=0) <= 1e-12 * max(np.abs(w).max(initial=0), 1e-300):
+                break
+    return np.append(mean[-1] - mean[:-1] @ w, w)
+
+
+def gram_r2(gram: np.ndarray, weights: np.ndarray) -> float:
+    """R2 of fixed weights on the rows behind a Gram matrix."""
+    wide = np.append(weights, -1.0)
+    error, total = float(wide @ gram @ wide), float(gram[-1, -1] - gram[0, -1] ** 2 / gram[0, 0])
+    return 1 - error / total if total > 0 else float("nan")
+
+
+def cv_linear(df: DataFrame, num: Sequence[str], y: str, cat: Sequence[str] = (), ridge: float = 1.0, lasso: float = 0.01) -> DataFrame:
+    """R2 per fold of ridge and lasso, both from one pass over the rows."""
+    grams = fold_grams(df, num, y, cat)
+    total = sum(grams.values())
+    rows = [(model, fold, gram_r2(gram, solve_gram(total - gram, model, alpha))) for model, alpha in (("ridge", ridge), ("lasso", lasso)) for fold, gram in grams.items()]
+    return df.sparkSession.createDataFrame(rows, "model string, fold int, r2 double")
 
 
-def cv_regression(df: DataFrame, num: Sequence[str], y: str, model: str = "ridge", cat: Sequence[str] = (), **params) -> DataFrame:
-    """R2 per fold."""
+def cv_forest(df: DataFrame, num: Sequence[str], y: str, cat: Sequence[str] = (), trees: int = 200, depth: int = 8, seed: int = 42) -> DataFrame:
+    """R2 per fold of a forest."""
     rows = []
     for fold in [r[0] for r in df.select("fold").distinct().orderBy("fold").collect()]:
         train, test = df.where(F.col("fold") != fold), df.where(F.col("fold") == fold)
-        stages = [*encoder(num, cat, onehot=True), regressor(model, y, train.count(), **params)]
-        scored = Pipeline(stages=stages).fit(train).transform(test)
-        rows.append((model, fold, float(RegressionEvaluator(labelCol=y, metricName="r2").evaluate(scored))))
+        forest = RandomForestRegressor(labelCol=y, numTrees=trees, maxDepth=depth, seed=seed)
+        scored = Pipeline(stages=[*encoder(num, cat, onehot=True), forest]).fit(train).transform(test)
+        rows.append(("forest", fold, float(RegressionEvaluator(labelCol=y, metricName="r2").evaluate(scored))))
     return df.sparkSession.createDataFrame(rows, "model string, fold int, r2 double")
 
 
+def ordered_target_rate(
+    df: DataFrame, key: str, category: str, y: str, name: str = "rate", weight: float = 1.0, seed: int = 42, part_rows: int = 100_000,
+) -> DataFrame:
+    """Mean target of the rows of the same category that come before a row in a hash permutation of ``key``, drawn to the overall mean by
+    ``weight`` rows: a category as a number that no row's own target leaks into. Null is a category of its own.
+
+    The permutation is cut into equal parts by hash; sums of earlier parts come from counts per (category, part), so a category
+    with a third of all rows is many windows.
+    """
+    most = df.groupBy(category).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    parts = max(1, -(-most // part_rows))
+    u = hash_share([key], seed)
+    placed = df.withColumns({"__u": u, "__p": F.floor(u * parts).cast("int"), "__c": F.coalesce(F.concat(F.lit("="), F.col(category).cast("string")), F.lit(""))})
+    known, value = F.col(y).isNotNull().cast("long"), F.coalesce(F.col(y).cast("double"), F.lit(0.0))
+    cells = placed.groupBy("__c", "__p").agg(F.sum(value).alias("__s"), F.sum(known).alias("__n"))
+    ahead = W.partitionBy("__c").orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
+    cells = cells.select("__c", "__p", F.coalesce(F.sum("__s").over(ahead), F.lit(0.0)).alias("__s0"), F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__n0"))
+    before = W.partitionBy("__c", "__p").orderBy("__u", key).rowsBetween(W.unboundedPreceding, -1)
+    own = placed.withColumns({"__s1": F.coalesce(F.sum(value).over(before), F.lit(0.0)), "__n1": F.coalesce(F.sum(known).over(before), F.lit(0))})
+    mean = scalar(df, F.avg(F.col(y).cast("double")))
+    met = own.join(cells, ["__c", "__p"])
+    return met.select(*df.columns, ((F.col("__s0") + F.col("__s1") + weight * mean) / (F.col("__n0") + F.col("__n1") + weight)).alias(name))
+
+
+def fold_target_rate(df: DataFrame, fold: int, key: str, category: str, y: str, name: str, weight: float = 1.0, seed: int = 42) -> DataFrame:
+    """The same as a per-fold feature: training rows see the rows before them, rows of ``fold`` all training rows."""
+    train, test = df.where(F.col("fold") != fold), df.where(F.col("fold") == fold)
+    mean = scalar(train, F.avg(F.col(y).cast("double")))
+    whole = train.groupBy(F.col(category).alias("__c")).agg(F.sum(F.col(y).cast("double")).alias("__s"), F.count(y).alias("__n"))
+    met = test.join(whole, F.col(category).eqNullSafe(F.col("__c")), "left")
+    rate = (F.coalesce("__s", F.lit(0.0)) + weight * mean) / (F.coalesce("__n", F.lit(0)) + weight)
+    return ordered_target_rate(train, key, category, y, name, weight, seed).unionByName(met.select(*df.columns, rate.alias(name)))
+
+
 def classifier(kind: str, y: str, n: int, seed: int = 42, **params):
     if kind == "logistic":
         return LogisticRegression(labelCol=y, weightCol="weight", regParam=1.0 / max(n, 1), maxIter=params.get("iterations", 100))
@@ -259,10 +352,9 @@ def compare_encodings(df: DataFrame, label_col: str, raw_cols: Sequence[str], y_
     parts = []
     labelled = df.withColumn("_label", F.col(label_col).cast("string"))
     for name, num, cat in (("cluster", [], ["_label"]), ("raw", [c for c in raw_cols if c != label_col], [])):
-        for model in ("ridge", "lasso", "forest"):
-            r2 = cv_regression(labelled, num, y_num, model, cat, trees=trees)
-            parts.append(r2.agg(F.lit(name).alias("features"), F.lit(model).alias("model"), F.lit("r2").alias("metric"),
-                                F.avg("r2").alias("mean"), F.stddev_pop("r2").alias("std")))
+        r2 = cv_linear(labelled, num, y_num, cat).union(cv_forest(labelled, num, y_num, cat, trees))
+        parts.append(r2.groupBy("model").agg(F.avg("r2").alias("mean"), F.stddev_pop("r2").alias("std")).select(
+            F.lit(name).alias("features"), "model", F.lit("r2").alias("metric"), "mean", "std"))
         scored = out_of_fold(labelled, num, cat, y_bin, "logistic")
         parts.append(fold_metrics(scored, y_bin, "score").agg(
             F.lit(name).alias("features"), F.lit("logistic").alias("model"), F.lit("auc").alias("metric"),

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lotline.runtime import keyed_join, pinned
+
 
 def write_panel(df: DataFrame, path: str, partition_by: Sequence[str] = ("period",), mode: str = "errorifexists") -> None:
     """Parquet by period. Corrections go to a new path: a table is never overwritten while it is read."""
@@ -19,10 +21,13 @@ def write_report(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def write_area_documents(df: DataFrame, area: str, path: str, max_records: int = 100_000, mode: str = "errorifexists") -> None:
-    """JSON lines per district folder. A big district spreads over several files and several tasks, because
-    rows are spread by a hash of the whole row inside the district instead of being gathered."""
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(16))
-    df.repartition(F.col(area), salt).write.mode(mode).option("maxRecordsPerFile", max_records).partitionBy(area).json(path)
+    """JSON lines per district folder. A district of more than ``max_records`` rows is dealt to as many tasks as it fills files, by a
+    hash of the whole row, so a task never holds more of it than a file or so."""
+    parts = F.ceil(F.col("__n") / max_records).cast("int").alias("__parts")
+    big = pinned(df.groupBy(area).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max_records).select(area, parts))
+    salt = F.pmod(F.xxhash64(*df.columns), F.coalesce("__parts", F.lit(1)))
+    dealt = keyed_join(df, big, [area], "left").withColumn("__salt", salt).repartition(F.col(area), F.col("__salt"))
+    dealt.select(*df.columns).write.mode(mode).option("maxRecordsPerFile", max_records).partitionBy(area).json(path)
 
 
 def profile_document(profile: DataFrame, variable: str, fields: Sequence[str], header: dict[str, Column]) -> DataFrame:

@@ -53,6 +53,88 @@ def test_importance_finds_the_signal(spark):
     assert drop["x"] > 0.15 and abs(drop["noise"]) < 0.05
 
 
+def test_linear_models_from_gram_matrices(spark):
+    import numpy as np
+
+    rows = M.group_folds(people(spark).withColumn("t", F.col("x") * 2 - F.col("noise") + F.when(F.col("c") == "q", 1.5).otherwise(0.0)), "g", "y", 4)
+    rows = rows.withColumn("flat", F.lit(3.0))
+    got = {(r.model, r.fold): r.r2 for r in M.cv_linear(rows, ["x", "noise", "flat"], "t", ["c"], ridge=2.0, lasso=0.05).collect()}
+    data = rows.collect()
+    x = np.array([[r.x, r.noise, 3.0, *(float(r.c == v) for v in "pqr")] for r in data])
+    y, fold = np.array([r.t for r in data]), np.array([r.fold for r in data])
+    for f in range(4):
+        a, b = x[fold != f], y[fold != f]
+        mean, centre = a.mean(axis=0), b.mean()
+        w = np.linalg.solve((a - mean).T @ (a - mean) + 2.0 * np.eye(6), (a - mean).T @ (b - centre))
+        t, z = x[fold == f], y[fold == f]
+        assert abs(got["ridge", f] - (1 - ((z - centre - (t - mean) @ w) ** 2).sum() / ((z - z.mean()) ** 2).sum())) < 1e-9
+    # lasso: the gradient of the squares is alpha in size where a weight stands, and no larger elsewhere
+    gram = sum(M.fold_grams(rows, ["x", "noise"], "t").values())
+    w = M.solve_gram(gram, "lasso", 0.05)
+    v = np.array([[r.x, r.noise] for r in data])
+    slope = (v - v.mean(axis=0)).T @ (y - w[0] - v @ w[1:]) / len(y)
+    assert all(abs(abs(g) - 0.05) < 1e-8 and g * u > 0 if u else abs(g) <= 0.05 + 1e-8 for g, u in zip(slope, w[1:]))
+
+
+def test_ordered_target_rate_sees_earlier_rows_only(spark):
+    import hashlib
+
+    rows = [(i, None if i % 7 == 0 else ("a" if i % 3 else f"c{i % 5}"), None if i % 11 == 0 else int(i % 4 == 0)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, c string, y int")
+    known = [y for _, _, y in rows if y is not None]
+    mean = sum(known) / len(known)
+    order = sorted(rows, key=lambda r: (int(hashlib.md5(f"42|{r[0]}".encode()).hexdigest()[:8], 16), r[0]))
+    want, seen = {}, {}
+    for i, c, y in order:
+        total, n = seen.get(c, (0, 0))
+        want[i] = (total + 2.0 * mean) / (n + 2.0)
+        if y is not None:
+            seen[c] = (total + y, n + 1)
+    for part_rows in (10, 10**6):
+        got = {r.id: r.rate for r in M.ordered_target_rate(df, "id", "c", "y", weight=2.0, part_rows=part_rows).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want)
+    folded = M.fold_target_rate(df.withColumn("fold", (F.col("id") % 3).cast("int")), 1, "id", "c", "y", "rate")
+    assert folded.count() == 300 and folded.where("rate is null").isEmpty()
+
+
+def test_many_models_share_scans(spark):
+    import numpy as np
+
+    from lotline.operators import many_models as N
+
+    rng = random.Random(3)
+    spots = [[rng.gauss(4 * (i % 4), 1), rng.gauss(3 * (i % 2), 1), rng.random()] for i in range(240)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(spots)] + [(999, None, 1.0, 1.0)], "id long, a double, b double, c double").repartition(3)
+    some = [N.Candidate(k, s, m) for k in (2, 4) for s in (0, 1) for m in (None, 5)]
+    models = N.kmeans_many(df, "id", ["a", "b", "c"], some, 15)
+    found = {r.candidate: r for r in N.indices(models).collect()}
+    x = np.array(spots)
+    for c, cand in enumerate(some):
+        from hashlib import md5
+        share = lambda i: int(md5(f"{cand.sample}|{i}".encode()).hexdigest()[:8], 16) / 2**32  # noqa: E731, B023
+        own = [i for i in range(240) if cand.sample is None or share(i) < 0.8]
+        order = sorted(own, key=lambda i: (md5(f"{cand.start}|{i}".encode()).hexdigest(), i))
+        centres = x[order[: cand.k]]
+        for _ in range(15):
+            which = ((x[own][:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
+            centres = np.array([x[own][which == j].mean(axis=0) if (which == j).any() else centres[j] for j in range(cand.k)])
+        assert np.allclose(centres, models.centres[c])
+        which = ((x[own][:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
+        gap = ((x[own][:, None] - x[own]) ** 2).sum(axis=2)
+        sil = []
+        for i in range(len(own)):
+            inner = gap[i][which == which[i]].sum() / max((which == which[i]).sum() - 1, 1)
+            outer = min(gap[i][which == j].mean() for j in set(which.tolist()) - {which[i]})
+            sil.append((outer - inner) / max(inner, outer))
+        assert abs(found[c].silhouette - np.mean(sil)) < 1e-9
+        assert abs(found[c].min_share - np.bincount(which).min() / len(own)) < 1e-12
+        plain = C.cluster_indices(spark.createDataFrame([(*spots[i], int(w)) for i, w in zip(own, which)], "a double, b double, c double, cluster int"), ["a", "b", "c"], "cluster").first()
+        assert abs(found[c].calinski_harabasz - plain["calinski_harabasz"]) < 1e-6 and abs(found[c].davies_bouldin - plain["davies_bouldin"]) < 1e-9
+    both = N.labels(models, [0, 1])
+    inside = both.where("id <> -1").join(models.rows.where("inside[1]").select("id"), "id")
+    assert abs(N.agreement(models, [(0, 1)]).first()["ari"] - C.adjusted_rand(inside, "c0", "c1").first()[0]) < 1e-12
+
+
 def test_density_clusters_match_plain_search(spark):
     rng = random.Random(4)
     spots = [(rng.gauss(cx, 0.4), rng.gauss(cy, 0.4)) for cx, cy in [(0, 0), (4, 0), (0, 5)] for _ in range(60)] + [(20.0, 20.0), (2.0, 9.0)]

@@ -117,12 +117,60 @@ def test_radius_and_nearest_with_a_hot_coordinate(spark):
     targets = spark.createDataFrame(goals, "name string, lon double, lat double")
     got = {r["id"]: r["n"] for r in S.count_within(points, points, radius_m=400.0, name="n", exclude_self=True).collect()}
     assert got == {i: sum(haversine(p, q) <= 400.0 for q in spots) - 1 for i, p in enumerate(spots)}
-    near = {r["id"]: (r["name"], r["distance_m"]) for r in S.nearest_point(points, targets, point_id="id", target="name", cell_m=200.0).collect()}
+    near = {r["id"]: (r["name"], r["distance_m"]) for r in S.nearest_point(points, targets, point_id="id", target="name").collect()}
     for i, p in enumerate(spots):
         best = min((haversine(p, g[1:]), g[0]) for g in goals)
         assert near[i][0] == best[1] and abs(near[i][1] - best[0]) < 1e-6
 
 
+def test_far_clusters_meet_by_their_boxes(spark):
+    """Thousands of points whose nearest targets all lie in one far crowd, at any latitude and across the date line."""
+    import time
+
+    rng = random.Random(8)
+    spots = [(179.99 + rng.random() / 100, -60 + rng.random() / 100) for _ in range(4000)]
+    goals = [(f"t{i:04d}", -150 + rng.random() / 100, 75 + rng.random() / 100) for i in range(4000)]
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(spots)], "id int, lon double, lat double")
+    targets = spark.createDataFrame([*goals, ("none", None, 1.0), ("nan", float("nan"), 1.0)], "name string, lon double, lat double")
+    began = time.time()
+    near = {r["id"]: (r["name"], r["distance_m"]) for r in S.nearest_point(points, targets, point_id="id", target="name").collect()}
+    assert time.time() - began < 60
+    for i in range(0, 4000, 400):
+        best = min((haversine(spots[i], g[1:]), g[0]) for g in goals)
+        assert near[i][0] == best[1] and abs(near[i][1] - best[0]) < 1e-3
+    wide = [(rng.uniform(-180, 180), rng.uniform(-90, 90)) for _ in range(300)] + [(180.0, 10.0), (-180.0, 10.0), (0.0, 90.0), (90.0, 90.0)]
+    all_of = spark.createDataFrame([(i, *p) for i, p in enumerate(wide)], "id int, lon double, lat double")
+    got = {r["id"]: r["n"] for r in S.count_within(all_of, all_of, radius_m=3e6, name="n").collect()}
+    assert got == {i: sum(haversine(p, q) <= 3e6 for q in wide) for i, p in enumerate(wide)}
+
+
+def test_nearest_polygons_of_many(spark):
+    rng = random.Random(11)
+    spots = [(rng.uniform(0, 100), rng.uniform(0, 100)) for _ in range(200)] + [(1e5 + rng.random(), 5.0) for _ in range(200)]
+    rings = []
+    for k in range(120):
+        x, y, w, h = rng.uniform(0, 100), rng.uniform(0, 100), rng.uniform(0.1, 30), rng.uniform(0.1, 3)
+        rings.append((k, [(x, y), (x + w, y), (x + w / 2, y + h)]))
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(spots)] + [(-1, None, 1.0)], "id int, x double, y double")
+    polys = spark.createDataFrame(rings, "pid int, ring array<struct<x:double,y:double>>")
+
+    def edge(p, a, b):
+        dx, dy = b[0] - a[0], b[1] - a[1]
+        t = max(0.0, min(1.0, ((p[0] - a[0]) * dx + (p[1] - a[1]) * dy) / (dx * dx + dy * dy)))
+        return math.hypot(p[0] - a[0] - t * dx, p[1] - a[1] - t * dy)
+
+    def away(p, ring):
+        sides = list(zip(ring, ring[1:] + ring[:1]))
+        odd = sum((a[1] > p[1]) != (b[1] > p[1]) and p[0] < (b[0] - a[0]) * (p[1] - a[1]) / (b[1] - a[1]) + a[0] for a, b in sides)
+        return 0.0 if odd % 2 else min(edge(p, a, b) for a, b in sides)
+
+    got = {r["id"]: (r["pid"], r["distance_m"]) for r in S.nearest_polygon(points, polys, point_id="id", polygon_id="pid", cell_m=5.0).collect()}
+    assert got.pop(-1) == (None, None)
+    for i, p in enumerate(spots):
+        best = min((away(p, ring), k) for k, ring in rings)
+        assert abs(got[i][1] - best[0]) < 1e-9 * max(1, best[0]) and abs(away(p, rings[got[i][0]][1]) - best[0]) < 1e-9 * max(1, best[0])
+
+
 def test_statistics_against_known_values(spark):
     two = [("a", "x")] * 10 + [("a", "y")] * 20 + [("b", "x")] * 30 + [("b", "y")] * 5
     row = H.chi_square_v(spark.createDataFrame(two, "a string, b string"), "a", "b").first()
