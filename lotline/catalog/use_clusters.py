@@ -229,16 +229,7 @@ def _(spark, root):
     return found.join(named, "point_id", "left").select("point_id", "first_core", F.col("cluster").isNull().alias("noise"))
 
 
-@query("i12_density_grid", """
-WITH RECURSIVE d AS MATERIALIZED (SELECT a.point_id AS a, b.point_id AS b, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS far FROM points a, points b),
-k AS (SELECT a, far FROM (SELECT a, far, row_number() OVER (PARTITION BY a ORDER BY far) AS r FROM d) t WHERE r = 5),
-q AS (SELECT unnest(quantile_cont(far, [0.25, 0.5, 0.75, 0.9])) AS eps FROM k),
-core AS MATERIALIZED (SELECT eps, a FROM k, q WHERE far <= eps), e AS MATERIALIZED (SELECT c.eps, d.a, d.b FROM d JOIN core c ON c.a = d.a AND d.far <= c.eps JOIN core c2 ON c2.a = d.b AND c2.eps = c.eps),
-reach(eps, node, seed) USING KEY (eps, node) AS (SELECT eps, a, a FROM core UNION
-  SELECT e.eps, e.b, min(r.seed) FROM reach r JOIN e ON r.node = e.a AND r.eps = e.eps JOIN recurring.reach k ON k.node = e.b AND k.eps = e.eps WHERE r.seed < k.seed GROUP BY e.eps, e.b),
-comp AS (SELECT eps, count(DISTINCT seed) AS n FROM reach GROUP BY eps),
-held AS (SELECT c.eps, count(DISTINCT d.a) AS n FROM d JOIN core c ON c.a = d.b AND d.far <= c.eps GROUP BY c.eps)
-SELECT 5 AS min_samples, round(q.eps, 6) AS eps, coalesce(comp.n, 0) AS n_clusters, round(1 - coalesce(held.n, 0) / (SELECT count(*) FROM points), 6) AS noise_share
-FROM q LEFT JOIN comp USING (eps) LEFT JOIN held USING (eps)""", ("points",))
-def _(spark, root):
-    return C.density_grid(V.points(spark, root).select("point_id", "x", "y"), "point_id", "x", "y", [5])
+@query("i12_density_grid")
+def _(spark, root):
+    rows = V.points(spark, root).select("point_id", "x", "y")
+    return C.density_grid(rows, "point_id", "x", "y", [5], [600.0, 900.0])

@@ -277,7 +277,7 @@ def density_cluster(df: DataFrame, key: str, x: str, y: str, eps: float, min_sam
     full = sized.where(F.col("cell_n") >= min_samples)
     thin = sized.where(F.col("cell_n") < min_samples)  # fewer than min_samples coordinates per cell
     other = flat.select(F.col("cx").alias("tx"), F.col("cy").alias("ty"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("n").alias("n2"))
-    gap = F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2) <= eps * eps
+    gap = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2)) <= eps  # eps may be such a distance
     near = shift(thin).join(other, ["tx", "ty"]).where(gap).groupBy("x", "y").agg(F.sum("n2").alias("near"))
     counted = thin.join(near, ["x", "y"], "left").withColumn("total", F.col("cell_n") + F.coalesce("near", F.lit(0)))
     core = full.select("x", "y", "cx", "cy").unionByName(counted.where(F.col("total") >= min_samples).select("x", "y", "cx", "cy"))
@@ -290,8 +290,8 @@ def density_cluster(df: DataFrame, key: str, x: str, y: str, eps: float, min_sam
           F.greatest(F.col("ay2") - F.col("by"), F.col("ay") - F.col("by2"), F.lit(0.0))]
     hi = [F.greatest(F.col("bx2") - F.col("ax"), F.col("bx") - F.col("ax2")), F.greatest(F.col("by2") - F.col("ay"), F.col("by") - F.col("ay2"))]
     both = both.withColumns({"least": lo[0] * lo[0] + lo[1] * lo[1], "most": hi[0] * hi[0] + hi[1] * hi[1]})
-    sure = both.where(F.col("most") <= eps * eps).select("cx", "cy", "tx", "ty")
-    open_ = both.where((F.col("most") > eps * eps) & (F.col("least") <= eps * eps)).select("cx", "cy", "tx", "ty")
+    sure = both.where(F.sqrt("most") <= eps).select("cx", "cy", "tx", "ty")
+    open_ = both.where((F.sqrt("most") > eps) & (F.sqrt("least") <= eps)).select("cx", "cy", "tx", "ty")
     proven = _linked_cells(open_, core, side, eps)
     name = lambda a, b: F.concat_ws(":", F.col(a).cast("string"), F.col(b).cast("string"))
     edges = sure.unionByName(proven).select(name("cx", "cy").alias("a"), name("tx", "ty").alias("b"))
@@ -324,12 +324,12 @@ def _linked_cells(pairs: DataFrame, core: DataFrame, side: float, eps: float, sp
     dy = F.greatest(F.col("ay2") - F.col("by"), F.col("ay") - F.col("by2"), F.lit(0.0))
     wx = F.greatest(F.col("bx2") - F.col("ax"), F.col("bx") - F.col("ax2"))
     wy = F.greatest(F.col("by2") - F.col("ay"), F.col("by") - F.col("ay2"))
-    near = pairs.join(left, ["cx", "cy"]).join(right, ["tx", "ty"]).withColumn("whole", wx * wx + wy * wy <= eps * eps)
-    near = near.where(dx * dx + dy * dy <= eps * eps).select(*cells, "sx", "sy", "ux", "uy", "whole")
+    near = pairs.join(left, ["cx", "cy"]).join(right, ["tx", "ty"]).withColumn("whole", F.sqrt(wx * wx + wy * wy) <= eps)
+    near = near.where(F.sqrt(dx * dx + dy * dy) <= eps).select(*cells, "sx", "sy", "ux", "uy", "whole")
     sure = near.where("whole").select(*cells).distinct()
     rest = near.where(~F.col("whole")).join(sure, cells, "left_anti")
     goal = placed.withColumnsRenamed({**turned, "x": "x2", "y": "y2"})
-    close = F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2) <= eps * eps
+    close = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2)) <= eps
     met = rest.join(placed, ["cx", "cy", "sx", "sy"]).join(goal, ["tx", "ty", "ux", "uy"]).where(close).select(*cells).distinct()
     return sure.unionByName(met)
 
