@@ -47,14 +47,14 @@ def _(spark, root):
 def _(spark, root):
     from lotline.operators.clustering import fit_labels, standardise
 
-    rows = rows_of(spark, root)
+    rows = rows_of(spark, root, 3)
     districts = rows.groupBy("district").agg(F.avg("balance").alias("d_balance"), F.avg("share_urgent").alias("d_urgent"))
     labels = fit_labels(standardise(districts, ["d_balance", "d_urgent"]), ["d_balance", "d_urgent"], "kmeans", 4)
-    return M.compare_encodings(stored(rows.join(labels, "district")), "cluster", ["d_balance", "d_urgent"], "n_orders", "label", trees=200)
+    return M.compare_encodings(stored(rows.join(labels, "district")), "cluster", ["d_balance", "d_urgent"], "n_orders", "label", trees=20)
 
 
 def boosted(spark, root):
-    return M.out_of_fold(rows_of(spark, root), NUM, CAT, "label", "boosted", iterations=10, depth=3)
+    return M.out_of_fold(rows_of(spark, root, 3), NUM, CAT, "label", "boosted", iterations=10, depth=3)
 
 
 V._sql("hashed", ("risk",), """
@@ -150,7 +150,7 @@ def _(spark, root):
 @query("j10_nested_sets")
 def _(spark, root):
     sets = [("place", ["balance"], []), ("place + segment", ["balance"], CAT), ("place + segment + use", NUM, CAT)]
-    return M.nested_sets(rows_of(spark, root), sets, "label", "boosted", iterations=4, depth=3)
+    return M.nested_sets(rows_of(spark, root, 3), sets, "label", "boosted", iterations=4, depth=3)
 
 
 @query("j11_counterfactual_mean")
