@@ -17,7 +17,7 @@ from lotline.operators.ordinals import quantile_values
 from lotline.operators.ranked import hash_share, quantile_bins, top_per_group
 from lotline.operators.spatial import kth_distance
 from lotline.operators.statistics import chi_square_v, kruskal, kruskal_by
-from lotline.runtime import cut, pinned, scalar, stored
+from lotline.runtime import pinned, scalar, stored
 
 
 def standardise(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -281,7 +281,7 @@ def density_cluster(df: DataFrame, key: str, x: str, y: str, eps: float, min_sam
     near = shift(thin).join(other, ["tx", "ty"]).where(gap).groupBy("x", "y").agg(F.sum("n2").alias("near"))
     counted = thin.join(near, ["x", "y"], "left").withColumn("total", F.col("cell_n") + F.coalesce("near", F.lit(0)))
     core = full.select("x", "y", "cx", "cy").unionByName(counted.where(F.col("total") >= min_samples).select("x", "y", "cx", "cy"))
-    core = cut(core)
+    core = stored(core)
     boxes = core.groupBy("cx", "cy").agg(F.min("x").alias("ax"), F.max("x").alias("bx"), F.min("y").alias("ay"), F.max("y").alias("by"))
     right = boxes.select(F.col("cx").alias("tx"), F.col("cy").alias("ty"), *[F.col(c).alias(f"{c}2") for c in ("ax", "bx", "ay", "by")])
     later = (F.col("tx") > F.col("cx")) | ((F.col("tx") == F.col("cx")) & (F.col("ty") > F.col("cy")))
@@ -335,19 +335,20 @@ def _linked_cells(pairs: DataFrame, core: DataFrame, side: float, eps: float, sp
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Smallest node name of each component: neighbours' minimum, then the label of the label (halving the
-    remaining distance), until nothing changes. Each round is checkpointed."""
-    links = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    state = cut(nodes.select("node", F.col("node").alias("component")))
+    """Smallest node name of each component: a class of nodes follows the smallest class that one of its members touches, then
+    the class of that class, until nothing changes. Each round is written: a checkpoint keeps the size that was estimated for it,
+    a product over all joins so far, a number with four times the digits every round."""
+    links = stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    state = stored(nodes.select("node", F.col("node").alias("component")))
     while True:
         seen = links.join(state.withColumnsRenamed({"node": "b", "component": "c"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c"))
-        step = state.join(seen, "node", "left").select("node", F.col("component").alias("old"), F.least("component", "c").alias("c"))
-        jump = step.select(F.col("node").alias("c"), F.col("c").alias("c2"))
-        fresh = cut(step.join(jump, "c", "left").select("node", "old", F.least("c", "c2").alias("component")))
-        moved = fresh.where(F.col("component") != F.col("old")).limit(1).count()
-        state = fresh.select("node", "component")
-        if not moved:
+        step = state.join(seen, "node", "left").select(F.col("component").alias("old"), F.least("component", "c").alias("c"))
+        led = stored(step.groupBy("old").agg(F.min("c").alias("c")))
+        jump = led.select(F.col("old").alias("c"), F.col("c").alias("c2"))
+        led = stored(led.where("old != c").join(jump, "c").select("old", F.least("c", "c2").alias("new")))
+        if led.isEmpty():
             return state
+        state = stored(state.join(led.withColumnRenamed("old", "component"), "component", "left").select("node", F.coalesce("new", "component").alias("component")))
 
 
 def density_grid(df: DataFrame, key: str, x: str, y: str, min_samples: Sequence[int], eps_list: Sequence[float] | None = None) -> DataFrame:

@@ -156,6 +156,17 @@ def test_density_clusters_match_plain_search(spark):
     assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
 
 
+def test_components_of_long_paths_keep_their_estimated_size(spark):
+    rng = random.Random(8)
+    names = [f"{i:03d}" for i in rng.sample(range(400), 120)]
+    ways = [names[:70], names[70:119], names[119:]]
+    nodes = spark.createDataFrame([(n,) for n in names], "node string")
+    edges = spark.createDataFrame([p for way in ways for p in zip(way[:-1], way[1:])], "a string, b string")
+    found = C.connected_components(nodes, edges)
+    assert {(r["node"], r["component"]) for r in found.collect()} == {(n, min(way)) for way in ways for n in way}
+    assert len(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 12
+
+
 def test_grid_skips_finished_candidates(spark):
     df = people(spark, 120).select("id", "x", "noise", (F.col("x") * 2 + F.col("noise")).alias("z"))
     path = shared_dir(spark)
