@@ -58,3 +58,18 @@ def test_slopes_lower_the_loss():
     both = model.logits(*toxicity.word_ids([r[1] for r in rows]))
     assert np.allclose(z, both, atol=1e-3)
     assert ((z > 0) == (label > 0)).mean() > 0.97
+
+
+def test_every_labelled_row_is_learned_from(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK_ROWS", 100)
+    rows, labels = corpus(600, 6)
+    docs, marks = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    lessons = toxicity.labelled(docs, marks)
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    assert lessons.select("block").distinct().count() > 2
+    assert sum(r["n"] for r in lessons.collect()) == len(train)
+    plain = sum(len({int(b) for b in toxicity.word_ids([r[1]])[0].ravel()}) for r in train)
+    assert toxicity._summed(lessons, lambda block, ids, starts, label: toxicity.bucket_times(ids, starts)).sum() == plain
+    truth = {i: t for i, _, t in labels}
+    held = [r for r in toxicity.score(docs, marks).collect() if r["held_out"]]
+    assert sum(r["predicted"] == truth[r["doc_id"]] for r in held) > 0.8 * len(held)
