@@ -7,7 +7,7 @@ from lotline.catalog import views as V
 from lotline.catalog.registry import query
 from lotline.operators.aggregates import group_rate
 from lotline.plans import products as P
-from lotline.runtime import scalar, shared_dir, table
+from lotline.runtime import scalar, shared_dir, stored, table
 from lotline.sources import sinks as K
 from lotline.sources import snapshots as S
 
@@ -20,9 +20,9 @@ SHOP = T.StructType([
 @query("a1_read_snapshots", "SELECT parcel, floor, shop_id, CAST(NULL AS VARCHAR) AS branch, period FROM snapshot", ("snapshot",))
 def _(spark, root):
     # two headers: the columns of even months stand in another order, and one more stands between them
-    rows, base = V.snapshot(spark, root).select("parcel", "floor", "shop_id", "period"), shared_dir(spark)
+    rows, base = stored(V.snapshot(spark, root).select("parcel", "floor", "shop_id", "period")), shared_dir(spark)
     for name, even in (("a", True), ("b", False)):
-        own = rows.where((F.col("period") / 3 % 2 < 1) == F.lit(even)).repartition(8, "period")
+        own = K.dealt_by(rows.where((F.col("period") / 3 % 2 < 1) == F.lit(even)), "period")
         own = own.select("shop_id", F.lit("x").alias("extra"), "floor", "parcel", "period") if even else own
         own.write.partitionBy("period").option("header", True).csv(f"{base}/{name}")
     return S.read_snapshots(spark, f"{base}/*/period=*", SHOP, pattern=r"period=(\d{6})")

@@ -15,6 +15,13 @@ def write_panel(df: DataFrame, path: str, partition_by: Sequence[str] = ("period
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
+def dealt_by(df: DataFrame, by: str, rows: int = 1_000_000, least: int = 8) -> DataFrame:
+    """Rows ready for a partitioned write: tasks hold about ``rows`` rows next to each other in ``by``, a large value being many tasks,
+    since the writer sorts what a task holds. ``df`` is read twice and should be read from files."""
+    parts = max(least, -(-df.count() // rows))
+    return df.repartitionByRange(parts, by, F.xxhash64(*df.columns))
+
+
 def write_report(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """CSV with header, UTF-8 (no byte-order mark: every reader here takes UTF-8)."""
     df.write.mode(mode).option("header", True).csv(path)

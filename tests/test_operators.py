@@ -240,3 +240,12 @@ def test_points_with_equal_ids_coordinates_or_none(spark):
     got = points_in_polygons(points, rings, point_id="id", polygon_id="pid", keep=["name"], cell_m=4.0)
     assert sorted((r["id"], r["pid"], r["name"]) for r in got.where("x = 5").collect()) == [(1, 7, "n"), (2, 7, "n")]
     assert sorted((r["id"], r["pid"]) for r in got.where("x = 50 or x is null").collect()) == [(1, None), (3, None)]
+
+
+def test_rows_for_a_partitioned_write_are_dealt_by_their_number(spark):
+    from lotline.sources.sinks import dealt_by
+
+    rows = spark.range(6000).select((F.col("id") % 10 >= 9).cast("int").alias("period"), "id")
+    dealt = dealt_by(rows, "period", rows=500, least=2)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 6000 and max(sizes) < 1000
