@@ -6,7 +6,7 @@ which is all that is compared. A sample is sorted first: in each 200-byte string
 anchor, a choice that any equal string makes alike. Anchors that occur once in all texts take their strings out; the strings of
 the other anchors, and only those, are then named at full length, sorted and compared.
 
-Equal texts are one text that counts as often as it occurs: Spark collapses them before it moves them. Results go back to the
+Equal texts are one text that counts as often as it occurs: those of a batch are collapsed before they are moved, the rest after. Results go back to the
 doc_ids by the text's MD5; a task of the input sends one list of doc_ids for each of its texts, so a group of copies is as many rows as tasks.
 
 Names are sorted by range owners: texts are dealt into blocks by hash, each block sends its distinct names once, packed, to the tasks that own
@@ -139,9 +139,17 @@ def _runs_of(values: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.nda
 
 
 def collapsed(rows: DataFrame, count: int) -> DataFrame:
-    """block, key (MD5), text, copies: one row for each different text."""
-    texts = rows.groupBy("text").agg(F.count("*").alias("copies"))
-    return texts.select(F.pmod(F.xxhash64("text"), F.lit(count)).cast("int").alias("block"), F.unhex(F.md5("text")).alias("key"), "text", "copies")
+    """block, key (MD5), text, copies: one row for each different text. Copies within a batch are one before anything is moved, and texts
+    are moved once, by block: what follows by block needs no other shuffle."""
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.Table.from_batches([batch]).group_by("text").aggregate([([], "count_all")])
+            yield from found.select(["text", "count_all"]).rename_columns(["text", "n"]).to_batches()
+
+    block = F.pmod(F.xxhash64("text"), F.lit(count)).cast("int").alias("block")
+    moved = rows.select("text").mapInArrow(once, "text string, n long").select(block, "text", "n").repartition("block")
+    return moved.groupBy("block", "text").agg(F.sum("n").alias("copies")).select("block", F.unhex(F.md5("text")).alias("key"), "text", "copies")
 
 
 def _ordered(table: pa.Table) -> tuple[list[bytes], list[bytes], list[int]]:

@@ -72,3 +72,11 @@ def test_copies_are_one_text_whatever_their_ids(spark):
     assert sorted((r.text, r.copies) for r in placed) == [("", 1), (copy, 600), (other, 1)]
     got = suffix_dup.repeated_bytes(docs).drop("kept").collect()
     assert sorted(map(tuple, got), key=repr) == brute(rows, 200)
+
+
+def test_texts_are_moved_once(spark):
+    rows = spark.createDataFrame([(i, "same" if i % 3 else f"text {i}") for i in range(90)], "doc_id long, text string")
+    placed = suffix_dup.collapsed(rows, 4)
+    assert {r["text"]: r["copies"] for r in placed.collect()} == {"same": 60, **{f"text {i}": 1 for i in range(0, 90, 3)}}
+    by_block = placed.groupBy("block").applyInArrow(lambda t: t.select(["block"]).slice(0, 1), "block int")
+    assert by_block._jdf.queryExecution().sparkPlan() and by_block._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
