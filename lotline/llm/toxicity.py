@@ -28,11 +28,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotline.llm.common import blocks, columns, keep, mix, span_hashes, text_bytes, texts, word_spans
+from lotline.llm.common import keep, mix, portions, span_hashes, text_bytes, texts, word_spans
 
 #: Labelled rows and characters of all texts in a block, at most on average.
 BLOCK_ROWS, BLOCK_CHARS = 6_000, 64_000_000
 BUCKETS, PIECE, WIDTH, FILTERS, SPANS = 1 << 16, 4, 12, 12, (1, 2, 3)
+#: Characters of texts turned into words at once, and words of texts scored or counted at once.
+PART_CHARS, PART_WORDS = 500_000, 100_000
 #: A bucket in fewer of the training texts has no embedding.
 LEAST_TEXTS = 5
 EPOCHS, BATCH, RATE, DECAY = 6, 64, 0.01, 1e-3
@@ -53,10 +55,10 @@ def word_ids(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
     count = np.diff(np.searchsorted(begin, begins))
     starts = np.zeros(len(values) + 1, np.int64)
     np.cumsum(count + max(SPANS) - 1, out=starts[1:])
-    ids = np.zeros((starts[-1], 3), np.int64)
+    ids = np.zeros((starts[-1], 3), np.uint16)
     at = np.arange(len(begin)) + np.repeat(starts[:-1] - np.concatenate([[0], np.cumsum(count)])[:-1], count)
     for k, (s, e) in enumerate(((begin, end), (begin, np.minimum(begin + PIECE, end)), (np.maximum(end - PIECE, begin), end))):
-        ids[at, k] = 1 + (mix(span_hashes(data, s, e), k) % np.uint64(BUCKETS - 1)).astype(np.int64)
+        ids[at, k] = 1 + (mix(span_hashes(data, s, e), k) % np.uint64(BUCKETS - 1)).astype(np.uint16)
     return ids, starts
 
 
@@ -132,8 +134,17 @@ def start(times: np.ndarray, share: float, seed: int = 1) -> Model:
 
 def bucket_times(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Texts that have each bucket."""
-    text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    return np.bincount(np.unique(text[:, None] * BUCKETS + ids) % BUCKETS, minlength=BUCKETS)
+    total = np.zeros(BUCKETS, np.int64)
+    for a, b in _parts(starts):
+        text = np.repeat(np.arange(b - a), np.diff(starts[a : b + 1]))
+        total += np.bincount(np.unique(text[:, None] * BUCKETS + ids[starts[a] : starts[b]]) % BUCKETS, minlength=BUCKETS)
+    return total
+
+
+def _parts(starts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of whole texts of about PART_WORDS words together, each as its first text and the one behind it."""
+    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, starts[-1], PART_WORDS)), len(starts) - 1)).tolist()
+    return zip(cuts[:-1], cuts[1:])
 
 
 def study(model: Model, ids: np.ndarray, starts: np.ndarray, label: np.ndarray, seed: int | list[int] = 1) -> Model:
@@ -144,7 +155,7 @@ def study(model: Model, ids: np.ndarray, starts: np.ndarray, label: np.ndarray,
     # buckets without an embedding stay at the zeros of padding
     used = np.flatnonzero(present & model.embedding.any(axis=1))
     used = np.concatenate([[0], used[used > 0]])
-    number = np.zeros(BUCKETS, np.int64)
+    number = np.zeros(BUCKETS, np.uint16)
     number[used] = np.arange(len(used))
     own = number[ids]
     (first, second), *rest = model.moments
@@ -224,7 +235,18 @@ def _read(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray,
     """block, word buckets, starts, labels and languages of each part of a block."""
     for k in range(batch.num_rows):
         block, ids, starts, label, lang = (batch.column(c)[k].as_py() for c in ("block", "ids", "starts", "label", "lang"))
-        yield block, np.frombuffer(ids, np.uint16).astype(np.int64).reshape(-1, 3), np.frombuffer(starts, np.int64), np.frombuffer(label, np.uint8), lang
+        yield block, np.frombuffer(ids, np.uint16).reshape(-1, 3), np.frombuffer(starts, np.int64), np.frombuffer(label, np.uint8), lang
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers as their lowest bytes, then their second ones and so on, the sign as lowest bit: small numbers are mostly zeros to the shuffle's codec."""
+    return np.ascontiguousarray(((x << 1) ^ (x >> 63)).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _whole(data: bytes) -> np.ndarray:
+    """The numbers of ``_planes``."""
+    x = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    return (x >> np.uint64(1)).astype(np.int64) ^ -(x & np.uint64(1)).astype(np.int64)
 
 
 def _summed(lessons: DataFrame, measure: Callable[[int, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
@@ -235,16 +257,19 @@ def _summed(lessons: DataFrame, measure: Callable[[int, np.ndarray, np.ndarray,
         total = 0
         for batch in batches:
             for block, ids, starts, label, _ in _read(batch):
-                total = total + measure(block, ids, starts, label)
+                more = measure(block, ids, starts, label)
+                total = more if isinstance(total, int) else np.add(total, more, out=total)
         if not isinstance(total, int):
-            yield pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in np.array_split(total, SLICES)], pa.binary())], schema=kinds)
+            yield pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array([_planes(x) for x in np.array_split(total, SLICES)], pa.binary())], schema=kinds)
 
     def merge(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("values"))
+        total = sum(_whole(x.as_py()) for x in table.column("values"))
         return pa.table([table.column("slice").slice(0, 1), pa.array([total.tobytes()], pa.binary())], schema=kinds)
 
     schema = "slice int, values binary"
-    got = lessons.mapInArrow(own, schema).groupBy("slice").applyInArrow(merge, schema).toArrow().sort_by("slice")
+    # a task for each core sends one sum, however many blocks there are
+    few = lessons.coalesce(lessons.sparkSession.sparkContext.defaultParallelism)
+    got = few.mapInArrow(own, schema).groupBy("slice").applyInArrow(merge, schema).toArrow().sort_by("slice")
     return np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in got.column("values")])
 
 
@@ -259,23 +284,32 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     block = lambda c: F.pmod(F.xxhash64(c), count).cast("int").alias("block")
     kinds = pa.schema([("block", pa.int32()), ("held", pa.bool_()), ("n", pa.int64()), ("positive", pa.int64()), ("ids", pa.binary()), ("starts", pa.binary()), ("label", pa.binary()), ("lang", pa.list_(pa.string()))])
 
-    def cut(texts_: pa.Table, marked: pa.Table) -> pa.Table:
-        mark = dict(zip(marked.column("l").to_pylist(), marked.column("toxic").to_pylist()))
-        known = texts_.filter(pc.is_in(texts_.column("doc_id"), value_set=marked.column("l").combine_chunks())).sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        ids = known.column("doc_id").to_numpy()
-        out = []
+    names = ["block", "doc_id", "ids", "label", "lang"]
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts as word buckets, a few at a time."""
+        for batch in batches:
+            for some in portions(batch, 2, PART_CHARS):
+                ids, starts = word_ids(some.column("text").to_pylist())
+                own = [ids[s:e].tobytes() for s, e in zip(starts[:-1], starts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()) if c == "ids" else some.column(c) for c in names], names)
+
+    def cut(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
+        out, apart = [], mix(table.column("doc_id").to_numpy().astype(np.uint64)) % np.uint64(5) == 0
         for held in (False, True):
-            some = known.filter(pa.array((mix(ids.astype(np.uint64)) % np.uint64(5) == 0) == held))
+            some = table.filter(pa.array(apart == held))
             if some.num_rows:
-                parts = [word_ids(b) for b in blocks(some.column("text").to_pylist())]
-                starts = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(s) for _, s in parts]))]).astype(np.int64)
-                label = np.array([mark[i] == 1 for i in some.column("doc_id").to_pylist()], np.uint8)
-                words = np.concatenate([x.astype(np.uint16) for x, _ in parts])
-                out.append((known.column("block")[0].as_py(), held, len(label), int(label.sum()), words.tobytes(), starts.tobytes(), label.tobytes(), some.column("lang").to_pylist()))
+                starts = np.concatenate([[0], np.cumsum(pc.binary_length(some.column("ids")).to_numpy() // (3 * 2))]).astype(np.int64)
+                label = some.column("label").to_numpy().astype(np.uint8)
+                out.append((table.column("block")[0].as_py(), held, len(label), int(label.sum()), b"".join(some.column("ids").to_pylist()), starts.tobytes(), label.tobytes(), some.column("lang").to_pylist()))
         return pa.table([pa.array(list(x), k) for x, k in zip(zip(*out) if out else [[]] * len(kinds), kinds.types)], schema=kinds)
 
     schema = "block int, held boolean, n long, positive long, ids binary, starts binary, label binary, lang array<string>"
-    return keep(own.select(block("doc_id"), "*").groupBy("block").cogroup(marks.select(block("l"), "*").groupBy("block")).applyInArrow(cut, schema))
+    # only labelled texts go on, as buckets
+    met = own.join(marks, F.col("doc_id") == F.col("l")).select(block("doc_id"), "doc_id", "text", (F.col("toxic") == 1).alias("label"), "lang")
+    cells = met.mapInArrow(words, "block int, doc_id long, ids binary, label boolean, lang string")
+    return keep(cells.groupBy("block").applyInArrow(cut, schema))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model | float, dict[str, float]]:
@@ -308,8 +342,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model | float, dict[str, fl
         own = sent.value
         for batch in batches:
             for _, ids, starts, label, lang in _read(batch):
-                cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, starts[-1], 1_000_000)), len(starts) - 1))
-                z = np.concatenate([own.logits(ids[starts[a] : starts[b]], starts[a : b + 1] - starts[a]) for a, b in zip(cuts[:-1], cuts[1:])])
+                z = np.concatenate([own.logits(ids[starts[a] : starts[b]], starts[a : b + 1] - starts[a]) for a, b in _parts(starts)])
                 step = np.rint(np.clip(z, -LARGEST, LARGEST) * STEP).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(label.astype(np.int32)), pa.array(step)], ["lang", "label", "step"])
 
@@ -348,9 +381,9 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            ids, values, langs = columns(batch)
-            parts = [np.full(len(b), own) if isinstance(own, float) else own.scores(b) for b in blocks(values)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(np.concatenate([np.zeros(0), *parts]))], ["doc_id", "lang", "score"])
+            for some in portions(batch, 1, PART_CHARS):
+                score_ = np.full(some.num_rows, own) if isinstance(own, float) else own.scores(some.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("lang"), pa.array(score_)], ["doc_id", "lang", "score"])
 
     scored = texts(docs, F.col("lang").cast("string").alias("lang")).mapInArrow(run, "doc_id long, lang string, score double")
     limit = F.lit(DECISION)

@@ -73,3 +73,31 @@ def test_every_labelled_row_is_learned_from(spark, monkeypatch):
     truth = {i: t for i, _, t in labels}
     held = [r for r in toxicity.score(docs, marks).collect() if r["held_out"]]
     assert sum(r["predicted"] == truth[r["doc_id"]] for r in held) > 0.8 * len(held)
+
+
+def test_a_block_is_studied_in_little_memory():
+    """Besides its result, a block of 1.5 million words takes a few bytes a word: it and its words counted in parts."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    ids = rng.integers(1, toxicity.BUCKETS, (1_500_000, 3)).astype(np.uint16)
+    starts = np.arange(0, len(ids) + 1, 300)
+    label = (rng.random(len(starts) - 1) < 0.5).astype(np.uint8)
+    plain = np.zeros(toxicity.BUCKETS, np.int64)
+    for s in starts[:-1]:
+        plain[np.unique(ids[s : s + 300])] += 1
+    tracemalloc.start()
+    times = toxicity.bucket_times(ids, starts)
+    assert tracemalloc.get_traced_memory()[1] < 24 * len(ids)
+    tracemalloc.stop()
+    assert (times == plain).all()
+    model = toxicity.start(times, 0.5)
+    tracemalloc.start()
+    toxicity.study(model, ids, starts, label)
+    assert tracemalloc.get_traced_memory()[1] < 36 * len(ids)
+    tracemalloc.stop()
+    assert toxicity.word_ids(["a b"])[0].dtype.itemsize == 2
+    x = np.array([0, 1, -1, 2**40, -(2**62), 2**62 + 5], np.int64)
+    assert (toxicity._whole(toxicity._planes(x)) == x).all()
