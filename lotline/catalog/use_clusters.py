@@ -103,7 +103,7 @@ SETS = [("S0001", "front", FEW[:4]), ("S0002", "back", FEW[2:]), ("S0003", "all"
 @query("i6_model_grid")
 def _(spark, root):
     path = shared_dir(spark)
-    rows = stored(vectors(spark, root))
+    rows = stored(vectors(spark, root).select("id", *FEW))
     C.model_grid(rows, "id", SETS, ["plain"], ["kmeans"], [3], path)  # an interrupted run ...
     return C.model_grid(rows, "id", SETS, ["plain", "pca"], ["kmeans", "bisecting"], [3], path)  # ... goes on
 

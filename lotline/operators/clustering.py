@@ -5,12 +5,14 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotline.operators.ordinals import quantile_values
@@ -80,6 +82,8 @@ def fit_labels(df: DataFrame, cols: Sequence[str], algo: str, k: int, seed: int
         "gmm": lambda: GaussianMixture(k=k, seed=seed, maxIter=30),
     }
     packed = vectorise(df, cols)
+    if algo == "bisecting":  # it parts a cluster by a share of its centre's length, so a centre at zero is never parted
+        packed = vectorise(df.withColumns({f"{c}__moved": F.col(c) + 1.0 for c in cols}), [f"{c}__moved" for c in cols])
     model = makers[algo]().setFeaturesCol("features").setPredictionCol("cluster").fit(packed)
     keep = [*df.columns, "cluster"]
     return model.transform(packed).select(*keep)
@@ -90,6 +94,17 @@ def cluster_indices(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame
 
     Only k centroids reach the driver; rows are read twice.
     """
+    got = cluster_quality(df, cols, label, False)
+    return df.sparkSession.createDataFrame(
+        [tuple(got[c] for c in ("n_clusters", "n", "calinski_harabasz", "davies_bouldin"))],
+        "n_clusters int, n bigint, calinski_harabasz double, davies_bouldin double")
+
+
+def cluster_quality(df: DataFrame, cols: Sequence[str], label: str, shape: bool = True) -> dict:
+    """The indices, the smallest cluster's share and (with ``shape``) the mean silhouette, in two scans for all of them.
+
+    The mean squared distance from a row to a cluster is that to its mean and the cluster's variance together.
+    """
     spread_of = [F.var_pop(c).alias(f"q_{c}") for c in cols]
     per = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m_{c}") for c in cols], *spread_of).collect()
     n, k = sum(r["n"] for r in per), len(per)
@@ -98,18 +113,36 @@ def cluster_indices(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame
     within = sum(r["n"] * r[f"q_{c}"] for r in per for c in cols)
     centres = df.sparkSession.createDataFrame(
         [(r[label], [float(r[f"m_{c}"]) for c in cols]) for r in per], f"{label} {df.schema[label].dataType.simpleString()}, _c array<double>")
-    terms = [(F.col(c) - F.col("_c")[i]) * (F.col(c) - F.col("_c")[i]) for i, c in enumerate(cols)]
-    distance = F.sqrt(sum(terms[1:], terms[0]))
-    spread = {r[label]: r["s"] for r in df.join(centres, label).groupBy(label).agg(F.avg(distance).alias("s")).collect()}
+
+    def squares(centre: list) -> Column:
+        terms = [(F.col(c) - m) * (F.col(c) - m) for c, m in zip(cols, centre)]
+        return sum(terms[1:], terms[0])
+
+    placed = df.join(F.broadcast(centres), label).withColumn("_own", squares([F.col("_c")[i] for i in range(len(cols))]))
+    means = [F.avg(F.sqrt("_own")).alias("s")]
+    if shape and k > 1:
+        inner, others = F.lit(0.0), F.lit(None).cast("double")
+        for r in per:
+            spread, mine = sum(r[f"q_{c}"] for c in cols), F.col(label) == r[label]
+            inner = F.when(mine, (F.col("_own") + spread) * (r["n"] / max(1, r["n"] - 1))).otherwise(inner)
+            others = F.least(others, F.when(~mine, squares([float(r[f"m_{c}"]) for c in cols]) + spread))
+        single = [r[label] for r in per if r["n"] == 1]
+        value = F.when(F.col("_in") < F.col("_out"), 1 - F.col("_in") / F.col("_out")).when(F.col("_in") > F.col("_out"), F.col("_out") / F.col("_in") - 1).otherwise(0.0)
+        placed = placed.withColumns({"_in": inner, "_out": others})
+        means.append(F.sum(F.when(F.col(label).isin(single), 0.0).otherwise(value) if single else value).alias("shape"))
+    second = {r[label]: r for r in placed.groupBy(label).agg(*means).collect()}
+    spread = {c: r["s"] for c, r in second.items()}
     place = {r[label]: [r[f"m_{c}"] for c in cols] for r in per}
     worst = [
         max((spread[a] + spread[b]) / math.dist(place[a], place[b]) for b in place if b != a and math.dist(place[a], place[b]) > 0)
         for a in place
     ] if k > 1 else [float("nan")]
-    ch = (between / (k - 1)) / (within / (n - k)) if k > 1 and within > 0 else None
-    return df.sparkSession.createDataFrame(
-        [(k, n, ch, sum(worst) / len(worst) if k > 1 else None)],
-        "n_clusters int, n bigint, calinski_harabasz double, davies_bouldin double")
+    return {
+        "n_clusters": k, "n": n, "min_share": min(r["n"] for r in per) / n,
+        "calinski_harabasz": (between / (k - 1)) / (within / (n - k)) if k > 1 and within > 0 else None,
+        "davies_bouldin": sum(worst) / len(worst) if k > 1 else None,
+        "silhouette": sum(r["shape"] for r in second.values()) / n if shape and k > 1 else None,
+    }
 
 
 def silhouette(df: DataFrame, cols: Sequence[str], label: str = "cluster") -> float:
@@ -129,10 +162,8 @@ def sweep(df: DataFrame, cols: Sequence[str], algo: str, ks: Sequence[int], seed
             model = KMeans(k=k, seed=seed, maxIter=30, featuresCol="features", predictionCol="cluster").fit(packed)
             cost = float(model.summary.trainingCost)
         out = model.transform(packed).select(*cols, "cluster")
-        index = cluster_indices(out, cols, "cluster").first()
-        least = out.groupBy("cluster").count().agg(F.min("count") / F.sum("count")).first()[0]
-        rows.append((algo, k, cost, silhouette(out, cols) if index["n_clusters"] > 1 else None, index["calinski_harabasz"],
-                     index["davies_bouldin"], float(least)))
+        got = cluster_quality(out, cols, "cluster")
+        rows.append((algo, k, cost, got["silhouette"], got["calinski_harabasz"], got["davies_bouldin"], got["min_share"]))
     packed.unpersist()
     return df.sparkSession.createDataFrame(
         rows, "algo string, k int, cost double, silhouette double, calinski_harabasz double, davies_bouldin double, min_share double")
@@ -168,6 +199,8 @@ def stability_ari(
     return df.sparkSession.createDataFrame([(rounds, mean, std)], "rounds int, ari_mean double, ari_std double")
 
 
+#: Candidates of a grid that are fitted at the same time.
+AT_ONCE = 4
 GRID_SCHEMA = "set_id string, variant string, algo string, k int, silhouette double, calinski_harabasz double, davies_bouldin double, min_share double, ari_mean double"
 
 
@@ -182,29 +215,35 @@ def model_grid(
     done: set[tuple] = set()
     if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
         done = {tuple(r) for r in spark.read.schema(GRID_SCHEMA).parquet(path).select("set_id", "variant", "algo", "k").collect()}
-    for set_id, _, cols in sets:
-        plain = standardise(df.select(key, *cols).na.drop(), cols).cache()
-        for variant in variants:
-            if all((set_id, variant, a, k) in done for a in algos for k in ks):
+    def candidate(set_id: str, variant: str, data: DataFrame, names: list[str], algo: str, k: int) -> tuple:
+        out = fit_labels(data, names, algo, k).cache()
+        got = cluster_quality(out, names, "cluster")
+        ari = stability_ari(data, key, lambda d: fit_labels(d, names, algo, k), rounds).first()["ari_mean"] if rounds else None
+        out.unpersist()
+        return set_id, variant, algo, k, got["silhouette"], got["calinski_harabasz"], got["davies_bouldin"], got["min_share"], ari
+
+    # a task for each core; a fit's many small jobs leave cores to those of the next candidates
+    cores = spark.sparkContext.defaultParallelism
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        for set_id, _, cols in sets:
+            left = {v: [(a, k) for a, k in itertools.product(algos, ks) if (set_id, v, a, k) not in done] for v in variants}
+            if not any(left.values()):
                 continue
-            data, names = plain, list(cols)
-            if variant == "pca":
-                _, data, keep, _ = pca_fit(plain, cols)
-                if keep < 2:
-                    continue
-                names = [f"pc{i + 1}" for i in range(keep)]
-            for algo, k in itertools.product(algos, ks):
-                if (set_id, variant, algo, k) in done:
-                    continue
-                out = fit_labels(data, names, algo, k).cache()
-                index = cluster_indices(out, names, "cluster").first()
-                least = out.groupBy("cluster").count().agg(F.min("count") / F.sum("count")).first()[0]
-                ari = stability_ari(data, key, lambda d: fit_labels(d, names, algo, k), rounds).first()["ari_mean"] if rounds else None
-                row = (set_id, variant, algo, k, silhouette(out, names) if index["n_clusters"] > 1 else None,
-                       index["calinski_harabasz"], index["davies_bouldin"], float(least), ari)
-                spark.createDataFrame([row], GRID_SCHEMA).write.mode("append").parquet(path)
-                out.unpersist()
-        plain.unpersist()
+            plain = standardise(df.select(key, *cols).na.drop(), cols).repartition(cores, key).cache()
+            held, fits = [plain], []
+            for variant in variants:
+                data, names = plain, list(cols)
+                if left[variant] and variant == "pca":
+                    _, data, keep, _ = pca_fit(plain, cols)
+                    if keep < 2:
+                        continue
+                    data, names = data.cache(), [f"pc{i + 1}" for i in range(keep)]
+                    held.append(data)
+                fits += [pool.submit(inheritable_thread_target(spark)(candidate), set_id, variant, data, names, a, k) for a, k in left[variant]]
+            for fit in fits:
+                spark.createDataFrame([fit.result()], GRID_SCHEMA).write.mode("append").parquet(path)
+            for x in held:
+                x.unpersist()
     return spark.read.schema(GRID_SCHEMA).parquet(path)
 
 

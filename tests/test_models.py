@@ -177,6 +177,23 @@ def test_grid_skips_finished_candidates(spark):
     assert first == again.count() == 1 and sorted(again.inputFiles()) == sorted(files)
 
 
+def test_grid_reads_rows_twice_a_candidate_and_halves_centred_data(spark):
+    """All indices of a candidate come from two scans, and equal those of Spark's evaluator; bisecting parts data whose mean is zero."""
+    df = people(spark, 120).select("id", "x", "noise")
+    scaled = C.standardise(df, ["x", "noise"]).cache()
+    halves = C.fit_labels(scaled, ["x", "noise"], "bisecting", 3).cache()
+    assert halves.select("cluster").distinct().count() == 3
+    got = C.cluster_quality(halves, ["x", "noise"], "cluster")
+    assert abs(got["silhouette"] - C.silhouette(halves, ["x", "noise"])) < 1e-9
+    plain = C.cluster_indices(halves, ["x", "noise"], "cluster").first()
+    assert all(abs(got[c] - plain[c]) < 1e-9 for c in ("n_clusters", "n", "calinski_harabasz", "davies_bouldin"))
+    rows = [(0.0, 0.0, 0), (0.5, 0.0, 0), (9.0, 1.0, 1), (4.0, 4.0, 2), (4.5, 4.0, 2)]
+    few = spark.createDataFrame(rows, "a double, b double, cluster int")
+    assert abs(C.cluster_quality(few, ["a", "b"], "cluster")["silhouette"] - C.silhouette(few, ["a", "b"])) < 1e-12
+    one = C.cluster_quality(few.where("cluster = 0"), ["a", "b"], "cluster")
+    assert one["silhouette"] is None and one["min_share"] == 1
+
+
 def test_screening_rules(spark):
     rng = random.Random(9)
     rows = []
