@@ -194,6 +194,24 @@ def test_grid_reads_rows_twice_a_candidate_and_halves_centred_data(spark):
     assert one["silhouette"] is None and one["min_share"] == 1
 
 
+def test_forest_rows_are_dealt_to_all_cores(spark, monkeypatch):
+    """A table in one partition is trained on in as many as there are cores; one fold at a time gives like figures."""
+    df = people(spark, 300).select("id", "x", "noise", (F.col("x") * 2 + F.col("noise")).alias("z"), (F.col("id") % 3).cast("int").alias("fold")).coalesce(1)
+    seen, fit = [], M.Pipeline.fit
+
+    def watched(self, rows, params=None):
+        seen.append(rows.rdd.getNumPartitions())
+        return fit(self, rows, params)
+
+    monkeypatch.setattr(M.Pipeline, "fit", watched)
+    got = M.cv_forest(df, ["x", "noise"], "z", trees=5).orderBy("fold").collect()
+    assert [r.fold for r in got] == [0, 1, 2] and all(r.r2 > 0.5 for r in got)
+    assert seen == [spark.sparkContext.defaultParallelism] * 3
+    monkeypatch.setattr(M, "GROWN", 1)
+    again = M.cv_forest(df, ["x", "noise"], "z", trees=5).orderBy("fold").collect()
+    assert all(abs(a.r2 - b.r2) < 0.05 for a, b in zip(again, got, strict=True))
+
+
 def test_screening_rules(spark):
     rng = random.Random(9)
     rows = []
