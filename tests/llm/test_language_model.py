@@ -1,3 +1,4 @@
+import copy
 import math
 import random
 import re
@@ -118,3 +119,39 @@ def test_attention_learns_from_every_training_text(spark, monkeypatch):
     whole = total(lm.score(docs))
     assert whole > 0.8 * total(lm.score(docs, sample=500))
     assert abs(whole - total(lm.score(docs.repartition(7)))) < 1e-6 * abs(whole)
+
+
+def test_places_of_context_need_no_hidden_rows(monkeypatch):
+    """All but a text's first window are fitted from WINDOW - CONTEXT hidden rows, equal to those of the whole window; each id is learned once a pass."""
+    rng = np.random.default_rng(2)
+    starts = np.concatenate([[0], np.cumsum([1, 30, 500, 24, 900])])
+    ids = rng.integers(0, 300, starts[-1]).astype(np.int32)
+    whole, made, learned = lm.Model.hidden, [], []
+    plain = lm.Model.log_probabilities
+
+    def hidden(self, inputs, *low):
+        out = whole(self, inputs, *low)
+        assert np.allclose(out[0], whole(self, inputs)[0][:, -out[0].shape[1] :], atol=1e-6)
+        made.extend([out[0].shape[1]] * len(inputs))
+        return out
+
+    monkeypatch.setattr(lm.Model, "hidden", hidden)
+    monkeypatch.setattr(lm.Model, "log_probabilities", lambda self, h, target, slopes=None: (learned.extend(target), plain(self, h, target, slopes))[1])
+    lm.Model().fit(ids, starts, 1)
+    assert Counter(made) == {lm.WINDOW: len(starts) - 1, lm.WINDOW - lm.CONTEXT: len(lm.windows(starts)[0]) - len(starts) + 1}
+    assert Counter(learned) == Counter(ids)
+
+
+def test_weights_beyond_the_range_of_exponentials():
+    small = lm.Model(3)
+    rng = np.random.default_rng(1)
+    small.parts = {k: (v + rng.normal(0, 2, v.shape)).astype(np.float32) * np.float32(3) for k, v in small.parts.items()}
+    large = copy.deepcopy(small)
+    large.parts = {k: v.astype(np.float64) for k, v in small.parts.items()}
+    inputs, target = rng.integers(0, 90, (3, lm.WINDOW)), rng.integers(0, 90, (3, lm.WINDOW))
+    h = large.hidden(inputs)[0].reshape(-1, lm.WIDTH)
+    assert np.abs(h @ large.parts["group"]).max() > 90
+    got, want = (m.log_probabilities(h.astype(m.parts["q"].dtype), target.ravel())[0] for m in (small, large))
+    assert np.allclose(got, want, rtol=1e-4, atol=1e-2)
+    assert np.allclose(small.hidden(inputs)[0].reshape(h.shape), h, rtol=1e-2, atol=0.3)
+    assert all(np.isfinite(g).all() for g in small.slopes(inputs, target, np.ones(inputs.shape, bool)).values())
