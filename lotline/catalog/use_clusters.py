@@ -232,4 +232,4 @@ def _(spark, root):
 @query("i12_density_grid")
 def _(spark, root):
     rows = V.points(spark, root).select("point_id", "x", "y")
-    return C.density_grid(rows, "point_id", "x", "y", [5], [600.0, 900.0])
+    return C.density_grid(rows, "point_id", "x", "y", [5, 10, 15])

@@ -15,9 +15,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotline.operators.ordinals import quantile_values
+from lotline.operators.ordinals import exact_quantiles, quantile_values
 from lotline.operators.ranked import hash_share, quantile_bins, top_per_group
-from lotline.operators.spatial import kth_distance
+from lotline.operators.spatial import kth_distance, kth_distances
 from lotline.operators.statistics import chi_square_v, kruskal, kruskal_by
 from lotline.runtime import pinned, scalar, stored
 
@@ -285,12 +285,25 @@ def cluster_profile(df: DataFrame, label: str, cols: Sequence[str]) -> DataFrame
         "feature", label, "n", "mean", ((F.col("mean") - F.col("_m")) / F.nullif("_s", F.lit(0.0))).alias("z"), "h", "p_value")
 
 
-def density_eps(df: DataFrame, x: str, y: str, min_samples: int, shares: Sequence[float] = (0.25, 0.5, 0.75, 0.9)) -> list[float]:
+#: Percentiles of the k-distances that a grid takes for eps.
+EPS_SHARES = (0.25, 0.5, 0.75, 0.9)
+
+
+def density_eps(df: DataFrame, x: str, y: str, min_samples: int, shares: Sequence[float] = EPS_SHARES) -> list[float]:
     """Candidates for eps: percentiles of the exact distance of each row to its ``min_samples``-th nearest row."""
     far = stored(kth_distance(df.select(x, y), x, y, min_samples).select("distance"))
     return [v for v in quantile_values(far, "distance", shares) if v is not None]
 
 
+def _distances(points: DataFrame, x: str, y: str, ks: Sequence[int], shares: Sequence[float]) -> list[list[float]]:
+    """Candidates for eps of each of ``ks``, all distances from one search."""
+    far = kth_distances(points, x, y, ks).select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("run"), F.col(f"distance_{k}").alias("distance")) for i, k in enumerate(ks)])))
+    names = {f"q{i}": p for i, p in enumerate(shares)}
+    got = {r["run"]: [r[n] for n in names] for r in exact_quantiles(stored(far), "distance", names, by=["run"]).collect()}
+    return [got.get(i, []) for i in range(len(ks))]
+
+
 def density_cluster(df: DataFrame, key: str, x: str, y: str, eps: float, min_samples: int) -> DataFrame:
     """Density clusters in the plane (two components): ``cluster`` is a cell-based id, null for noise.
 
@@ -299,63 +312,80 @@ def density_cluster(df: DataFrame, key: str, x: str, y: str, eps: float, min_sam
     Two cells are joined without pairs when their boxes of core points lie within eps of each other; the
     others are looked at part by part (``_linked_cells``).
     """
-    side = eps / math.sqrt(2) * (1 - 1e-9)
-    flat = (
-        df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-        .groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("n"))
-        .withColumns({"cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side)})
-    )
-    flat = stored(flat)
-    cells = flat.groupBy("cx", "cy").agg(F.sum("n").alias("cell_n"))
+    final = _density_runs(_coordinates(df, x, y), [(min_samples, eps)]).drop("run")
+    joined = df.withColumns({"_x": F.col(x).cast("double"), "_y": F.col(y).cast("double")})
+    return joined.join(final.withColumnsRenamed({"x": "_x", "y": "_y"}), ["_x", "_y"], "left").select(*df.columns, "cluster")
+
+
+def _coordinates(df: DataFrame, x: str, y: str) -> DataFrame:
+    """x, y and the number of rows there; rows without a coordinate are left out."""
+    at = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    return stored(at.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _density_runs(spots: DataFrame, runs: Sequence[tuple[int, float]]) -> DataFrame:
+    """run (place in ``runs``: min_samples, eps), x, y and cluster of the coordinates that are in one. All runs go through the same
+    steps together, so that the number of steps is that of one run. With an eps of 0 only equal coordinates are neighbours."""
+    of = lambda values: F.get(F.array(*[F.lit(v) for v in values]), "run")
+    least, eps = of([int(m) for m, _ in runs]), of([float(e) for _, e in runs])
+    side = of([e / math.sqrt(2) * (1 - 1e-9) for _, e in runs])
+    still, moving = ([i for i, (_, e) in enumerate(runs) if (e > 0) == c] for c in (False, True))
+    dealt = lambda some: spots.withColumn("run", F.explode(F.array(*[F.lit(i) for i in some]).cast("array<int>")))
+    cell = lambda a, b: F.concat_ws(":", F.col(a).cast("string"), F.col(b).cast("string"))
+    alone = dealt(still).where(F.col("n") >= least).select("run", "x", "y", cell("x", "y").alias("cluster"))
+    if not moving:
+        return alone
+    flat = stored(dealt(moving).withColumns({"cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side)}))
+    cells = flat.groupBy("run", "cx", "cy").agg(F.sum("n").alias("cell_n"))
     ring = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3) if (i, j) != (0, 0)])
 
     def shift(d: DataFrame) -> DataFrame:
         return d.withColumn("o", F.explode(ring)).withColumns({"tx": F.col("cx") + F.col("o.i"), "ty": F.col("cy") + F.col("o.j")}).drop("o")
 
-    sized = flat.join(cells, ["cx", "cy"])
-    full = sized.where(F.col("cell_n") >= min_samples)
-    thin = sized.where(F.col("cell_n") < min_samples)  # fewer than min_samples coordinates per cell
-    other = flat.select(F.col("cx").alias("tx"), F.col("cy").alias("ty"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("n").alias("n2"))
-    gap = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2)) <= eps  # eps may be such a distance
-    near = shift(thin).join(other, ["tx", "ty"]).where(gap).groupBy("x", "y").agg(F.sum("n2").alias("near"))
-    counted = thin.join(near, ["x", "y"], "left").withColumn("total", F.col("cell_n") + F.coalesce("near", F.lit(0)))
-    core = full.select("x", "y", "cx", "cy").unionByName(counted.where(F.col("total") >= min_samples).select("x", "y", "cx", "cy"))
+    sized = flat.join(cells, ["run", "cx", "cy"])
+    full = sized.where(F.col("cell_n") >= least)
+    thin = sized.where(F.col("cell_n") < least)  # fewer than min_samples coordinates per cell
+    other = flat.select("run", F.col("cx").alias("tx"), F.col("cy").alias("ty"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("n").alias("n2"))
+    dx, dy = F.col("x") - F.col("x2"), F.col("y") - F.col("y2")
+    gap = F.sqrt(dx * dx + dy * dy) <= eps  # eps may be such a distance
+    near = shift(thin).join(other, ["run", "tx", "ty"]).where(gap).groupBy("run", "x", "y").agg(F.sum("n2").alias("near"))
+    counted = thin.join(near, ["run", "x", "y"], "left").withColumn("total", F.col("cell_n") + F.coalesce("near", F.lit(0)))
+    core = full.select("run", "x", "y", "cx", "cy").unionByName(counted.where(F.col("total") >= least).select("run", "x", "y", "cx", "cy"))
     core = stored(core)
-    boxes = core.groupBy("cx", "cy").agg(F.min("x").alias("ax"), F.max("x").alias("bx"), F.min("y").alias("ay"), F.max("y").alias("by"))
-    right = boxes.select(F.col("cx").alias("tx"), F.col("cy").alias("ty"), *[F.col(c).alias(f"{c}2") for c in ("ax", "bx", "ay", "by")])
+    boxes = core.groupBy("run", "cx", "cy").agg(F.min("x").alias("ax"), F.max("x").alias("bx"), F.min("y").alias("ay"), F.max("y").alias("by"))
+    right = boxes.select("run", F.col("cx").alias("tx"), F.col("cy").alias("ty"), *[F.col(c).alias(f"{c}2") for c in ("ax", "bx", "ay", "by")])
     later = (F.col("tx") > F.col("cx")) | ((F.col("tx") == F.col("cx")) & (F.col("ty") > F.col("cy")))
-    both = shift(boxes).where(later).join(right, ["tx", "ty"])
+    both = shift(boxes).where(later).join(right, ["run", "tx", "ty"])
     lo = [F.greatest(F.col("ax2") - F.col("bx"), F.col("ax") - F.col("bx2"), F.lit(0.0)),
           F.greatest(F.col("ay2") - F.col("by"), F.col("ay") - F.col("by2"), F.lit(0.0))]
     hi = [F.greatest(F.col("bx2") - F.col("ax"), F.col("bx") - F.col("ax2")), F.greatest(F.col("by2") - F.col("ay"), F.col("by") - F.col("ay2"))]
     both = both.withColumns({"least": lo[0] * lo[0] + lo[1] * lo[1], "most": hi[0] * hi[0] + hi[1] * hi[1]})
-    sure = both.where(F.sqrt("most") <= eps).select("cx", "cy", "tx", "ty")
-    open_ = both.where((F.sqrt("most") > eps) & (F.sqrt("least") <= eps)).select("cx", "cy", "tx", "ty")
-    proven = _linked_cells(open_, core, side, eps)
-    name = lambda a, b: F.concat_ws(":", F.col(a).cast("string"), F.col(b).cast("string"))
-    edges = sure.unionByName(proven).select(name("cx", "cy").alias("a"), name("tx", "ty").alias("b"))
-    labels = connected_components(boxes.select(name("cx", "cy").alias("node")), edges)
-    owned = core.withColumn("node", name("cx", "cy")).join(labels, "node").select("x", "y", "cx", "cy", F.col("component").alias("cluster"))
+    ends = ["run", "cx", "cy", "tx", "ty"]
+    both = stored(both.where(F.sqrt("least") <= eps).select(*ends, (F.sqrt("most") <= eps).alias("sure")))
+    proven = _linked_cells(both.where("not sure").select(*ends), core, side, eps)
+    node = lambda a, b: F.struct("run", cell(a, b).alias("cell"))
+    edges = both.where("sure").select(*ends).unionByName(proven).select(node("cx", "cy").alias("a"), node("tx", "ty").alias("b"))
+    labels = connected_components(boxes.select(node("cx", "cy").alias("node")), edges)
+    owned = core.withColumn("node", node("cx", "cy")).join(labels, "node").select("run", "x", "y", "cx", "cy", F.col("component.cell").alias("cluster"))
+    owned = stored(owned)
     border = (
-        flat.select("x", "y", "cx", "cy").join(core.select("x", "y"), ["x", "y"], "left_anti")
+        flat.select("run", "x", "y", "cx", "cy").join(core.select("run", "x", "y"), ["run", "x", "y"], "left_anti")
     )
     reach = shift(border).unionByName(border.withColumns({"tx": F.col("cx"), "ty": F.col("cy")}))
-    goal = owned.select(F.col("cx").alias("tx"), F.col("cy").alias("ty"), F.col("x").alias("x2"), F.col("y").alias("y2"), "cluster")
-    touched = reach.join(goal, ["tx", "ty"]).where(gap).groupBy("x", "y").agg(F.min("cluster").alias("cluster"))
-    final = owned.select("x", "y", "cluster").unionByName(touched)
-    joined = df.withColumns({"_x": F.col(x).cast("double"), "_y": F.col(y).cast("double")})
-    return joined.join(final.withColumnsRenamed({"x": "_x", "y": "_y"}), ["_x", "_y"], "left").select(*df.columns, "cluster")
+    goal = owned.select("run", F.col("cx").alias("tx"), F.col("cy").alias("ty"), F.col("x").alias("x2"), F.col("y").alias("y2"), "cluster")
+    touched = reach.join(goal, ["run", "tx", "ty"]).where(gap).groupBy("run", "x", "y").agg(F.min("cluster").alias("cluster"))
+    return owned.select("run", "x", "y", "cluster").unionByName(touched).unionByName(alone)
 
 
-def _linked_cells(pairs: DataFrame, core: DataFrame, side: float, eps: float, split: int = 8) -> DataFrame:
+def _linked_cells(pairs: DataFrame, core: DataFrame, side: Column, eps: Column, split: int = 8) -> DataFrame:
     """Pairs of cells with at least one pair of core points within eps.
 
     Each cell is cut into parts. Two parts that lie wholly within eps prove the link, as dense cells nearly
     always do; points are compared only in parts that straddle eps, and only for pairs without such a proof.
     """
-    cells = ["cx", "cy", "tx", "ty"]
+    cells = ["run", "cx", "cy", "tx", "ty"]
     placed = core.withColumns({"sx": F.floor(F.col("x") * split / side), "sy": F.floor(F.col("y") * split / side)})
-    left = placed.groupBy("cx", "cy", "sx", "sy").agg(
+    left = placed.groupBy("run", "cx", "cy", "sx", "sy").agg(
         F.min("x").alias("ax"), F.max("x").alias("bx"), F.min("y").alias("ay"), F.max("y").alias("by"))
     turned = {"cx": "tx", "cy": "ty", "sx": "ux", "sy": "uy"}
     right = left.withColumnsRenamed({**turned, **{c: f"{c}2" for c in ("ax", "bx", "ay", "by")}})
@@ -363,13 +393,14 @@ def _linked_cells(pairs: DataFrame, core: DataFrame, side: float, eps: float, sp
     dy = F.greatest(F.col("ay2") - F.col("by"), F.col("ay") - F.col("by2"), F.lit(0.0))
     wx = F.greatest(F.col("bx2") - F.col("ax"), F.col("bx") - F.col("ax2"))
     wy = F.greatest(F.col("by2") - F.col("ay"), F.col("by") - F.col("ay2"))
-    near = pairs.join(left, ["cx", "cy"]).join(right, ["tx", "ty"]).withColumn("whole", F.sqrt(wx * wx + wy * wy) <= eps)
-    near = near.where(F.sqrt(dx * dx + dy * dy) <= eps).select(*cells, "sx", "sy", "ux", "uy", "whole")
+    near = pairs.join(left, ["run", "cx", "cy"]).join(right, ["run", "tx", "ty"]).withColumn("whole", F.sqrt(wx * wx + wy * wy) <= eps)
+    near = stored(near.where(F.sqrt(dx * dx + dy * dy) <= eps).select(*cells, "sx", "sy", "ux", "uy", "whole"))
     sure = near.where("whole").select(*cells).distinct()
     rest = near.where(~F.col("whole")).join(sure, cells, "left_anti")
     goal = placed.withColumnsRenamed({**turned, "x": "x2", "y": "y2"})
-    close = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2)) <= eps
-    met = rest.join(placed, ["cx", "cy", "sx", "sy"]).join(goal, ["tx", "ty", "ux", "uy"]).where(close).select(*cells).distinct()
+    gx, gy = F.col("x") - F.col("x2"), F.col("y") - F.col("y2")
+    close = F.sqrt(gx * gx + gy * gy) <= eps
+    met = rest.join(placed, ["run", "cx", "cy", "sx", "sy"]).join(goal, ["run", "tx", "ty", "ux", "uy"]).where(close).select(*cells).distinct()
     return sure.unionByName(met)
 
 
@@ -392,10 +423,13 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def density_grid(df: DataFrame, key: str, x: str, y: str, min_samples: Sequence[int], eps_list: Sequence[float] | None = None) -> DataFrame:
     """Clusters and noise share for every (eps, min_samples); eps from the k-distances of each ``min_samples`` if not given."""
-    rows = []
-    for m in min_samples:
-        for eps in eps_list if eps_list is not None else density_eps(df, x, y, m):
-            out = density_cluster(df, key, x, y, eps, m)
-            one = out.agg(F.count_distinct("cluster"), F.avg(F.col("cluster").isNull().cast("double"))).first()
-            rows.append((m, float(eps), int(one[0]), float(one[1])))
+    far = [eps_list] * len(min_samples) if eps_list is not None else _distances(df, x, y, min_samples, EPS_SHARES)
+    runs = [(m, float(e)) for m, some in zip(min_samples, far) for e in some if e is not None]
+    total, got = df.count(), {}
+    if runs:
+        spots = _coordinates(df, x, y)
+        found = _density_runs(spots, runs).join(spots, ["x", "y"])
+        got = {r[0]: r[1:] for r in found.groupBy("run").agg(F.count_distinct("cluster"), F.sum("n")).collect()}
+    rows = [(m, e, *(got.get(i) or (0, 0))) for i, (m, e) in enumerate(runs)]
+    rows = [(m, e, int(n), (total - held) / total if total else None) for m, e, n, held in rows]
     return df.sparkSession.createDataFrame(rows, "min_samples int, eps double, n_clusters int, noise_share double")

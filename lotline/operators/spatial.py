@@ -179,16 +179,22 @@ def _boxed(df: DataFrame, **axes: Column) -> DataFrame:
 
 
 def kth_distance(points: DataFrame, x: str, y: str, k: int, name: str = "distance") -> DataFrame:
-    """Distance of each row to its ``k``-th nearest row in the plane, itself being the first; null with a null coordinate or
+    """Distance of each row to its ``k``-th nearest row in the plane, itself being the first; null with a null coordinate (or NaN) or
     fewer than ``k`` rows. Rows of equal coordinates are one target that counts as often as they occur."""
-    known = points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    return kth_distances(points, x, y, [k], name).withColumnRenamed(f"{name}_{k}", name)
+
+
+def kth_distances(points: DataFrame, x: str, y: str, ks: Sequence[int], name: str = "distance") -> DataFrame:
+    """``kth_distance`` for several k from one search: a column ``name``_k for each."""
+    known = points.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
     spots = known.groupBy(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).agg(F.count(F.lit(1)).alias("_w"))
     spots = stored(_boxed(spots, x=F.col("_x"), y=F.col("_y")))
-    near = _nearest_pairs(spots.drop("_w"), spots.withColumnsRenamed({"_x": "_tx", "_y": "_ty"}), "xy", k)
+    near = _nearest_pairs(spots.drop("_w"), spots.withColumnsRenamed({"_x": "_tx", "_y": "_ty"}), "xy", max(ks))
     gap = F.sqrt((F.col("_x") - F.col("_tx")) * (F.col("_x") - F.col("_tx")) + (F.col("_y") - F.col("_ty")) * (F.col("_y") - F.col("_ty")))
     near = near.select("_x", "_y", gap.alias("d"), "_w").withColumn("c", F.sum("_w").over(W.partitionBy("_x", "_y").orderBy("d")))
-    kth = near.groupBy("_x", "_y").agg(F.min(F.when(F.col("c") >= k, F.col("d"))).alias(name))
-    return points.join(kth, (F.col(x).cast("double") == F.col("_x")) & (F.col(y).cast("double") == F.col("_y")), "left").select(*points.columns, name)
+    kth = near.groupBy("_x", "_y").agg(*[F.min(F.when(F.col("c") >= k, F.col("d"))).alias(f"{name}_{k}") for k in ks])
+    on = (F.col(x).cast("double") == F.col("_x")) & (F.col(y).cast("double") == F.col("_y"))
+    return points.join(kth, on, "left").select(*points.columns, *[f"{name}_{k}" for k in ks])
 
 
 def nearest_polygon(

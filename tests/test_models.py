@@ -1,8 +1,10 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from lotline.operators import clustering as C
 from lotline.operators import screening as Q
 from lotline.operators import supervised as M
@@ -156,6 +158,36 @@ def test_density_clusters_match_plain_search(spark):
     assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
 
 
+def test_density_grid_takes_every_min_samples_and_eps(spark):
+    """All runs together give what each gives alone, with eps from the k-distances; copies of every row make these 0."""
+    query = queries()["i12_density_grid"](spark, "/root/testdata/sf0.001")
+    assert sorted(r["min_samples"] for r in query.collect()) == [5] * 4 + [10] * 4 + [15] * 4
+    rng = random.Random(6)
+    spots = [(float(rng.randrange(9)), float(rng.randrange(9))) for _ in range(50)] + [(rng.gauss(30, 1), rng.gauss(30, 1)) for _ in range(40)]
+    kind = "id int, x double, y double"
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(spots)] + [(90, None, 1.0), (91, float("nan"), 1.0)], kind)
+    far = [[math.sqrt((a - c) * (a - c) + (b - d) * (b - d)) for c, d in spots] for a, b in spots]
+    want = []
+    for m in (5, 10):
+        for eps in np.percentile([sorted(f)[m - 1] for f in far], [25, 50, 75, 90]):
+            near = [{j for j, d in enumerate(f) if d <= eps} for f in far]
+            core = {i for i, n in enumerate(near) if len(n) >= m}
+            left, n_clusters = set(core), 0
+            while left:
+                todo, n_clusters = [left.pop()], n_clusters + 1
+                while todo:
+                    met = near[todo.pop()] & left
+                    left -= met
+                    todo += met
+            want.append((m, float(eps), n_clusters, (2 + sum(not n & core for n in near)) / 92))
+    got = sorted(tuple(r) for r in C.density_grid(df, "id", "x", "y", [5, 10]).collect())
+    assert len(got) == len(want) == 8
+    assert all(a[0] == b[0] and a[2] == b[2] and abs(a[1] - b[1]) < 1e-12 and abs(a[3] - b[3]) < 1e-12 for a, b in zip(got, want))
+    copies = spark.createDataFrame([(i, float(i % 3), 0.0) for i in range(18)] + [(18, 50.0, 0.0)], kind)
+    assert [tuple(r) for r in C.density_grid(copies, "id", "x", "y", [5]).collect()] == [(5, 0.0, 3, 1 / 19)] * 4
+    assert C.density_cluster(copies, "id", "x", "y", 0.0, 5).where("cluster is null").count() == 1
+
+
 def test_components_of_long_paths_keep_their_estimated_size(spark):
     rng = random.Random(8)
     names = [f"{i:03d}" for i in rng.sample(range(400), 120)]
