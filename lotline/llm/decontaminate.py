@@ -74,9 +74,10 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     items = keep(items.drop("words").dropDuplicates(["item_key"]).withColumn("print", _simhash("item")))
     index = keep(items.select("item_key", "width", "length", F.size("item").alias("total"), F.posexplode("item").alias("place", "h")))
 
-    words = texts(docs).select("doc_id", F.unhex(F.md5("text")).alias("key"), _words("text").alias("words"))
-    found = None
-    for (own,) in sorted(items.select("width").distinct().collect()):
+    whole = texts(docs).select("doc_id", F.unhex(F.md5("text")).alias("key"), "text")
+    words = whole.select("doc_id", "key", _words("text").alias("words"))
+    found, widths = None, sorted(w for (w,) in items.select("width").distinct().collect())
+    for own in widths:
         parts = words.select("doc_id", "key", F.size("words").alias("n"), F.posexplode(_fast_shingles("words", own)).alias("at", "h"))
         met = parts.join(index.where(F.col("width") == own), "h")
         met = met.select("doc_id", "key", "item_key", "place", "at", "n", "total", "length")
@@ -96,13 +97,18 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     group = group.withColumn("starts", F.concat(F.filter("places", full), at_end)).where(F.size("starts") > 0)
     group = keep(group.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "item_key", "starts"))
 
-    near = group.groupBy("d", "k").agg(F.collect_list(F.struct("item_key", "starts")).alias("near"))
-    rows = words.join(near, words.key.eqNullSafe(near.k) & words.doc_id.eqNullSafe(near.d)).dropDuplicates(["doc_id", "key"])
-    rows = rows.select("doc_id", "key", "words", F.explode("near").alias("near")).select("doc_id", "key", "words", "near.item_key", F.explode("near.starts").alias("start"))
+    # texts meet their windows as they are: a row of words is several times larger, and with many windows all texts are moved here
     sizes = items.select(F.col("item_key").alias("ik"), "width", "length")
-    rows = rows.join(sizes, F.col("item_key") == F.col("ik")).select(
-        "doc_id", "key", "start", "width", "length", (F.col("start") >= F.size("words") - F.col("length")).alias("last"), F.slice("words", F.col("start") + 1, F.col("length")).alias("words"))
-    rows = rows.withColumn("window", _shingles("words", F.col("width"))).where(F.size("window") > 0).drop("words").dropDuplicates(["doc_id", "key", "start", "width", "length"])
+    near = group.join(sizes, F.col("item_key") == F.col("ik")).groupBy("d", "k", "width", "length").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
+    near = keep(near.groupBy("d", "k", "width").agg(F.collect_list(F.struct("length", "starts")).alias("near")))
+    rows = whole.join(near, whole.key.eqNullSafe(near.k) & whole.doc_id.eqNullSafe(near.d)).dropDuplicates(["doc_id", "key", "width"])
+    rows = rows.select("doc_id", "key", "width", "near", _words("text").alias("words"))
+    of_width = [F.when(F.col("width") == own, _fast_shingles("words", own)) for own in widths]
+    rows = rows.select("doc_id", "key", "width", F.coalesce(*of_width).alias("h"), "near").select("doc_id", "key", "width", "h", F.explode("near").alias("near"))
+    window = lambda s: F.slice("h", s + 1, F.col("near.length") - F.col("width") + 1)
+    ending = lambda s: s >= F.size("h") + F.col("width") - 1 - F.col("near.length")
+    every = F.transform("near.starts", lambda s: F.struct(s.alias("start"), ending(s).alias("last"), window(s).alias("window")))
+    rows = rows.select("doc_id", "key", "width", "near.length", F.explode(every).alias("one")).select("doc_id", "key", "width", "length", "one.*").where(F.size("window") > 0)
     rows = keep(rows.withColumn("print", _simhash("window")))
 
     cut = rows.select("doc_id", "key", "start", "width", "length", "print", F.inline(_blocks("print")))

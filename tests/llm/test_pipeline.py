@@ -4,6 +4,7 @@ import base64
 import hashlib
 import os
 import random
+import re
 import tempfile
 
 import corpus_pipeline
@@ -158,3 +159,22 @@ def test_parts_in_another_order_are_found(spark):
     whole = {(d, i): best(t, x) for d, t, *_ in rows for i, x in bench}
     assert {(d, i): s for d, i, _, _, s in got} == {k: v for k, v in whole.items() if v >= 0.8}
     assert {(1, 7), (2, 7), (1, 9), (5, 8), (5, 10)} <= {r[:2] for r in got}
+
+
+def test_no_row_of_words_is_moved_when_tables_are_too_large_to_broadcast(spark, monkeypatch):
+    """A row of words takes several times the memory of its text; windows are cut in the task that splits the text."""
+    plans, stored, before = [], decontaminate.keep, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    mode = spark.sparkContext._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    monkeypatch.setattr(decontaminate, "keep", lambda df: plans.append(df._jdf.queryExecution().explainString(mode)) or stored(df))
+    item = " ".join(f"w{i}" for i in range(20))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, f"before {item} after {item}", "en", "x", 9), (2, "nothing here", "en", "x", 9), (1, f"before {item} after {item}", "en", "x", 9)]
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = decontaminate.contaminated(spark.createDataFrame(rows, SCHEMA), bench).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [(r["doc_id"], r["item_id"], r["start"], r["n_words"], r["similarity"]) for r in got] == [(1, 1, 1, 20, 1.0)]
+    moved = [columns for plan in plans for columns in re.findall(r"\) (?:Exchange|Sort)\s*\nInput +\[\d+\]: \[(.*?)\]\n", plan)]
+    assert not any("words#" in columns for columns in moved)
+    assert any("text#" in columns for columns in moved)
