@@ -96,3 +96,26 @@ def test_exact_probability_jaccard():
         a, b = rnd.integers(0, 4, 12).astype(float), rnd.integers(0, 4, 12).astype(float)
         want = plain_jp({i: int(x) for i, x in enumerate(a) if x}, {i: int(x) for i, x in enumerate(b) if x})
         assert abs(graph.probability_jaccard(a, b) - float(want)) < 1e-9
+
+
+def test_texts_of_two_blocks_are_compared_across_and_only_where_a_bound_allows(monkeypatch):
+    """Same pairs as by all features at once, but these are compared only within groups that can be similar."""
+    rnd = np.random.default_rng(3)
+    families = [rnd.integers(0, 2**63, 120, dtype=np.uint64) for _ in range(5)]
+    rows = []
+    for k in range(300):
+        own = families[k % 5].copy()
+        own[rnd.integers(0, 120, k % 40)] = rnd.integers(0, 2**63, k % 40, dtype=np.uint64)
+        rows.append(np.unique(own))
+    doc, feature = np.repeat(np.arange(300), [len(r) for r in rows]), np.concatenate(rows)
+    names = lambda found: {tuple(sorted(p)) for p in found.tolist()}
+    for weight in (np.ones(len(doc)), np.where(feature % np.uint64(50) == 0, 2.0, 1.0)):
+        sizes, plain = [], graph._similar
+        want = names(plain(doc, feature, weight, 300, 0.8))
+        monkeypatch.setattr(graph, "_similar", lambda d, f, w, n, t: sizes.append(n) or plain(d, f, w, n, t))
+        assert names(graph.similar(doc, feature, weight, 300, 0.8)) == want and len(want) > 500
+        side = np.arange(300) % 2 == 0
+        across = names(graph.similar(doc, feature, weight, 300, 0.8, side))
+        assert {p for p in want if side[p[0]] != side[p[1]]} <= across <= want
+        assert max(sizes) <= 60
+        monkeypatch.setattr(graph, "_similar", plain)
